@@ -191,3 +191,28 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         out.append(x)
         borders[i + 1] = borders[i] + len(x)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), borders
+
+
+def run_hashes_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``run_hashes`` for runs in any order, each of few bytes or many."""
+    out = np.zeros(len(start), np.uint64)
+    size = end - start
+    left = np.arange(len(start))
+    k = 0
+    while len(left):
+        left = left[size[left] > k]
+        out[left] += _TABLE[data[start[left] + k]] * _POW[k % _BLOCK]
+        k += 1
+        if k == 64 and len(left):  # long runs: one by one
+            for i in left.tolist():
+                whole = data[start[i] : end[i]]
+                out[i] = run_hashes(whole, np.array([0]), np.array([len(whole)]))[0]
+            return bt_mix_short(out, size)
+    return bt_mix_short(out, size)
+
+
+def bt_mix_short(out: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Finishes the hashes of runs of up to 64 bytes; longer ones are finished already."""
+    short = size <= 64
+    out[short] = mix(out[short] ^ size[short].astype(np.uint64))
+    return out

@@ -57,4 +57,20 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   ((floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM j
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}
+OP2 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS lead FROM p WHERE octet_length(encode(h)) >= 1000 GROUP BY 1)
+SELECT page_id, octet_length(encode(p.h))::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN lead > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN lead > page_id THEN lead END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE = {"op2_warc": OP2, "op4_top_k": OP4, "op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import cotrain, crf_language, toxicity, warc
 from .decontaminate import decontaminate
+from .jaccard_join import jaccard_components
 from .mixing import mix
-from .shared import table
+from .pivot_search import top_k
+from .shared import crc_mod, table
 from .token_counts import count_tokens
 from .url_filter import GIVEN_RULES, METHOD_RULES, judge_urls
 
@@ -20,6 +23,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.fresh_archive(spark)
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read_warc(spark, path, payload=False).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    scored = toxicity.fit_and_score(docs, docs, labels)
+    return scored.select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, GIVEN_RULES + METHOD_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -32,6 +57,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,9 +70,31 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.where(crc_mod("doc_id", 5) != 0)
+    found = crf_language.fit_and_identify(docs.select("doc_id", "text"), labelled)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose crc32(doc_id as text) mod 4 is 2 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    views = cotrain.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    return cotrain.score(docs, views).select(
+        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
+    "op4_top_k": op4_top_k,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
+    "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }

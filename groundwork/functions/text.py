@@ -24,13 +24,18 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends; ``trim`` takes blanks alone."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def falsy(c: Column) -> Column:
     """Empty text as null."""
     return F.nullif(c, F.lit(""))
 
 
 def first_filled(*cols: Column, trim: bool = False) -> Column:
-    return F.coalesce(*[falsy(F.trim(c) if trim else c) for c in cols])
+    return F.coalesce(*[falsy(strip(c) if trim else c) for c in cols])
 
 
 def cut(c: Column, n: int, mark: str = ELLIPSIS) -> Column:
@@ -45,13 +50,13 @@ def dedupe_key(text: Column, source: Column, kind: Column) -> Column:
 
 def slug(c: Column, size: int = 48) -> Column:
     kept = F.regexp_replace(c, r"(?U)[^\w\s-]", "")
-    joined = F.lower(F.trim(F.regexp_replace(kept, r"(?U)[-\s]+", "-")))
+    joined = F.lower(strip(F.regexp_replace(kept, r"(?U)[-\s]+", "-")))
     return F.coalesce(falsy(F.left(joined, F.lit(size))), F.lit("doc"))
 
 
 def ascii_fold(c: Column, size: int = 80) -> Column:
     """National letters as ASCII in the first ``size`` characters."""
-    out = F.left(F.trim(c), F.lit(size))
+    out = F.left(strip(c), F.lit(size))
     for old, new in (("å", "a"), ("ø", "o"), ("æ", "ae"), ("Å", "A"), ("Ø", "O"), ("Æ", "Ae")):
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -73,7 +78,7 @@ def rendered(text: Column, source: Column, kind: Column, limit: int | None = Non
 
 
 def is_small_talk(c: Column) -> Column:
-    t = F.lower(F.trim(c))
+    t = F.lower(strip(c))
     return (F.length(t) < 3) | t.isin(*SMALL_TALK) | ~t.rlike(r"[\p{L}\p{N}]")
 
 
@@ -103,7 +108,7 @@ def status_class(code: Column) -> Column:
 
 
 def client_key(forwarded: Column, host: Column) -> Column:
-    return F.coalesce(falsy(F.trim(F.element_at(F.split(forwarded, ","), 1))), host, F.lit("unknown"))
+    return F.coalesce(falsy(strip(F.element_at(F.split(forwarded, ","), 1))), host, F.lit("unknown"))
 
 
 def collection_name(base: Column, provider: Column) -> Column:
@@ -137,7 +142,7 @@ def history_text(history: Column) -> Column:
 def search_restriction(query: Column, restrict: Column, domains: Sequence[str]) -> Column:
     """The query, limited to ``domains`` where ``restrict`` says so."""
     sites = " OR ".join(f"site:{d}" for d in domains)
-    return F.concat(F.trim(query), F.when(restrict, F.lit(f" ({sites})")).otherwise(F.lit("")))
+    return F.concat(strip(query), F.when(restrict, F.lit(f" ({sites})")).otherwise(F.lit("")))
 
 
 def _among(words: Sequence[str]):
@@ -152,4 +157,4 @@ def stop_word_language(text: Column, words: dict[str, Sequence[str]], default: s
         for i, (lang, ws) in enumerate(words.items())
     ]
     best = F.array_max(F.array(*scores))
-    return F.when((F.length(F.trim(text)) < 3) | (best["n"] == 0), F.lit(default)).otherwise(best["lang"])
+    return F.when((F.length(strip(text)) < 3) | (best["n"] == 0), F.lit(default)).otherwise(best["lang"])

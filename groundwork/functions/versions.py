@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 DECREE_DATE = r"(?i)BEK\s+nr\s+(\d+)\s+af\s+(\d{1,2})/(\d{1,2})/(\d{2,4})"
 DECREE_YEAR = r"(?i)BEK\s+nr\s+(\d+)\s+af\s+\d+/\d+/(\d{2,4})"
 DECREE_NR = r"(?i)BEK\s+nr\s+(\d+)"
@@ -82,7 +84,7 @@ def update_available(current_label: Column, remote_label: Column, current_url: C
     return (
         F.when(a.isNotNull() & b.isNotNull(), b > a).when(c.isNotNull() & d.isNotNull(), d > c)
         .when(y.isNotNull() & z.isNotNull(), z > y)
-        .otherwise(F.trim(F.coalesce(current_url, F.lit(""))) != F.trim(F.coalesce(remote_url, F.lit(""))))
+        .otherwise(strip(F.coalesce(current_url, F.lit(""))) != strip(F.coalesce(remote_url, F.lit(""))))
     )
 
 
@@ -109,14 +111,14 @@ PUBLICATION_PATTERNS = (
 def publication_version(page: Column) -> Column:
     """The first pattern that matches the page, trimmed, 80 characters at most."""
     hits = [F.nullif(F.regexp_extract(page, p, 0), F.lit("")) for p in PUBLICATION_PATTERNS]
-    return F.left(F.trim(F.coalesce(*hits)), F.lit(80))
+    return F.left(strip(F.coalesce(*hits)), F.lit(80))
 
 
 def title_and_version(meta_title: Column, page: Column, stem: Column) -> Column:
     version = publication_version(page)
-    line = F.left(F.trim(F.element_at(F.split(page, "\n"), 1)), F.lit(100))
+    line = F.left(strip(F.element_at(F.split(page, "\n"), 1)), F.lit(100))
     title = F.coalesce(
-        F.nullif(F.trim(meta_title), F.lit("")), version, F.when(F.length(page) > 20, F.nullif(line, F.lit(""))), F.translate(stem, "_-", "  ")
+        F.nullif(strip(meta_title), F.lit("")), version, F.when(F.length(page) > 20, F.nullif(line, F.lit(""))), F.translate(stem, "_-", "  ")
     )
     return F.struct(title.alias("title"), F.coalesce(version, title).alias("version"))
 
@@ -133,4 +135,4 @@ def search_terms(text: Column, version: Column, title: Column) -> Column:
         e(r"(?i)(SS[RGP][-\s]?\d+(?:\s*\(Rev\.\s*\d+\))?)", 1), e(r"92-0-\d[\d-]{8,14}[Xx\d]", 0), F.array(version, title),
         F.when(F.size(words) > 2, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")),
     )
-    return F.array_distinct(F.filter(F.transform(parts, lambda t: F.left(F.trim(t), F.lit(80))), lambda t: F.coalesce(t, F.lit("")) != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda t: F.left(strip(t), F.lit(80))), lambda t: F.coalesce(t, F.lit("")) != ""))

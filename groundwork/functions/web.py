@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import ascii_fold, falsy
+from .text import ascii_fold, falsy, strip
 
 #: Hosts that may be fetched, for documents (A) and for update checks (B).
 HOSTS_A = (
@@ -52,8 +52,8 @@ def is_archived(title: Column, url: Column, marker: str = "historisk") -> Column
 
 def title_fits(title: Column, wanted: Column) -> Column:
     """Containment, long suffixes, and two families of titles that name one decree."""
-    w, t = F.trim(F.lower(ascii_fold(F.coalesce(wanted, F.lit(""))))), F.lower(ascii_fold(F.coalesce(title, F.lit(""))))
-    suffix = F.trim(F.right(w, F.lit(40)))
+    w, t = strip(F.lower(ascii_fold(F.coalesce(wanted, F.lit(""))))), F.lower(ascii_fold(F.coalesce(title, F.lit(""))))
+    suffix = strip(F.right(w, F.lit(40)))
     family = lambda s, out: w.contains(s) & t.contains(s) & ~t.contains(out)
     hit = (
         t.contains(w) | ((F.length(w) > 25) & (F.length(suffix) >= 15) & t.contains(suffix))
@@ -83,10 +83,10 @@ def metadata_url(url: Column) -> Column:
 def publication_pdf(html: Column, agency: str = "iaea") -> Column:
     """Three patterns by priority; relative paths become absolute."""
     full = F.element_at(F.split(F.regexp_extract(html, r'(?i)href="(https?://[^"]+\.pdf[^"]*)"', 1), " "), 1)
-    path = F.trim(F.regexp_extract(html, r'(?i)href="([^"]*MTCD/Publications/PDF/[^"]+\.pdf[^"]*)"', 1))
+    path = strip(F.regexp_extract(html, r'(?i)href="([^"]*MTCD/Publications/PDF/[^"]+\.pdf[^"]*)"', 1))
     slash = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     path = F.when(path == "", None).when(path.startswith("http"), path).otherwise(F.concat(F.lit("https://www-pub.iaea.org"), slash))
-    same = F.trim(F.regexp_extract(html, r'(?i)href="(/[^"]*\.pdf[^"]*)"', 1))
+    same = strip(F.regexp_extract(html, r'(?i)href="(/[^"]*\.pdf[^"]*)"', 1))
     same = F.when(same != "", F.concat(F.lit("https://www.iaea.org"), same))
     return F.coalesce(F.when(F.lower(full).contains(agency), full), path, same)
 
@@ -101,9 +101,9 @@ def publication_link(html: Column) -> Column:
 
 def superseded_by(html: Column) -> Column:
     link = r'(?is)Superseded\s+by\s*:\s*<a\s+href="([^"]+)"[^>]*>([^<]+)</a>'
-    url, title = falsy(F.regexp_extract(html, link, 1)), F.trim(F.regexp_extract(html, link, 2))
+    url, title = falsy(F.regexp_extract(html, link, 1)), strip(F.regexp_extract(html, link, 2))
     url_full = F.when(url.startswith("/"), F.concat(F.lit("https://www.iaea.org"), url)).otherwise(url)
-    text = falsy(F.trim(F.regexp_extract(html, r"(?i)Superseded\s+by\s*:\s*([^\n<]+)", 1)))
+    text = falsy(strip(F.regexp_extract(html, r"(?i)Superseded\s+by\s*:\s*([^\n<]+)", 1)))
     return F.when(url.isNotNull(), F.struct(title.alias("title"), url_full.alias("url"))).otherwise(
         F.struct(text.alias("title"), F.lit(None).cast("string").alias("url"))
     )
@@ -156,13 +156,13 @@ def newest_amendment(html: Column, base_url: Column) -> Column:
 
 def json_label(v: Column) -> Column:
     """The first of the label keys that holds text; ``v`` is a VARIANT."""
-    return F.coalesce(*[falsy(F.trim(F.try_variant_get(v, f'$["{k}"]', "string"))) for k in LABEL_KEYS])
+    return F.coalesce(*[falsy(strip(F.try_variant_get(v, f'$["{k}"]', "string"))) for k in LABEL_KEYS])
 
 
 def change_event(v: Column) -> Column:
     """A change event from JSON with alternative keys; null without id and URL."""
     got = lambda *keys: F.coalesce(*[falsy(F.get_json_object(v, f"$.{k}")) for k in keys], F.lit(""))
-    ident, url = F.trim(got("documentId", "id", "accessionNumber", "accessionsnummer")), F.trim(got("eli", "url", "href", "documentUrl"))
+    ident, url = strip(got("documentId", "id", "accessionNumber", "accessionsnummer")), strip(got("eli", "url", "href", "documentUrl"))
     event = F.struct(
         F.lit("harvest_api").alias("source"), F.coalesce(falsy(ident), url).alias("identifier"), url.alias("url"),
         falsy(got("changedAt", "updatedAt", "modifiedAt")).alias("changed_at"), falsy(got("reasonForChange", "reason")).alias("reason"),

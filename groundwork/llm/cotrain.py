@@ -7,8 +7,8 @@ one labels the unlabelled documents that it is most sure of, and the other learn
 are then calibrated on labelled rows that neither learned from, and the calibrated views, weighted
 by how well they do there, score every document.
 
-Training uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, those with
-the smallest id hashes (documented bounds; only their features reach the driver). Scoring covers
+Training uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, chosen
+by id hashes (documented bounds; only their features reach the driver). Scoring covers
 all rows and whole texts in one pass without a shuffle. Null texts score as empty ones, unknown or
 null metadata has its own slots. With one label value or none every score is 0.5. Extra columns
 are kept, a column named score is replaced; an empty table gives no rows.
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
+from .shared import hash_sample
 
 META_SLOTS = 64
 
@@ -207,11 +208,11 @@ def fit(
     meta_cols: Sequence[str] = ("source", "lang"), max_labelled: int = 4000, max_pool: int = 4000, max_chars: int = 20_000,
 ) -> list[View] | None:
     """Trains on bounded samples of labelled and unlabelled documents."""
-    key = F.xxhash64(F.col(id_col).cast("string"))
+    key = F.col(id_col).cast("string")
     per = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    known = per.orderBy(key, id_col).limit(max_labelled)
+    known = hash_sample(per, key, max_labelled)
     pool = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(labels.select(id_col).distinct(), id_col, "left_anti")
-    pool = pool.orderBy(key, id_col).limit(max_pool).select(id_col, F.lit(None).cast("int").alias("y"))
+    pool = hash_sample(pool, key, max_pool).select(id_col, F.lit(None).cast("int").alias("y"))
     chosen = F.broadcast(known.union(pool))
     rows = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars).join(chosen, id_col).select(id_col, "y", text_col, *meta_cols)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, y int, text_view array<float>, meta_view array<float>"

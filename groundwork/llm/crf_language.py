@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
+from .shared import hash_sample
 
 SLOTS = 1 << 16
 _ADDED = ("lang_pred", "score")
@@ -224,14 +225,11 @@ def label_words(model: Crf, text: str) -> list[tuple[str, str, float]]:
 def training_sample(
     docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int
 ) -> tuple[list[str], list[str]]:
-    """At most ``max_docs`` labelled texts, those with the smallest hashes of their ids."""
+    """About ``max_docs`` labelled texts, twice as many at most, by hashes of ids and texts."""
     ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    rows = (
-        docs.where(ok).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), key.alias("k"))
-        .orderBy("k", "y").limit(max_docs).collect()
-    )
-    return [r["t"] for r in rows], [r["y"] for r in rows]
+    rows = docs.where(ok).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.col(id_col).cast("string").alias("i"))
+    got = sorted(hash_sample(rows, F.concat_ws(":", "i", "t"), max_docs).select("t", "y").collect())
+    return [r["t"] for r in got], [r["y"] for r in got]
 
 
 def identify(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> DataFrame:

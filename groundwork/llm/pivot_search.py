@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import hash_sample, written
 
 BLOCK = 4096
 
@@ -117,7 +117,8 @@ def top_k(
     total = asked.count()
     n_blocks = max(1, -(-total // query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)))
-    sample = [r["v"] for r in cands.orderBy(F.xxhash64("id", "v")).limit(pivot_sample).collect()]
+    picked = hash_sample(cands, F.concat_ws(":", F.col("id").cast("string"), F.col("v").cast("string")), pivot_sample)
+    sample = sorted(r["v"] for r in picked.select("v").collect())
     n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = cands.repartition(n_tasks, "id")
     parts = []

@@ -9,7 +9,7 @@ its highest window: one toxic passage in a long text counts in full.
 Training sees document labels only: each round picks a document's highest window as the one to
 learn from. It uses at most ``max_docs`` labelled documents per class, of at most ``max_chars``
 characters (documented bounds). Everything else covers all rows and whole texts.
-Null texts and texts without words score as an empty window. Without labelled rows every score
+Null texts and texts without words say nothing toxic and score 0. Without labelled rows every score
 is 0. A document that is labelled twice counts as toxic if any label says so.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
+from .shared import hash_sample
 
 WINDOW, STRIDE = 32, 24
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 12, 8
@@ -242,21 +243,21 @@ def score_words(net: Net, w: bt.Words) -> np.ndarray:
             part = some[i : i + 2048]
             idx, live = _places(back, w.first, doc[part], at[part])
             np.maximum.at(best, doc[part], forward(net, pre, idx, live))
-    return 1 / (1 + np.exp(-best.astype(np.float64)))
+    return np.where(np.diff(w.first) > 0, 1 / (1 + np.exp(-best.astype(np.float64))), 0.0)
 
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label_col: str, max_docs: int, max_chars: int
 ) -> tuple[list[str], list[int], float | None]:
-    """Texts, labels and the share of toxic labels among all. Per class at most ``max_docs`` labelled texts, those with the smallest id hashes. The ids
+    """Texts, labels and the share of toxic labels among all. Per class at most ``max_docs`` labelled texts, by id hashes. The ids
     are bounded before the join, so the broadcast side is too."""
     per = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    ids = [per.where(F.col("__y") == y).orderBy(key, id_col).limit(2 * max_docs) for y in (0, 1)]
+    key = F.col(id_col).cast("string")
+    ids = [hash_sample(per.where(F.col("__y") == y), key, 2 * max_docs) for y in (0, 1)]
     small = F.broadcast(ids[0].union(ids[1]))
     rows = (
         docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(id_col, text_col)
-        .join(small, id_col).select(F.col(text_col).alias("t"), F.col("__y").alias("y"), key.alias("k"))
+        .join(small, id_col).select(F.col(text_col).alias("t"), F.col("__y").alias("y"), F.xxhash64(key).alias("k"))
     )
     got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("k", "t").limit(max_docs).collect()]
     base = per.agg(F.avg(F.col("__y").cast("double"))).first()[0]

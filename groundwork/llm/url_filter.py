@@ -1,7 +1,7 @@
 """URL filters by pattern rules under a token index.
 
-A rule is a regular expression over ``host + "\\n" + path`` with the literal tokens that every
-matching URL must hold. It is indexed under the token that is rarest in the rule set's corpus of
+A rule is a regular expression for the host and one for the path, with the literal tokens that
+every matching URL must hold. It is indexed under the token that is rarest in the rule set's corpus of
 literals; a URL's own tokens fetch candidate rules and only those run their expression. The
 longest matching rule decides; without one the method's pattern rules do, then ``allow``.
 
@@ -30,7 +30,8 @@ class Rule:
 
     name: str
     verdict: str
-    pattern: str
+    host: str
+    path: str
     tokens: tuple[str, ...]
     weight: int
     named: bool = True
@@ -42,7 +43,8 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(
         name=host + path,
         verdict=verdict,
-        pattern=rf"\A(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(path)}",
+        host=rf"(?s)\A(?:.*\.)?{re.escape(host)}\z",
+        path=rf"\A{re.escape(path)}",
         tokens=(*host.split("."), *whole),
         weight=len(host) + len(path),
     )
@@ -50,7 +52,7 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 
 def word_rule(word: str) -> Rule:
     """The method's own pattern: a host label that holds ``word`` between hyphens blocks."""
-    return Rule(f"*{word}*", "block", rf"\A[^\n]*(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])[^\n]*\n", (word,), 0, False)
+    return Rule(f"*{word}*", "block", rf"(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", "", (word,), 0, False)
 
 
 #: The four given rules.
@@ -75,11 +77,12 @@ def path_of(url: Column) -> Column:
 
 
 def rarest_index(rules: Sequence[Rule]) -> dict[str, list[Rule]]:
-    """Each rule under its token that the fewest rules hold (ties: the longest, then the first)."""
+    """Each rule under its token that the fewest rules hold. Of equal ones the last in the rule:
+    path words are rarer in URLs than the labels of hosts."""
     seen = Counter(t for r in rules for t in set(r.tokens))
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        key = min(r.tokens, key=lambda t: (seen[t], -len(t), t))
+        key = min(reversed(r.tokens), key=lambda t: seen[t])
         index.setdefault(key, []).append(r)
     return index
 
@@ -87,7 +90,7 @@ def rarest_index(rules: Sequence[Rule]) -> dict[str, list[Rule]]:
 def _entry(r: Rule) -> Column:
     return F.struct(
         F.lit(r.weight).alias("weight"), F.lit(r.name if r.named else None).cast("string").alias("rule"),
-        F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"),
+        F.lit(r.verdict).alias("verdict"), F.lit(r.host).alias("host"), F.lit(r.path).alias("path"),
     )
 
 
@@ -98,39 +101,38 @@ def judge_urls(
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     url = F.col(f"`{url_col}`")
     df = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(url).alias("host"), path_of(url).alias("path"))
-    subject = F.concat(F.col("host"), F.lit("\n"), F.col("path"))
     tokens = F.array_distinct(F.split(F.concat(F.col("host"), F.lit("/"), F.lower(F.col("path"))), r"[^a-z0-9]+"))
     index = rarest_index(rules)
     if len(rules) <= max_inline_rules:
-        best = _best_inline(index, tokens, subject)
+        best = _best_inline(index, tokens)
         df = df.withColumn("__best", best)
     else:
-        df = _best_joined(df, index, tokens, subject)
+        df = _best_joined(df, index, tokens)
     return df.select(
         *[F.col(f"`{c}`") for c in keep], "host", "path", F.col("__best.rule").alias("rule"),
         F.coalesce(F.col("__best.verdict"), F.lit("allow")).alias("verdict"),
     )
 
 
-def _best_inline(index: dict[str, list[Rule]], tokens: Column, subject: Column) -> Column:
+def _best_inline(index: dict[str, list[Rule]], tokens: Column) -> Column:
     if not index:
-        return F.lit(None).cast("struct<weight:int,rule:string,verdict:string,pattern:string>")
+        return F.lit(None).cast("struct<weight:int,rule:string,verdict:string,host:string,path:string>")
     rows = F.create_map(*[x for k, rs in sorted(index.items()) for x in (F.lit(k), F.array(*map(_entry, rs)))])
     known = F.filter(tokens, lambda t: t.isin(*sorted(index)))
     fetched = F.flatten(F.transform(known, lambda t: F.element_at(rows, t)))
-    return F.array_max(F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"])))
+    return F.array_max(F.filter(fetched, lambda r: F.regexp_like(F.col("host"), r["host"]) & F.regexp_like(F.col("path"), r["path"])))
 
 
-def _best_joined(df: DataFrame, index: dict[str, list[Rule]], tokens: Column, subject: Column) -> DataFrame:
+def _best_joined(df: DataFrame, index: dict[str, list[Rule]], tokens: Column) -> DataFrame:
     spark = df.sparkSession
-    rows = [(k, r.weight, r.name if r.named else None, r.verdict, r.pattern) for k, rs in index.items() for r in rs]
-    table = spark.createDataFrame(rows, "token string, weight int, rule string, verdict string, pattern string")
+    rows = [(k, r.weight, r.name if r.named else None, r.verdict, r.host, r.path) for k, rs in index.items() for r in rs]
+    table = spark.createDataFrame(rows, "token string, weight int, rule string, verdict string, host_like string, path_like string")
     urls = df.select("host", "path").distinct()
     hits = (
         urls.withColumn("token", F.explode(tokens))
         .join(table, "token")
-        .where(F.regexp_like(subject, F.col("pattern")))
+        .where(F.regexp_like("host", F.col("host_like")) & F.regexp_like("path", F.col("path_like")))
         .groupBy("host", "path")
-        .agg(F.max(F.struct("weight", "rule", "verdict", "pattern")).alias("__best"))
+        .agg(F.max(F.struct("weight", "rule", "verdict")).alias("__best"))
     )
     return df.join(hits, ["host", "path"], "left")

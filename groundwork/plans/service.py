@@ -168,7 +168,7 @@ def eval_context_recall(spark, sf_dir):
     """First words of each benchmark passage as facts, its first half as the context."""
     b = t(spark, sf_dir, "benchmark")
     half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
-    facts = F.slice(F.split(F.upper("text"), " "), 1, 30)
+    facts = F.slice(F.split("text", " "), 1, 30)
     return b.select("item_id", F.round(evals.fact_recall(half, facts), 6).alias("recall"))
 
 

@@ -10,12 +10,15 @@ documents with its result in the shared folder:
 3. Every pair that links shares a shingle of its prefixes. Index lists are grouped by shingle;
    lists of one set go at once. In a list, a set meets only sets of a size within the threshold
    and at positions from which the overlap can still be reached: the rest is skipped by block.
-4. Set relations: of each list and size band the smallest set is compared first. Sets that link
-   to it are in its component, and the pairs among them need no comparison: their answer follows
-   from the answer of the set that they are close to. Only pairs across components remain, and of
-   each list only the sets outside its largest component look for partners.
-5. A pair must share so many prefix shingles that the rest can make up the threshold; the pairs
-   that do are verified on the whole sets.
+4. Every set has a home block: its longest list, within a size band, cut by hash so that a block
+   holds at most ``BLOCK_SHINGLES`` shingles. A set that shares enough listed shingles with a block
+   as a whole meets the lists of its members in one task. A pair must share so many that the rest
+   can make up the threshold; a set is kept with the block if any pair does. Pairs are never rows.
+5. A task indexes a block's whole sets by shingle and reads off a set's exact intersections with
+   all of them at once. Set relations save the rest: first every set meets its own block only;
+   then one set of each component of a block meets the other blocks; then only sets and blocks
+   that are not of one component already meet, since the answer of a set that is highly similar
+   to a computed one follows from that one's component.
 
 Frequent shingles are not gathered in a task: their lists stay rows. Shingles are 64-bit hashes
 and classes 64-bit fingerprints. Null texts and texts without words have the empty set and link
@@ -41,6 +44,7 @@ BUCKET_POSTINGS = 1_000_000
 #: Up to so many set ids (8 bytes each) are broadcast to pick texts; more are joined.
 MAX_BROADCAST_IDS = 2_000_000
 HEAVY_CLASS = 6
+BLOCK_SHINGLES = 2_000_000
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -206,42 +210,109 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows(x)
 
 
-def _need(n: Column, num: int, den: int) -> Column:
-    return F.ceil(n * num / F.lit(float(den)))
+def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
+    """Prefix shingles that a set of ``n`` must share with one of ``low`` to ``high`` to reach the
+    threshold. Beyond the prefix that ends first at most ceil(t * size) - 1 of its set are left;
+    the overlap needed grows with the other's size, what is left of the other grows faster."""
+    t, u = num / den, num / (num + den)
+    low, high = F.greatest(low, F.floor(n * t)), F.least(high, F.ceil(n / t))
+    own, other = F.floor((n + low) * u) - F.ceil(n * t), F.floor((n + high) * u) - F.ceil(high * t)
+    return F.greatest(F.lit(1), F.least(own, other))
+
+
+def _homes(lists: DataFrame) -> DataFrame:
+    """(key, n, block, low, high, tokens): each set's block, the sizes in it, and the set's listed
+    shingles."""
+    long = lists.groupBy("token").agg(F.count("*").alias("m"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1)))
+    home = lists.join(long, "token").groupBy("key", "n").agg(
+        F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list("token").alias("tokens")).withColumn("band", band)
+    home = written(home, "homes")
+    size = home.groupBy("home", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"))
+    block = F.xxhash64("home", "band", F.pmod(F.xxhash64("key"), F.col("parts")))
+    return written(home.join(size, ["home", "band"]).select("key", F.col("n").cast("long"), block.alias("block"), "low", "high", "tokens"), "blocks")
+
+
+def _candidates(lists: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, block, role): role 1 for sets with a possible partner in the block, role 0 for the
+    members of the block that may be one. Of two blocks the one with the smaller number asks."""
+    own = homes.select("key", F.col("block").alias("own"))
+    held = lists.select("token", "key").join(homes.select("key", "block", "low", "high"), "key").groupBy("token", "block", "low", "high").agg(F.count("*").alias("m"))
+    met = lists.join(own, "key").join(held, "token").where(
+        (F.col("low") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("high") * den)
+        & ((F.col("own") < F.col("block")) | ((F.col("own") == F.col("block")) & (F.col("m") > 1))))
+    met = met.groupBy("key", "n", "block", "low", "high").agg(F.count("*").alias("shared"))
+    met = met.where(F.col("shared") >= _least_shared(F.col("n"), F.col("low"), F.col("high"), num, den)).select("key", "block")
+    met = written(met, "met")
+    members = homes.join(met.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("role"), "key", "n", "tokens")
+    asking = met.join(homes.select("key", "n", "tokens"), "key").select("block", F.lit(1).alias("role"), "key", "n", "tokens")
+    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.union(asking).repartition(tasks, "block").sortWithinPartitions("block", "role", "key")
+    return written(dealt.mapInArrow(_count(num, den), "key long, block long, role int"), "candidates")
+
+
+def _count(num: int, den: int):
+    """Counts listed shingles that sets share with each member of a block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, index, hit = None, [], None, None
 
-def _enough(a: Column, b: Column, shared: Column, num: int, den: int) -> Column:
-    """Whether ``shared`` prefix shingles leave the threshold in reach. Beyond the prefix that
-    ends first, at most ceil(t * n) - 1 shingles of its set are left."""
-    least = F.ceil((a + b) * num / F.lit(float(num + den)))
-    return shared >= F.greatest(F.lit(1), F.least(least - _need(a, num, den), least - _need(b, num, den)) + 1)
+        def ended() -> Iterator[tuple[int, int, int]]:
+            if hit is not None:
+                for m in np.flatnonzero(hit).tolist():
+                    yield held[m][0], at, 0
 
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            tokens = batch["tokens"]
+            for i, (blk, role, key, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "role", "key", "n")), strict=True)):
+                t = np.sort(tokens[i].values.to_numpy().view(np.uint64))
+                if blk != at:
+                    out += ended()
+                    at, held, index, hit = blk, [], None, None
+                if role == 0:
+                    held.append((key, n, t))
+                    continue
+                if index is None:
+                    index = _Index([x[2] for x in held])
+                    keys, sizes, hit = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.zeros(len(held), bool)
+                shared = index.counts(t)
+                least = -(-(sizes + n) * num // (num + den))
+                need = np.minimum(least + (-n * num // den), least + (-sizes * num // den)) + 1
+                ok = (shared >= np.maximum(need, 1)) & (keys != key) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n))
+                if ok.any():
+                    hit |= ok
+                    out.append((key, blk, 1))
+            yield _rows(out)
+        yield _rows(list(ended()))
+
+    def _rows(out):
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["key", "block", "role"])
 
-def _fits(x: str, y: str, num: int, den: int) -> Column:
-    """Size and position filters for a shared shingle of the sets x and y."""
-    c = lambda s, f: F.col(f"{s}.{f}").cast("long")
-    small, large = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
-    reach = F.least(c(x, "pos"), c(y, "pos")) + 1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) - 1
-    return (small * den >= large * num) & (reach * (num + den) >= (small + large) * num)
+    return run
 
 
-def _verify(base: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set keys that link. Only sets that occur in a pair are built again."""
+def _sets_of(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(key, s): the shingles of the sets in ``ids`` (key, low), built again from their texts, each
+    from the document with the class's lowest id. A row that repeats id and text may repeat it."""
     spark = base.sparkSession
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ids")
     known = None
     if ids.count() <= MAX_BROADCAST_IDS:
-        got = ids.toPandas()["key"].to_numpy(np.int64)
-        known = spark.sparkContext.broadcast(np.sort(got))
+        got = ids.toPandas()
+        known = spark.sparkContext.broadcast(dict(zip(got["key"].tolist(), got["low"].astype("Int64").tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if known is None else set(known.value.tolist())
+        wanted = None if known is None else known.value
         seen: set[int] = set()
-        for _, _, sets in _sets(batches, size):
+        for batch, first, sets in _sets(batches, size):
             keys, blobs = [], []
-            for s in sets:
+            owners = batch["id"].slice(first, len(sets)).to_pylist()
+            for s, owner in zip(sets, owners, strict=True):
                 key = fingerprint(s)
-                if not len(s) or key in seen or (wanted is not None and key not in wanted):
+                if not len(s) or key in seen:
+                    continue
+                if wanted is not None and (key not in wanted or (wanted[key] is not None and wanted[key] != owner)):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(key)
@@ -249,23 +320,122 @@ def _verify(base: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
                 blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "s"])
 
-    sets = base.select("text").mapInArrow(run, "key long, s binary")
+    sets = base.select("id", "text").mapInArrow(run, "key long, s binary")
     if known is None:
-        sets = sets.join(ids, "key", "left_semi")
-    sets = written(sets.dropDuplicates(["key"]), "sets")
-    left, right = (sets.select(F.col("key").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+        sets = sets.join(ids, "key", "left_semi").dropDuplicates(["key"])
+    return written(sets, "sets")
+
+
+class _Index:
+    """Sorted token arrays of some sets by token."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        flat = flat[order]
+        cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        self.token, self.first = flat[cut], np.r_[cut, len(flat)]
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """Per set how many tokens of ``s`` it holds."""
+        at = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
+        at = at[self.token[at] == s]
+        count = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(self.owner[places], minlength=self.n)
+
+
+class _Block:
+    """The whole sets of a block, and which of them are of one component by now."""
+
+    def __init__(self, keys: list[int], sets: list[np.ndarray], comps: list[int]):
+        self.keys, self.comp, self.index = keys, np.array(comps, np.int64), _Index(sets)
+        self.size = np.array([len(s) for s in sets])
+
+    def links(self, s: np.ndarray, comp: int, num: int, den: int) -> np.ndarray:
+        """One linked member of each other component."""
+        able = (self.comp != comp) & (den * np.minimum(self.size, len(s)) >= num * np.maximum(self.size, len(s)))
+        if not able.any():
+            return np.empty(0, np.int64)
+        both = self.index.counts(s)
+        hit = np.flatnonzero(able & (den * both >= num * (self.size + len(s) - both)))
+        return hit[np.unique(self.comp[hit], return_index=True)[1]]
+
+    def join(self, a: int, b: int) -> None:
+        self.comp[self.comp == a] = b
+
+
+def _meet(num: int, den: int):
+    """Links between sets and blocks. Rows come by block, its members (role 0) before the sets
+    that meet it (role 1); members that meet their own block (role -1) do both. A task holds one
+    block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, ask, block, a, b = None, ([], [], []), [], None, [], []
+
+        def meet(key: int, s: np.ndarray, comp: int) -> None:
+            for j in block.links(s, comp, num, den).tolist():
+                a.append(key)
+                b.append(block.keys[j])
+                # What links to a linked set is of its component: no further look is needed.
+                block.join(int(block.comp[j]), comp)
+
+        def ready() -> None:
+            nonlocal block
+            if block is None and members[0]:
+                block = _Block(*members)
+                for m in ask:
+                    meet(members[0][m], members[1][m], int(block.comp[m]))
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for i, (blk, role, key, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "role", "key", "comp")), strict=True)):
+                s = np.frombuffer(batch["s"][i].as_buffer(), np.uint64).copy()
+                if blk != at:
+                    ready()
+                    at, members, ask, block = blk, ([], [], []), [], None
+                if role <= 0:
+                    if role < 0:
+                        ask.append(len(members[0]))
+                    for held, x in zip(members, (key, s, comp), strict=True):
+                        held.append(x)
+                    continue
+                ready()
+                if block is not None:
+                    meet(key, s, comp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+        ready()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return written(joined.mapInArrow(link, "a long, b long"), "links")
+
+def _round(members: DataFrame, probes: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """The links that sets find in the blocks that they meet. ``members`` (key, block, role),
+    ``probes`` (key, block), ``comp`` (node, label) so far."""
+    both = members.select("key", "block", "role").unionByName(probes.select("key", "block").withColumn("role", F.lit(1)))
+    both = both.join(comp, both["key"] == comp["node"], "left").select("key", "block", "role", F.coalesce("label", "key").alias("comp"))
+    both = written(both, "meetings")
+    small = F.broadcast(both) if both.count() <= MAX_BROADCAST_IDS else both
+    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.join(small, "key").repartition(tasks, "block").sortWithinPartitions("block", F.col("role") > 0, "key")
+    return written(dealt.select("block", "role", "key", "comp", "s").mapInArrow(_meet(num, den), "a long, b long"), "links")
+
+
+def _apart(probes: DataFrame, homes: DataFrame, comp: DataFrame, single: bool) -> DataFrame:
+    """The probes of blocks that hold another component than the set's own; with ``single`` one
+    set for each component and block."""
+    label = F.coalesce("label", "key").alias("comp")
+    held = homes.join(comp, homes["key"] == comp["node"], "left").select("block", label)
+    held = held.groupBy("block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+    mine = probes.join(comp, probes["key"] == comp["node"], "left").select("key", "block", label)
+    left = mine.join(held, "block").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp")))
+    if single:
+        left = left.groupBy("comp", "block").agg(F.min("key").alias("key"))
+    return written(left.select("key", "block"), "apart")
 
 
 def jaccard_components(
@@ -289,41 +459,23 @@ def jaccard_components(
         prefixes.mapInArrow(_postings(buckets, classes), "bucket long, blob binary")
         .repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n int, pos int"), "lists",
     )
-    # The smallest set of each list and size band is compared with the others of the band.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15)))
-    banded = lists.withColumn("band", band)
-    lead = banded.groupBy("token", "band").agg(F.min(F.struct("n", "key")).alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
-    star = (
-        banded.join(lead, ["token", "band"]).where(F.col("key") != F.col("c.key"))
-        .groupBy(F.col("c.key").alias("a"), F.col("c.n").alias("na"), F.col("key").alias("b"), F.col("n").alias("nb"))
-        .agg(F.count("*").alias("shared"))
-        .where(_enough(F.col("na"), F.col("nb"), F.col("shared"), num, den))
-        .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    )
-    first = _verify(base, written(star, "star"), size, num, den)
-    comp = components(first)
-    labelled = written(
-        lists.join(comp, lists["key"] == comp["node"], "left")
-        .select("token", "key", "n", "pos", F.coalesce("label", "key").alias("comp")), "labelled",
-    )
-    per = labelled.groupBy("token", "comp").agg(F.count("*").alias("m"))
-    mixed = per.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    mixed = written(labelled.join(mixed, "token"), "mixed")
-    x, y = mixed.where("comp != main").alias("x"), mixed.alias("y")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))
-    rest = (
-        x.join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.comp") != F.col("y.comp")) & once & _fits("x", "y", num, den))
-        .select(
-            F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"),
-            F.when(F.col("x.key") < F.col("y.key"), F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
-            F.when(F.col("x.key") < F.col("y.key"), F.col("y.n")).otherwise(F.col("x.n")).alias("nb"),
-        )
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-        .where(_enough(F.col("na"), F.col("nb"), F.col("shared"), num, den))
-    )
-    second = _verify(base, written(rest.select("a", "b"), "rest"), size, num, den)
-    comp = components(first.union(second))
+    homes = _homes(lists)
+    found = _candidates(lists, homes, num, den)
+    members, probes = found.where("role = 0").select("key", "block"), found.where("role = 1").select("key", "block")
+    lows = rows.groupBy("key").agg(F.min("id").alias("low"))
+    sets = _sets_of(base, written(lows.join(found.select("key").distinct(), "key", "left_semi"), "used"), size)
+    # Members of a block that ask within it: one row does for both.
+    inside = members.join(probes.withColumn("asks", F.lit(-1)), ["key", "block"], "left").select("key", "block", F.coalesce("asks", F.lit(0)).alias("role"))
+    none = spark.createDataFrame([], "node long, label long")
+    links = _round(inside, probes.where("false"), sets, none, num, den)
+    comp = components(links)
+    # Sets of other blocks, and members that only ask.
+    probes = written(probes.join(members, ["key", "block"], "left_anti"), "outside")
+    for single in (True, False):
+        left = _apart(probes, members, comp, single)
+        asked = members.join(left.select("block").distinct(), "block", "left_semi").withColumn("role", F.lit(0))
+        links = links.unionByName(_round(asked, left, sets, comp, num, den))
+        comp = components(links)
     # From classes to documents: the smallest id of a component, over all its classes' copies.
     ids = rows.groupBy("key", "n").agg(F.min("id").alias("low"))
     ids = ids.join(comp, ids["key"] == comp["node"], "left").select("key", "n", "low", F.coalesce("label", "key").alias("comp"))

@@ -149,7 +149,14 @@ def _prefixes(size: int, num: int, den: int, classes):
     return run
 
 
-_POSTING = np.dtype([("token", "<u8"), ("key", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> bytes:
+    """Postings column by column: sets that repeat compress well there."""
+    return token.tobytes() + key.tobytes() + n.tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = len(blob) // 20
+    return np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.int64, m, 8 * m), np.frombuffer(blob, np.int32, m, 16 * m)
 
 
 def _postings(buckets: int, classes):
@@ -166,18 +173,16 @@ def _postings(buckets: int, classes):
                 if not pre:
                     continue
                 size = np.array([len(p) for p in pre])
-                out = np.empty(size.sum(), _POSTING)
-                out["token"] = np.concatenate(pre)
-                out["key"] = np.repeat(part["key"].to_numpy(), size)
-                out["n"] = np.repeat(part["n"].to_numpy(), size)
-                out["pos"] = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
-                heavy = cls[(out["token"] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] >= HEAVY_CLASS
-                bucket = (bt.mix(out["token"]) % np.uint64(buckets)).astype(np.int64)
-                bucket[heavy] = -1 - (bt.mix(out["key"][heavy].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                token, key = np.concatenate(pre), np.repeat(part["key"].to_numpy(), size)
+                n = np.repeat(part["n"].to_numpy(), size).astype(np.int32)
+                heavy = cls[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] >= HEAVY_CLASS
+                bucket = (bt.mix(token) % np.uint64(buckets)).astype(np.int64)
+                bucket[heavy] = -1 - (bt.mix(key[heavy].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                out, bucket = out[order], bucket[order]
+                token, key, n, bucket = token[order], key[order], n[order], bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                blobs = [x.tobytes() for x in np.split(out, cut[1:])]
+                ends = np.append(cut[1:], len(bucket))
+                blobs = [_pack(token[i:j], key[i:j], n[i:j]) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -185,29 +190,25 @@ def _postings(buckets: int, classes):
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The postings of lists of two sets or more."""
-    held: dict[int, list[np.ndarray]] = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-    def rows(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), pa.array(np.ascontiguousarray(x["key"])),
-             pa.array(np.ascontiguousarray(x["n"])), pa.array(np.ascontiguousarray(x["pos"]))],
-            ["token", "key", "n", "pos"],
-        )
+    def rows(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(n)], ["token", "key", "n"])
 
     for batch in batches:
         for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            x = np.frombuffer(blob, _POSTING)
             if b < 0:
-                yield rows(x)
+                yield rows(*_unpack(blob))
             else:
-                held.setdefault(b, []).append(x)
+                held.setdefault(b, []).append(_unpack(blob))
     for b in list(held):
-        x = np.concatenate(held.pop(b))
-        x = x[np.argsort(x["token"], kind="stable")]
-        same = x["token"][1:] == x["token"][:-1]
-        x = x[np.r_[False, same] | np.r_[same, False]]
-        if len(x):
-            yield rows(x)
+        token, key, n = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+        order = np.argsort(token, kind="stable")
+        token, key, n = token[order], key[order], n[order]
+        same = token[1:] == token[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        if several.any():
+            yield rows(token[several], key[several], n[several])
 
 
 def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
@@ -220,33 +221,46 @@ def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> C
     return F.greatest(F.lit(1), F.least(own, other))
 
 
+BAND = 1.1
+
+
+def _low(block: Column) -> Column:
+    """The least size in a block: the last eight bits of its number are its size band."""
+    return F.floor(F.pow(F.lit(BAND), block.bitwiseAND(255)))
+
+
+def _high(block: Column) -> Column:
+    return F.ceil(F.pow(F.lit(BAND), block.bitwiseAND(255) + 1))
+
+
 def _homes(lists: DataFrame) -> DataFrame:
-    """(key, n, block, low, high, tokens): each set's block, the sizes in it, and the set's listed
-    shingles."""
+    """(key, n, block, tokens): each set's block, and the set's listed shingles."""
     long = lists.groupBy("token").agg(F.count("*").alias("m"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1)))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")
     home = lists.join(long, "token").groupBy("key", "n").agg(
         F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list("token").alias("tokens")).withColumn("band", band)
     home = written(home, "homes")
-    size = home.groupBy("home", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"), F.min("n").alias("low"), F.max("n").alias("high"))
-    block = F.xxhash64("home", "band", F.pmod(F.xxhash64("key"), F.col("parts")))
-    return written(home.join(size, ["home", "band"]).select("key", F.col("n").cast("long"), block.alias("block"), "low", "high", "tokens"), "blocks")
+    size = home.groupBy("home", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"))
+    hashed = F.xxhash64("home", "band", F.pmod(F.xxhash64("key"), F.col("parts")))
+    block = F.shiftleft(F.shiftright(hashed, 8), 8).bitwiseOR(F.col("band"))
+    return home.join(size, ["home", "band"]).select("key", "n", block.alias("block"), "tokens")
 
 
-def _candidates(lists: DataFrame, homes: DataFrame, num: int, den: int) -> DataFrame:
+def _candidates(homes: DataFrame, num: int, den: int) -> DataFrame:
     """(key, block, role): role 1 for sets with a possible partner in the block, role 0 for the
     members of the block that may be one. Of two blocks the one with the smaller number asks."""
-    own = homes.select("key", F.col("block").alias("own"))
-    held = lists.select("token", "key").join(homes.select("key", "block", "low", "high"), "key").groupBy("token", "block", "low", "high").agg(F.count("*").alias("m"))
-    met = lists.join(own, "key").join(held, "token").where(
-        (F.col("low") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("high") * den)
-        & ((F.col("own") < F.col("block")) | ((F.col("own") == F.col("block")) & (F.col("m") > 1))))
-    met = met.groupBy("key", "n", "block", "low", "high").agg(F.count("*").alias("shared"))
-    met = met.where(F.col("shared") >= _least_shared(F.col("n"), F.col("low"), F.col("high"), num, den)).select("key", "block")
+    listed = homes.select(F.explode("tokens").alias("token"), "key", "n", F.col("block").alias("own"))
+    held = homes.select(F.explode("tokens").alias("token"), "block").groupBy("token", "block").agg(F.count("*").alias("m"))
+    block = F.col("block")
+    met = listed.join(held, "token").where(
+        (_low(block) * num <= F.col("n") * den) & (F.col("n") * num <= _high(block) * den)
+        & ((F.col("own") < block) | ((F.col("own") == block) & (F.col("m") > 1))))
+    met = met.groupBy("key", "n", "block").agg(F.count("*").alias("shared"))
+    met = met.where(F.col("shared") >= _least_shared(F.col("n"), _low(block), _high(block), num, den)).select("key", "block")
     met = written(met, "met")
     members = homes.join(met.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("role"), "key", "n", "tokens")
     asking = met.join(homes.select("key", "n", "tokens"), "key").select("block", F.lit(1).alias("role"), "key", "n", "tokens")
-    tasks = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.union(asking).repartition(tasks, "block").sortWithinPartitions("block", "role", "key")
     return written(dealt.mapInArrow(_count(num, den), "key long, block long, role int"), "candidates")
 
@@ -457,10 +471,10 @@ def jaccard_components(
     )
     lists = written(
         prefixes.mapInArrow(_postings(buckets, classes), "bucket long, blob binary")
-        .repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n int, pos int"), "lists",
+        .repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n int"), "lists",
     )
-    homes = _homes(lists)
-    found = _candidates(lists, homes, num, den)
+    homes = written(_homes(lists), "blocks")
+    found = _candidates(homes, num, den)
     members, probes = found.where("role = 0").select("key", "block"), found.where("role = 1").select("key", "block")
     lows = rows.groupBy("key").agg(F.min("id").alias("low"))
     sets = _sets_of(base, written(lows.join(found.select("key").distinct(), "key", "left_semi"), "used"), size)

@@ -56,6 +56,7 @@ def test_many_ids_are_joined_and_frequent_lists_stay_rows(spark, monkeypatch):
     monkeypatch.setattr(jj, "MAX_BROADCAST_IDS", 3)
     monkeypatch.setattr(jj, "HEAVY_CLASS", 1)
     monkeypatch.setattr(jj, "SLOT_BITS", 16)
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 300)
     rows = corpus(2, 180)
     assert run(spark, rows) == brute(rows)
 

@@ -246,7 +246,7 @@ def identify(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> D
             data, offsets = bt.column_bytes(batch[text_col])
             langs: list[str] = []
             scores: list[float] = []
-            for i, j in bt.pieces(offsets, 8 << 20):
+            for i, j in bt.pieces(offsets, 1 << 20):
                 piece = data[offsets[i] : offsets[j]]
                 w = bt.words(data, offsets[i : j + 1], letters)
                 n = np.diff(w.first)

@@ -20,8 +20,8 @@ documents with its result in the shared folder:
    that are not of one component already meet, since the answer of a set that is highly similar
    to a computed one follows from that one's component.
 
-Frequent shingles are not gathered in a task: their lists stay rows. Shingles are 64-bit hashes
-and classes 64-bit fingerprints. Null texts and texts without words have the empty set and link
+Frequent shingles are not gathered in a task: their lists stay rows. Lists hold as many leading
+bytes of a hash as the corpus needs. Shingles are 64-bit hashes and classes 64-bit fingerprints. Null texts and texts without words have the empty set and link
 with nothing; repeated ids are judged by their own texts; an empty table gives no rows.
 """
 
@@ -122,7 +122,26 @@ def _slot_classes(described: DataFrame, tokens: int) -> np.ndarray:
     return out
 
 
-def _prefixes(size: int, num: int, den: int, classes):
+def _token_bytes(tokens: int) -> int:
+    """Leading bytes of a hash that lists hold: enough that of 256 shingles of the corpus hardly
+    one shares them with another. Those that do only add candidates; whole sets decide."""
+    return min(8, max(5, -(-(tokens.bit_length() + 8) // 8)))
+
+
+def _narrow(token: np.ndarray, width: int) -> bytes:
+    """The ``width`` leading bytes of each hash."""
+    return token.view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
+def _widen(blob, width: int) -> np.ndarray:
+    """The hashes of :func:`_narrow`, with zeros for what it left out."""
+    part = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, 8 - width :] = part
+    return out.view(np.uint64).ravel()
+
+
+def _prefixes(size: int, num: int, den: int, classes, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = classes.value
         seen: set[int] = set()
@@ -141,7 +160,7 @@ def _prefixes(size: int, num: int, den: int, classes):
                     s = s[np.argsort(c, kind="stable")]
                 keys.append(key)
                 ns.append(n)
-                blobs.append(s[:keep].tobytes())
+                blobs.append(_narrow(s[:keep], width))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())], ["key", "n", "prefix"]
             )
@@ -149,17 +168,17 @@ def _prefixes(size: int, num: int, den: int, classes):
     return run
 
 
-def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> bytes:
+def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray, width: int) -> bytes:
     """Postings column by column: sets that repeat compress well there."""
-    return token.tobytes() + key.tobytes() + n.tobytes()
+    return key.tobytes() + n.tobytes() + _narrow(token, width)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = len(blob) // 20
-    return np.frombuffer(blob, np.uint64, m), np.frombuffer(blob, np.int64, m, 8 * m), np.frombuffer(blob, np.int32, m, 16 * m)
+def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = len(blob) // (12 + width)
+    return _widen(blob[12 * m :], width), np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.int32, m, 8 * m)
 
 
-def _postings(buckets: int, classes):
+def _postings(buckets: int, classes, width: int):
     """Prefixes as packed postings per bucket of tokens. Frequent tokens go to negative buckets
     by set, since their lists are known to be long and need no gathering."""
 
@@ -169,7 +188,7 @@ def _postings(buckets: int, classes):
             rows = batch.num_rows
             for lo in range(0, rows, 2000):
                 part = batch.slice(lo, 2000)
-                pre = [np.frombuffer(b, np.uint64) for b in part["prefix"].to_pylist()]
+                pre = [_widen(b, width) for b in part["prefix"].to_pylist()]
                 if not pre:
                     continue
                 size = np.array([len(p) for p in pre])
@@ -182,33 +201,36 @@ def _postings(buckets: int, classes):
                 token, key, n, bucket = token[order], key[order], n[order], bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.append(cut[1:], len(bucket))
-                blobs = [_pack(token[i:j], key[i:j], n[i:j]) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
+                blobs = [_pack(token[i:j], key[i:j], n[i:j], width) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(width: int):
     """The postings of lists of two sets or more."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
     def rows(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(n)], ["token", "key", "n"])
 
-    for batch in batches:
-        for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
-            if b < 0:
-                yield rows(*_unpack(blob))
-            else:
-                held.setdefault(b, []).append(_unpack(blob))
-    for b in list(held):
-        token, key, n = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
-        order = np.argsort(token, kind="stable")
-        token, key, n = token[order], key[order], n[order]
-        same = token[1:] == token[:-1]
-        several = np.r_[False, same] | np.r_[same, False]
-        if several.any():
-            yield rows(token[several], key[several], n[several])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                if b < 0:
+                    yield rows(*_unpack(blob, width))
+                else:
+                    held.setdefault(b, []).append(_unpack(blob, width))
+        for b in list(held):
+            token, key, n = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+            order = np.argsort(token, kind="stable")
+            token, key, n = token[order], key[order], n[order]
+            same = token[1:] == token[:-1]
+            several = np.r_[False, same] | np.r_[same, False]
+            if several.any():
+                yield rows(token[several], key[several], n[several])
+
+    return run
 
 
 def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
@@ -465,13 +487,14 @@ def jaccard_components(
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     classes = spark.sparkContext.broadcast(_slot_classes(described, tokens))
     buckets = max(n_shuffle, -(-tokens * (den - num) // den // BUCKET_POSTINGS))
+    width = _token_bytes(tokens)
     prefixes = (
-        base.select("id", "text").mapInArrow(_prefixes(size, num, den, classes), "key long, n long, prefix binary")
+        base.select("id", "text").mapInArrow(_prefixes(size, num, den, classes, width), "key long, n long, prefix binary")
         .groupBy("key", "n").agg(F.first("prefix").alias("prefix"))
     )
     lists = written(
-        prefixes.mapInArrow(_postings(buckets, classes), "bucket long, blob binary")
-        .repartition(buckets, "bucket").mapInArrow(_lists, "token long, key long, n int"), "lists",
+        prefixes.mapInArrow(_postings(buckets, classes, width), "bucket long, blob binary")
+        .repartition(buckets, "bucket").mapInArrow(_lists(width), "token long, key long, n int"), "lists",
     )
     homes = written(_homes(lists), "blocks")
     found = _candidates(homes, num, den)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import routing as rt, text as tx
-from ..operators import evals, limits
+from ..operators import containment, evals, limits
 from ..streaming import streams
 from . import flow
 from .tables import t
@@ -189,15 +189,10 @@ def eval_summary(spark, sf_dir):
 
 
 def fact_containment_join(spark, sf_dir):
-    """Documents that hold the first thirty characters of a benchmark passage.
-
-    A containment has no equi-key of its own: the fact's first eight characters are one, met by
-    the positions of the document at which a word begins."""
-    b = t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(30))).alias("fact")).withColumn("k", F.left("fact", F.lit(8)))
+    """Documents that hold the first thirty characters of a benchmark passage, at any offset."""
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(30))).alias("fact"))
     d = t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    starts = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?s)(?=(.{30}))(?:\b|(?<=\s)|^)"), F.lit(1)))).alias("piece"))
-    hits = starts.join(b, (F.left("piece", F.lit(8)) == F.col("k")) & (F.col("piece") == F.col("fact")))
-    return hits.select("item_id", "doc_id").distinct()
+    return containment.holding(d, b, "doc_id", "low", "item_id", "fact")
 
 
 def stream_counters(spark, sf_dir):

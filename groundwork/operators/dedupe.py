@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+_SUFFIX = re.compile("[1-9][0-9]*")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -22,18 +26,52 @@ def anti_merge(existing: DataFrame, new: DataFrame, key: str, order: Sequence[st
     return existing.unionByName(added, allowMissingColumns=True), added
 
 
+def _free_ids(key: str):
+    """Ids in the order of the rows, which come by root. The state is one number per base of the
+    root: its last suffix. A base that was met is taken, and so are all its suffixes up to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, {}
+        for batch in batches:
+            out = []
+            for root, base in zip(batch["__root"].to_pylist(), batch[key].to_pylist(), strict=True):
+                if root != at:
+                    at, last = root, {}
+                if base is None:
+                    out.append(None)
+                    continue
+                n = last.get(base)
+                if n is None:
+                    n = 0
+                    parent, _, k = base.rpartition("-")
+                    if not (_SUFFIX.fullmatch(k) and last.get(parent, 0) >= int(k)):
+                        last[base] = 0
+                        out.append(base)
+                        continue
+                n += 1
+                while f"{base}-{n}" in last:
+                    n += 1
+                last[base] = n
+                out.append(f"{base}-{n}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "__out"])
+
+    return run
+
+
 def suffix_ids(df: DataFrame, key: str, order: Sequence[str], out: str = "unique_id") -> DataFrame:
-    """Equal ids get -1, -2, ... in order, the first stays. A name that is taken already moves the
-    suffix on past it, by the number of taken suffixes up to there."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return df.withColumn("__n", nth).withColumn(
-        out, F.when(F.col("__n") == 0, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("__n").cast("string")))
-    ).drop("__n")
+    """Each row in order takes its id, or the id with the smallest of -1, -2, ... that no row before
+    it has. Names that can meet share a root, the name without its numbers at the end; the rows of
+    a root are read in order by one task."""
+    df = df.withColumn("__root", F.regexp_replace(key, r"(-[0-9]+)+\z", ""))
+    dealt = df.repartition("__root").sortWithinPartitions("__root", *order)
+    done = dealt.mapInArrow(_free_ids(key), T.StructType([*dealt.schema.fields, T.StructField("__out", T.StringType())]))
+    return done.withColumn(out, F.col("__out")).drop("__root", "__out")
 
 
-def next_free_id(base: Column, used: Column, limit: int = 1000) -> Column:
-    """``base``, or with the smallest suffix that ``used`` (an array) does not hold."""
-    tried = F.transform(F.sequence(F.lit(1), F.lit(limit)), lambda i: F.concat_ws("-", base, i.cast("string")))
+def next_free_id(base: Column, used: Column) -> Column:
+    """``base``, or with the smallest suffix that ``used`` (an array) does not hold: one of as many
+    suffixes as it has entries, and one more, is free."""
+    tried = F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda i: F.concat_ws("-", base, i.cast("string")))
     free = F.element_at(F.filter(tried, lambda t: ~F.array_contains(used, t)), 1)
     return F.when(F.array_contains(used, base), free).otherwise(base)
 

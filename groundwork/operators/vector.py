@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .tables import written
+
 #: Queries are broadcast up to this many rows; more are searched block by block.
 MAX_QUERIES = 10_000
 
@@ -17,11 +21,21 @@ def inner(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, *, by: str = "collection", digits: int = 5) -> DataFrame:
     """(query_id, ``by``, rank, vec_id, score): the best ``k`` per query and collection.
 
-    ``queries``: query_id, query_vector; ``vectors``: vec_id, ``by``, embedding. The query set is
-    stated and bounded, so it meets all rows as a broadcast side; each task keeps its best ``k``
-    per query before the shuffle. Scores are rounded before they rank; ties go to the lower id."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them block by block")
+    ``queries``: query_id, query_vector; ``vectors``: vec_id, ``by``, embedding. The queries meet
+    all rows as a broadcast side; each task keeps its best ``k`` per query before the shuffle. More
+    than ``MAX_QUERIES`` are dealt by hash into blocks, one pass each, whose results are written.
+    Scores are rounded before they rank; ties go to the lower id."""
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return _best(queries, vectors, k, by, digits)
+    queries = written(queries, "queries")
+    # A fifth is left free, as blocks by hash differ in size.
+    n_blocks = -(-queries.count() * 5 // (MAX_QUERIES * 4))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    parts = [written(_best(queries.where(block == i), vectors, k, by, digits), "nearest") for i in range(n_blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best(queries: DataFrame, vectors: DataFrame, k: int, by: str, digits: int) -> DataFrame:
     pairs = vectors.crossJoin(F.broadcast(queries))
     scored = pairs.select("query_id", by, "vec_id", F.round(inner(F.col("query_vector"), F.col("embedding")), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id", by).orderBy(F.col("score").desc(), "vec_id"))

@@ -204,7 +204,7 @@ def stream_windows(spark, sf_dir):
 
 
 def stream_rate_limit(spark, sf_dir):
-    return streams.run_available(streams.anchored(streams.events(spark, sf_dir), 86_400, 3), "append").select("event_id", "n_in_window", "status")
+    return streams.run_anchored(streams.events(spark, sf_dir), 86_400, 3).select("event_id", "n_in_window", "status")
 
 
 def stream_harvest_dedupe(spark, sf_dir):

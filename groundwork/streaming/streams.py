@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import limits
+from ..operators.tables import folder
+
 LATE = "10 days"
 
 
@@ -34,25 +35,31 @@ def deduped(df: DataFrame) -> DataFrame:
     return e.dropDuplicatesWithinWatermark(["identifier", "day"])
 
 
-def anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
-    """Limits by windows that start with a key's first request; state: start and count per key."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["m", "event_id"], kind="stable")
-        out = []
-        for event_id, m in zip(rows["event_id"], rows["m"], strict=True):
-            if start is None or m - start >= window_s * 1_000_000:
-                start, n = int(m), 0
-            n += 1
-            out.append((int(event_id), n, 429 if n > limit else 200))
-        state.update((start, n))
-        yield pd.DataFrame(out, columns=["event_id", "n_in_window", "status"])
-
-    rows = df.select("user_id", "event_id", F.unix_micros("time").alias("m"))
-    return rows.groupBy("user_id").applyInPandasWithState(
-        step, "event_id long, n_in_window int, status int", "start long, n int", "append", "NoTimeout"
-    )
+def run_anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
+    """Limits by windows that start with a key's first request, as a table in the shared folder.
+
+    A micro-batch goes through the batch operator with the windows that earlier ones left open:
+    start and count per key, a written table per batch. Nothing holds a key's rows at once, so one
+    batch may be the whole input. Files are not split over batches by a limit of their own: rows
+    count in the order of time within a batch, and only if files come in that order do more
+    batches give the same counts."""
+    spark, name = df.sparkSession, folder(df.sparkSession, "stream")
+    kept, out = "user_id long, start long, n int", "event_id long, n_in_window int, status int"
+    spark.createDataFrame([], out).write.parquet(f"{name}/out/batch=-1")
+
+    def step(batch: DataFrame, i: int) -> None:
+        s = batch.sparkSession
+        old = s.read.schema(kept).parquet(f"{name}/open/{i - 1}") if i else None
+        got = limits.anchored_limit(batch, "user_id", F.unix_micros("time"), "event_id", window_s, limit, state=old)
+        got.select("user_id", "start", "event_id", "n_in_window", "status").write.mode("overwrite").parquet(f"{name}/out/batch={i}")
+        ends = s.read.schema(f"{kept.replace('n int', 'n_in_window int')}").parquet(f"{name}/out/batch={i}").where("start IS NOT NULL")
+        ends = ends.select("user_id", "start", F.col("n_in_window").alias("n"))
+        ends = ends if old is None else ends.unionByName(old)
+        last = ends.groupBy("user_id").agg(F.max(F.struct("start", "n")).alias("x"))
+        last.select("user_id", "x.start", "x.n").write.mode("overwrite").parquet(f"{name}/open/{i}")
+
+    df.writeStream.foreachBatch(step).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out).parquet(f"{name}/out").select("event_id", "n_in_window", "status")
 
 
 def run_available(df: DataFrame, mode: str) -> DataFrame:

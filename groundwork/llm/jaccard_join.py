@@ -7,22 +7,28 @@ documents with its result in the shared folder:
 2. A count of shingles per hash slot (``SLOT_BITS``, fixed size) gives the order in which every
    set lists its shingles: rare slots first, then by hash. Any order is exact; this one keeps
    frequent passages out of the prefixes.
-3. Every pair that links shares a shingle of its prefixes. Index lists are grouped by shingle;
-   lists of one set go at once. In a list, a set meets only sets of a size within the threshold
-   and at positions from which the overlap can still be reached: the rest is skipped by block.
-4. Every set has a home block: its longest list, within a size band, cut by hash so that a block
-   holds at most ``BLOCK_SHINGLES`` shingles. A set that shares enough listed shingles with a block
-   as a whole meets the lists of its members in one task. A pair must share so many that the rest
-   can make up the threshold; a set is kept with the block if any pair does. Pairs are never rows.
-5. A task indexes a block's whole sets by shingle and reads off a set's exact intersections with
-   all of them at once. Set relations save the rest: first every set meets its own block only;
-   then one set of each component of a block meets the other blocks; then only sets and blocks
-   that are not of one component already meet, since the answer of a set that is highly similar
-   to a computed one follows from that one's component.
+3. Index lists: every pair that links shares a shingle of its prefixes. A posting is a shingle, a
+   set, its size and the shingle's position in the set. Lists of one set go at once.
+4. Blocks: a set's home is its longest list within a size band, and a home is cut by hash into
+   blocks of bounded sets and shingles (:func:`_parts`). A list is thereby cut into blocks too.
+5. Skipping by position: a shingle at position i of one set and j of another bounds what the two can
+   share by n - (i - j) or m - (j - i). A set skips a whole block of a list if no position in it can
+   reach the needed overlap, and within a block it reads only the postings at positions that can.
+6. First round: every set meets its own block, and a few sets of a home meet all its blocks, so
+   that a large group of near copies soon is one component.
+7. Second round: blocks are dealt anew by component, and sets meet blocks (of all homes) of which
+   not everything is of their own component: of a pair that is, the answer is known. Sets that
+   ask one block are split into parts, each with the block's members, so no task holds a hot one.
+8. Answers: in a block, a set's intersections with all members are read off an index. A set that is
+   highly similar to one whose answer is computed takes that answer, less the lists of the
+   shingles that it lacks, plus those of the shingles that it has besides (:class:`_Block`).
 
 Frequent shingles are not gathered in a task: their lists stay rows. Lists hold as many leading
-bytes of a hash as the corpus needs. Shingles are 64-bit hashes and classes 64-bit fingerprints. Null texts and texts without words have the empty set and link
-with nothing; repeated ids are judged by their own texts; an empty table gives no rows.
+bytes of a hash as the corpus needs. Shingles are 64-bit hashes and classes 64-bit fingerprints.
+Null texts and texts without words have the empty set and link with nothing. Null ids are judged
+by their texts and report the id of a set they link to, or null. Repeated ids are judged by their
+own texts, repeated rows are one class and a row each. An empty table gives no rows. Of other
+columns those in ``carry`` are returned, as they are; ties have no part, as every link counts.
 """
 
 from __future__ import annotations
@@ -36,15 +42,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as bt
 from .components import components
-from .shared import written
+from .shared import Scratch
 
 SLOT_BITS, CHUNK_BITS = 22, 16
 FLUSH_TOKENS = 8_000_000
 BUCKET_POSTINGS = 1_000_000
-#: Up to so many set ids (8 bytes each) are broadcast to pick texts; more are joined.
-MAX_BROADCAST_IDS = 2_000_000
 HEAVY_CLASS = 6
-BLOCK_SHINGLES = 2_000_000
+#: A block holds at most about so many shingles, and so many sets or, for a home of more, as many
+#: as keep the number of blocks to a share of the root of its sets.
+BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 256
+#: Sets of a home that meet all its blocks.
+HUBS = 8
+#: The largest bit table that picks texts is 2**27 bits, 16 MB, whatever the number of sets.
+MAX_PICK_BITS = 27
+#: Answers kept in a block, and the similarity from which one is derived from another.
+ANSWERS, DERIVE = 32, 0.6
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -65,12 +77,13 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Rec
             yield batch, i, [flat[borders[k] : borders[k + 1]] for k in range(j - i)]
 
 
-def _describe(size: int):
-    """Rows of sets (kind 0) and of slot counts (kind 1)."""
+def _describe(size: int, carry: list[str]):
+    """Rows of sets (kind 0), with the carried columns, and of slot counts (kind 1)."""
+    names = ["kind", "id", "n", "key", "blob", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        count = 0
+        count, empty = 0, None
 
         def flush() -> Iterator[pa.RecordBatch]:
             slots = np.concatenate(held) if held else np.empty(0, np.uint32)
@@ -80,16 +93,16 @@ def _describe(size: int):
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                ["kind", "id", "n", "key", "blob"],
+                 pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()), *[pa.nulls(n, t) for t in empty]],
+                names,
             )
 
         for batch, i, sets in _sets(batches, size):
-            n = len(sets)
+            n, empty = len(sets), [batch[c].type for c in carry]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * n, pa.int32()), batch["id"].slice(i, n), pa.array(map(len, sets), pa.int64()),
-                 pa.array(map(fingerprint, sets), pa.int64()), pa.nulls(n, pa.binary())],
-                ["kind", "id", "n", "key", "blob"],
+                 pa.array(map(fingerprint, sets), pa.int64()), pa.nulls(n, pa.binary()), *[batch[c].slice(i, n) for c in carry]],
+                names,
             )
             for s in sets:
                 held.append((s >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
@@ -168,14 +181,14 @@ def _prefixes(size: int, num: int, den: int, classes, width: int):
     return run
 
 
-def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray, width: int) -> bytes:
+def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, width: int) -> bytes:
     """Postings column by column: sets that repeat compress well there."""
-    return key.tobytes() + n.tobytes() + _narrow(token, width)
+    return key.tobytes() + n.tobytes() + pos.tobytes() + _narrow(token, width)
 
 
-def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    m = len(blob) // (12 + width)
-    return _widen(blob[12 * m :], width), np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.int32, m, 8 * m)
+def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    m = len(blob) // (16 + width)
+    return _widen(blob[16 * m :], width), np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.int32, m, 8 * m), np.frombuffer(blob, np.int32, m, 12 * m)
 
 
 def _postings(buckets: int, classes, width: int):
@@ -194,14 +207,15 @@ def _postings(buckets: int, classes, width: int):
                 size = np.array([len(p) for p in pre])
                 token, key = np.concatenate(pre), np.repeat(part["key"].to_numpy(), size)
                 n = np.repeat(part["n"].to_numpy(), size).astype(np.int32)
+                pos = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
                 heavy = cls[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] >= HEAVY_CLASS
                 bucket = (bt.mix(token) % np.uint64(buckets)).astype(np.int64)
                 bucket[heavy] = -1 - (bt.mix(key[heavy].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                token, key, n, bucket = token[order], key[order], n[order], bucket[order]
+                token, key, n, pos, bucket = token[order], key[order], n[order], pos[order], bucket[order]
                 cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.append(cut[1:], len(bucket))
-                blobs = [_pack(token[i:j], key[i:j], n[i:j], width) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
+                blobs = [_pack(token[i:j], key[i:j], n[i:j], pos[i:j], width) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -210,11 +224,11 @@ def _postings(buckets: int, classes, width: int):
 def _lists(width: int):
     """The postings of lists of two sets or more."""
 
-    def rows(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(n)], ["token", "key", "n"])
+    def rows(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(n), pa.array(pos)], ["token", "key", "n", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
                 if b < 0:
@@ -222,17 +236,29 @@ def _lists(width: int):
                 else:
                     held.setdefault(b, []).append(_unpack(blob, width))
         for b in list(held):
-            token, key, n = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+            token, key, n, pos = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
             order = np.argsort(token, kind="stable")
-            token, key, n = token[order], key[order], n[order]
+            token, key, n, pos = token[order], key[order], n[order], pos[order]
             same = token[1:] == token[:-1]
             several = np.r_[False, same] | np.r_[same, False]
             if several.any():
-                yield rows(token[several], key[several], n[several])
+                yield rows(token[several], key[several], n[several], pos[several])
 
     return run
 
 
+BAND = 1.1
+
+
+def _low(block: Column) -> Column:
+    """The least size in a block: the last eight bits of its number are its size band."""
+    return F.floor(F.pow(F.lit(BAND), block.bitwiseAND(255)))
+
+
+def _high(block: Column) -> Column:
+    return F.ceil(F.pow(F.lit(BAND), block.bitwiseAND(255) + 1))
+
+
 def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
     """Prefix shingles that a set of ``n`` must share with one of ``low`` to ``high`` to reach the
     threshold. Beyond the prefix that ends first at most ceil(t * size) - 1 of its set are left;
@@ -243,164 +269,343 @@ def _least_shared(n: Column, low: Column, high: Column, num: int, den: int) -> C
     return F.greatest(F.lit(1), F.least(own, other))
 
 
-BAND = 1.1
+def _reachable(n: Column, pos: Column, block: Column, first: Column, last: Column, num: int, den: int) -> Column:
+    """Whether a set of ``n`` with a shingle at ``pos`` can link with one of the block that has it
+    at positions ``first`` to ``last``; one shingle of slack covers rounding."""
+    u = num / (num + den)
+    least = F.greatest(_low(block), F.floor(n * (num / den)))
+    most = F.least(_high(block), F.ceil(n * (den / num)))
+    return (pos - last <= n - (n + least) * u + 1) & (first - pos <= most - (n + most) * u + 1)
 
 
-def _low(block: Column) -> Column:
-    """The least size in a block: the last eight bits of its number are its size band."""
-    return F.floor(F.pow(F.lit(BAND), block.bitwiseAND(255)))
+def _parts(sets: Column, shingles: Column) -> Column:
+    """Into how many blocks a group of sets is cut."""
+    by_sets = F.least(sets / F.lit(float(BLOCK_SETS)), F.greatest(F.lit(1.0), F.sqrt(sets.cast("double")) / 4))
+    return F.ceil(F.greatest(by_sets, shingles / F.lit(float(BLOCK_SHINGLES))))
 
 
-def _high(block: Column) -> Column:
-    return F.ceil(F.pow(F.lit(BAND), block.bitwiseAND(255) + 1))
+def _number(band: Column, *of: Column) -> Column:
+    """A block's number: a hash, with the size band in the last eight bits."""
+    return F.shiftleft(F.shiftright(F.xxhash64(*of), 8), 8).bitwiseOR(band)
 
 
-def _homes(lists: DataFrame) -> DataFrame:
-    """(key, n, block, tokens): each set's block, and the set's listed shingles."""
+def _homes(lists: DataFrame, tmp: Scratch) -> DataFrame:
+    """(key, n, listed, home, band): each set's listed shingles with positions, and its longest list."""
     long = lists.groupBy("token").agg(F.count("*").alias("m"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")
-    home = lists.join(long, "token").groupBy("key", "n").agg(
-        F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list("token").alias("tokens")).withColumn("band", band)
-    home = written(home, "homes")
-    size = home.groupBy("home", "band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"))
-    hashed = F.xxhash64("home", "band", F.pmod(F.xxhash64("key"), F.col("parts")))
-    block = F.shiftleft(F.shiftright(hashed, 8), 8).bitwiseOR(F.col("band"))
-    return home.join(size, ["home", "band"]).select("key", "n", block.alias("block"), "tokens")
-
-
-def _candidates(homes: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, block, role): role 1 for sets with a possible partner in the block, role 0 for the
-    members of the block that may be one. Of two blocks the one with the smaller number asks."""
-    listed = homes.select(F.explode("tokens").alias("token"), "key", "n", F.col("block").alias("own"))
-    held = homes.select(F.explode("tokens").alias("token"), "block").groupBy("token", "block").agg(F.count("*").alias("m"))
-    block = F.col("block")
+    found = lists.join(long, "token").groupBy("key", "n").agg(
+        F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list(F.struct("token", "pos")).alias("listed"))
+    return tmp.write(found.withColumn("band", band), "homes")
+
+
+def _own_blocks(homes: DataFrame, tmp: Scratch) -> DataFrame:
+    """Rows of the first round: every set in its own block, and the hubs of each home that has
+    several blocks in all of them."""
+    group = homes.groupBy("home", "band").agg(F.count("*").alias("sets"), _parts(F.count("*"), F.sum("n")).alias("parts"))
+    group = group.where("sets > 1")
+    placed = homes.join(group, ["home", "band"])
+    number = lambda part: _number(F.col("band"), F.col("home"), F.col("band"), part)
+    own = placed.select(number(F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block"), F.lit(-1).alias("role"), "key", "n", "listed")
+    ranked = F.struct(F.xxhash64("key", F.lit(1)).alias("h"), "key", "n", "listed", "parts")
+    hubs = placed.where("parts > 1").groupBy("home", "band", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(HUBS)).alias("k")).agg(F.min_by(ranked, "key").alias("hub"))
+    hubs = hubs.select("home", "band", "hub.key", "hub.n", "hub.listed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hub.parts") - 1)).alias("part"))
+    hubs = hubs.select(number(F.col("part")).alias("block"), F.lit(1).alias("role"), "key", "n", "listed")
+    return tmp.write(own.unionByName(hubs).withColumn("part", F.lit(0)).withColumn("comp", F.col("key")), "own")
+
+
+def _blocks_by_component(homes: DataFrame, comp: DataFrame, tmp: Scratch) -> DataFrame:
+    """(key, n, listed, comp, whole, block): a component that fills a block has blocks of its own,
+    ``whole`` being one number for all of them; the others of a home share blocks."""
+    of = homes.join(comp, homes["key"] == comp["node"], "left").select(homes["*"], F.coalesce("label", "key").alias("comp"))
+    of = tmp.write(of, "components")
+    per = of.groupBy("home", "band", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    per = per.withColumn("subs", _parts(F.col("sets"), F.col("shingles")))
+    shared = per.where("subs = 1").groupBy("home", "band").agg(_parts(F.sum("sets"), F.sum("shingles")).alias("parts"))
+    own = of.join(per.where("subs > 1").select("home", "band", "comp", "subs"), ["home", "band", "comp"], "left").join(shared, ["home", "band"], "left")
+    large = F.col("subs").isNotNull()
+    among = F.when(large, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("parts", F.lit(1))))
+    own = own.withColumn("whole", _number(F.col("band"), F.col("home"), F.col("band"), large, among))
+    sub = F.pmod(F.xxhash64("key"), F.coalesce("subs", F.lit(1)))
+    return tmp.write(own.select("key", "n", "listed", "comp", "whole", _number(F.col("band"), F.col("whole"), sub).alias("block")), "blocks")
+
+
+def _apart(blocks: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """Rows of the second round: the sets that share enough listed shingles with a block of another
+    component, each pair of blocks from one side, and the members of the blocks that are asked."""
+    listed = blocks.select(F.explode("listed").alias("x"), "key", "n", "comp", "whole").select("x.token", "x.pos", "key", "n", "comp", F.col("whole").alias("own"))
+    held = listed.groupBy("token", F.col("own").alias("whole")).agg(
+        F.count("*").alias("m"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+    whole, own = F.col("whole"), F.col("own")
+    # A bit of both numbers says which of two blocks asks, so that neither asks all others.
+    asks = (own < whole) == (F.shiftright(own.bitwiseXOR(whole), 8).bitwiseAND(1) == 1)
     met = listed.join(held, "token").where(
-        (_low(block) * num <= F.col("n") * den) & (F.col("n") * num <= _high(block) * den)
-        & ((F.col("own") < block) | ((F.col("own") == block) & (F.col("m") > 1))))
-    met = met.groupBy("key", "n", "block").agg(F.count("*").alias("shared"))
-    met = met.where(F.col("shared") >= _least_shared(F.col("n"), _low(block), _high(block), num, den)).select("key", "block")
-    met = written(met, "met")
-    members = homes.join(met.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("role"), "key", "n", "tokens")
-    asking = met.join(homes.select("key", "n", "tokens"), "key").select("block", F.lit(1).alias("role"), "key", "n", "tokens")
-    tasks = int(homes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.union(asking).repartition(tasks, "block").sortWithinPartitions("block", "role", "key")
-    return written(dealt.mapInArrow(_count(num, den), "key long, block long, role int"), "candidates")
+        ((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp")))
+        & (((own != whole) & asks) | ((own == whole) & (F.col("m") > 1)))
+        & (_low(whole) * num <= F.col("n") * den) & (F.col("n") * num <= _high(whole) * den)
+        & _reachable(F.col("n"), F.col("pos"), whole, F.col("first"), F.col("last"), num, den))
+    met = met.groupBy("key", "n", "whole").agg(F.count("*").alias("shared"))
+    met = met.where(F.col("shared") >= _least_shared(F.col("n"), _low(whole), _high(whole), num, den)).select("key", "whole")
+    met = tmp.write(met.join(blocks.select("whole", "block").distinct(), "whole").select("key", "block"), "met")
+    return _with_parts(met, blocks, blocks.select("key", "n", "listed", "comp"), tmp)
+
+
+def _with_parts(probes: DataFrame, members: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
+    """Askers (role 1) split into parts of a block's size or BLOCK_SETS, and the block's members
+    (role 0) once for each part; ``sets`` has what else is known of a key."""
+    size = members.groupBy("block").agg(F.count("*").alias("held"))
+    load = probes.groupBy("block").agg(F.count("*").alias("asking")).join(size, "block")
+    load = load.select("block", F.ceil(F.col("asking") / F.greatest(F.lit(BLOCK_SETS), F.col("held"))).alias("parts"))
+    asking = probes.join(load, "block").select("key", "block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    each = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part")
+    there = members.select("key", "block").join(load, "block").select("key", "block", each, F.lit(0).alias("role"))
+    return tmp.write(asking.unionByName(there).join(sets, "key"), "asked")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by block and part, members before askers, askers of one component together."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "block", "part").sortWithinPartitions("block", "part", F.col("role") > 0, "comp", "key")
+
+
+class _Index:
+    """Sets by token, each list in order of positions where they are given."""
+
+    def __init__(self, sets: list[np.ndarray], positions: list[np.ndarray] | None = None):
+        self.n = len(sets)
+        flat = np.concatenate(sets)
+        pos = np.concatenate(positions) if positions else np.zeros(len(flat), np.int64)
+        order = np.lexsort((pos, flat)) if positions else np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        flat = flat[order]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        cut = np.flatnonzero(new)
+        self.token, self.first = flat[cut], np.r_[cut, len(flat)]
+        # Number of the list, then position: ascending, so a stretch of positions is found at once.
+        self.place = ((np.cumsum(new) - 1) << 32) | pos[order].astype(np.int64) if positions else None
+        self.read = self.skipped = 0
+
+    def _owners(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        count = b - a
+        places = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return np.bincount(self.owner[places], minlength=self.n)
+
+    def lists(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``s`` have a list, the lists)."""
+        at = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
+        ok = np.flatnonzero(self.token[at] == s)
+        return ok, at[ok]
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """Per set how many tokens of ``s`` it holds."""
+        _, at = self.lists(s)
+        return self._owners(self.first[at], self.first[at + 1])
+
+    def near(self, s: np.ndarray, pos: np.ndarray, before: int, after: int) -> np.ndarray:
+        """The same, over postings at positions from ``pos - before`` to ``pos + after``."""
+        ok, at = self.lists(s)
+        lo = np.maximum(pos[ok] - before, 0)
+        a = np.searchsorted(self.place, (at << 32) | lo)
+        b = np.maximum(a, np.searchsorted(self.place, (at << 32) | np.maximum(pos[ok] + after, 0), "right"))
+        read = int((b - a).sum())
+        self.read += read
+        self.skipped += int((self.first[at + 1] - self.first[at]).sum()) - read
+        return self._owners(a, b)
+
+
+def _least(n, m, num: int, den: int):
+    """The overlap that sets of ``n`` and ``m`` need."""
+    return -(-(n + m) * num // (num + den))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """(block, part, role, key, the values of ``columns``), as they come; a row that repeats the
+    one before is left out."""
+    last = None
+    for batch in batches:
+        names = ("block", "part", "role", "key")
+        for i, row in enumerate(zip(*(batch[c].to_pylist() for c in names), strict=True)):
+            if row != last:
+                yield (*row, *(batch[c][i] for c in columns))
+            last = row
+
+
+def _sent(batches: Iterator, names: list[str], types: list, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in batches:
+        held.append(row)
+        if len(held) >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held.clear()
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+
+class _Listed:
+    """The listed shingles of a block's members, and who may link with a set."""
+
+    def __init__(self, members: list[tuple], num: int, den: int):
+        self.keys, self.size, self.comp = (np.array([m[i] for m in members], np.int64) for i in range(3))
+        self.index = _Index([m[3] for m in members], [m[4] for m in members])
+        self.low, self.high = int(self.size.min()), int(self.size.max())
+        self.hit, self.num, self.den = np.zeros(len(members), bool), num, den
+
+    def candidates(self, key: int, n: int, comp: int, s: np.ndarray, pos: np.ndarray) -> bool:
+        num, den = self.num, self.den
+        able = (self.comp != comp) & (self.keys != key) & (den * np.minimum(self.size, n) >= num * np.maximum(self.size, n))
+        if not able.any():
+            return False
+        low, high = max(self.low, -(-n * num // den)), min(self.high, n * den // num)
+        shared = self.index.near(s, pos, n - _least(n, low, num, den), high - _least(n, high, num, den))
+        least = _least(self.size, n, num, den)
+        need = np.minimum(least + (-n * num // den), least + (-self.size * num // den)) + 1
+        ok = able & (shared >= np.maximum(need, 1))
+        self.hit |= ok
+        return bool(ok.any())
 
 
 def _count(num: int, den: int):
-    """Counts listed shingles that sets share with each member of a block."""
+    """(key, block, role) of sets and members that may link, by their listed shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index, hit = None, [], None, None
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
+        at, held, listed = None, [], None
+
+        def built() -> Iterator[tuple[int, int, int]]:
+            nonlocal listed
+            if listed is None and held:
+                listed = _Listed(held, num, den)
+                for key, n, comp, s, pos, asks in held:
+                    if asks and listed.candidates(key, n, comp, s, pos):
+                        yield key, at[0], -1
 
         def ended() -> Iterator[tuple[int, int, int]]:
-            if hit is not None:
-                for m in np.flatnonzero(hit).tolist():
-                    yield held[m][0], at, 0
+            yield from built()
+            if listed is not None:
+                for m in np.flatnonzero(listed.hit).tolist():
+                    yield held[m][0], at[0], 0
+
+        for block, part, role, key, n, comp, own in _groups(batches, ("n", "comp", "listed")):
+            if (block, part) != at:
+                yield from ended()
+                at, held, listed = (block, part), [], None
+            fields = own.values
+            s, pos = fields.field(0).to_numpy().view(np.uint64), fields.field(1).to_numpy().astype(np.int64)
+            me = (key, n.as_py(), comp.as_py(), s, pos)
+            if role <= 0:
+                held.append((*me, role < 0))
+                continue
+            yield from built()
+            if listed is not None and listed.candidates(*me):
+                yield key, block, 1
+        yield from ended()
 
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            tokens = batch["tokens"]
-            for i, (blk, role, key, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "role", "key", "n")), strict=True)):
-                t = np.sort(tokens[i].values.to_numpy().view(np.uint64))
-                if blk != at:
-                    out += ended()
-                    at, held, index, hit = blk, [], None, None
-                if role == 0:
-                    held.append((key, n, t))
-                    continue
-                if index is None:
-                    index = _Index([x[2] for x in held])
-                    keys, sizes, hit = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.zeros(len(held), bool)
-                shared = index.counts(t)
-                least = -(-(sizes + n) * num // (num + den))
-                need = np.minimum(least + (-n * num // den), least + (-sizes * num // den)) + 1
-                ok = (shared >= np.maximum(need, 1)) & (keys != key) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n))
-                if ok.any():
-                    hit |= ok
-                    out.append((key, blk, 1))
-            yield _rows(out)
-        yield _rows(list(ended()))
-
-    def _rows(out):
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["key", "block", "role"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(found(batches), ["key", "block", "role"], [pa.int64(), pa.int64(), pa.int32()])
 
     return run
 
 
-def _sets_of(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(key, s): the shingles of the sets in ``ids`` (key, low), built again from their texts, each
-    from the document with the class's lowest id. A row that repeats id and text may repeat it."""
-    spark = base.sparkSession
-    known = None
-    if ids.count() <= MAX_BROADCAST_IDS:
-        got = ids.toPandas()
-        known = spark.sparkContext.broadcast(dict(zip(got["key"].tolist(), got["low"].astype("Int64").tolist(), strict=True)))
+def _slot(key: np.ndarray, ident: np.ndarray, bits: int) -> np.ndarray:
+    x = key.view(np.uint64) ^ (ident.view(np.uint64) << np.uint64(44)) ^ (ident.view(np.uint64) << np.uint64(37))
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if known is None else known.value
-        seen: set[int] = set()
-        for batch, first, sets in _sets(batches, size):
-            keys, blobs = [], []
-            owners = batch["id"].slice(first, len(sets)).to_pylist()
-            for s, owner in zip(sets, owners, strict=True):
-                key = fingerprint(s)
-                if not len(s) or key in seen:
-                    continue
-                if wanted is not None and (key not in wanted or (wanted[key] is not None and wanted[key] != owner)):
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                keys.append(key)
-                blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "s"])
 
-    sets = base.select("id", "text").mapInArrow(run, "key long, s binary")
-    if known is None:
-        sets = sets.join(ids, "key", "left_semi").dropDuplicates(["key"])
-    return written(sets, "sets")
+def _picked(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit table over hashes of (key, low), made by Spark; its size is bounded."""
+    bits = min(MAX_PICK_BITS, max(18, int(wanted.count()).bit_length() + 4))
+    low = F.coalesce("low", F.lit(0).cast("long"))
+    mixed = F.col("key").bitwiseXOR(F.shiftleft(low, 44)).bitwiseXOR(F.shiftleft(low, 37))
+    slot = F.shiftrightunsigned(mixed, 64 - bits)
+    rows = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bitmap")).collect()
+    out = np.zeros(max(1, 1 << (bits - 15)) * 4096, np.uint8)
+    for r in rows:
+        out[r["chunk"] * 4096 : r["chunk"] * 4096 + len(r["bitmap"])] = np.frombuffer(r["bitmap"], np.uint8)
+    return bits, out
 
 
-class _Index:
-    """Sorted token arrays of some sets by token."""
+def _sets_of(base: DataFrame, wanted: DataFrame, size: int, tmp: Scratch) -> DataFrame:
+    """(key, s): the shingles of the sets in ``wanted`` (key, low), built again from their texts,
+    each from the document with the class's lowest id. A bit table of bounded size picks them, so
+    some come that were not asked for, or twice; the join on the key and the meeting drop these."""
+    sent = base.sparkSession.sparkContext.broadcast(_picked(wanted))
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = len(sets)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
-        flat = flat[order]
-        cut = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        self.token, self.first = flat[cut], np.r_[cut, len(flat)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, table = sent.value
+        seen: set[int] = set()
+        for batch, first, sets in _sets(batches, size):
+            owners = batch["id"].slice(first, len(sets)).fill_null(0).to_numpy()
+            keys = np.array([fingerprint(s) for s in sets], np.int64)
+            slot = _slot(keys, owners, bits)
+            hit = np.flatnonzero((table[slot >> 3] >> (slot & 7)) & 1)
+            out = []
+            for i in hit.tolist():
+                key = int(keys[i])
+                if len(sets[i]) and key not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(key)
+                    out.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[out], pa.int64()), pa.array([sets[i].tobytes() for i in out], pa.binary())], ["key", "s"])
 
-    def counts(self, s: np.ndarray) -> np.ndarray:
-        """Per set how many tokens of ``s`` it holds."""
-        at = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
-        at = at[self.token[at] == s]
-        count = self.first[at + 1] - self.first[at]
-        places = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return np.bincount(self.owner[places], minlength=self.n)
+    return tmp.write(base.select("id", "text").mapInArrow(run, "key long, s binary"), "sets")
 
 
 class _Block:
-    """The whole sets of a block, and which of them are of one component by now."""
+    """The whole sets of a block, which of them are of one component by now, and computed answers.
+
+    An answer is a set's intersection sizes with all members. It also says which members are highly
+    similar to the set: when one of these is asked about, its answer is derived from the set's by
+    the shingles in which the two differ. So is that of an asker that is similar to the last one."""
 
     def __init__(self, keys: list[int], sets: list[np.ndarray], comps: list[int]):
-        self.keys, self.comp, self.index = keys, np.array(comps, np.int64), _Index(sets)
+        self.keys, self.comp, self.sets, self.index = keys, np.array(comps, np.int64), sets, _Index(sets)
         self.size = np.array([len(s) for s in sets])
-
-    def links(self, s: np.ndarray, comp: int, num: int, den: int) -> np.ndarray:
+        self.same: dict[int, int] = {}
+        self.answers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.best, self.source = np.zeros(len(sets)), np.full(len(sets), -1)
+        self.computed = self.derived = 0
+
+    def now(self, comp: int) -> int:
+        while comp in self.same:
+            comp = self.same[comp]
+        return comp
+
+    def answer(self, s: np.ndarray, member: int | None) -> np.ndarray:
+        near = int(self.source[member]) if member is not None and self.best[member] >= DERIVE else self.computed - 1
+        if near in self.answers:
+            base, counts = self.answers[near]
+            at = np.minimum(np.searchsorted(base, s), len(base) - 1)
+            both = base[at] == s
+            common = int(both.sum())
+            if common >= DERIVE * (len(s) + len(base) - common):
+                lost = np.ones(len(base), bool)
+                lost[at[both]] = False
+                self.derived += 1
+                return counts + self.index.counts(s[~both]) - self.index.counts(base[lost])
+        counts = self.index.counts(s)
+        self.answers[self.computed] = (s, counts)
+        self.answers.pop(self.computed - ANSWERS, None)
+        alike = counts / (self.size + len(s) - counts)
+        closer = alike > self.best
+        self.best[closer], self.source[closer] = alike[closer], self.computed
+        self.computed += 1
+        return counts
+
+    def links(self, s: np.ndarray, comp: int, num: int, den: int, member: int | None = None) -> np.ndarray:
         """One linked member of each other component."""
-        able = (self.comp != comp) & (den * np.minimum(self.size, len(s)) >= num * np.maximum(self.size, len(s)))
+        able = (self.comp != self.now(comp)) & (den * np.minimum(self.size, len(s)) >= num * np.maximum(self.size, len(s)))
         if not able.any():
             return np.empty(0, np.int64)
-        both = self.index.counts(s)
+        both = self.answer(s, member)
         hit = np.flatnonzero(able & (den * both >= num * (self.size + len(s) - both)))
         return hit[np.unique(self.comp[hit], return_index=True)[1]]
 
     def join(self, a: int, b: int) -> None:
-        self.comp[self.comp == a] = b
+        """What links to a linked set is of its component: no further look is needed."""
+        a, b = self.now(a), self.now(b)
+        if a != b:
+            self.same[a] = b
+            self.comp[self.comp == a] = b
 
 
 def _meet(num: int, den: int):
@@ -408,82 +613,69 @@ def _meet(num: int, den: int):
     that meet it (role 1); members that meet their own block (role -1) do both. A task holds one
     block at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, members, ask, block, a, b = None, ([], [], []), [], None, [], []
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+        at, members, ask, block = None, ([], [], []), [], None
 
-        def meet(key: int, s: np.ndarray, comp: int) -> None:
-            for j in block.links(s, comp, num, den).tolist():
-                a.append(key)
-                b.append(block.keys[j])
-                # What links to a linked set is of its component: no further look is needed.
+        def meet(key: int, s: np.ndarray, comp: int, member: int | None = None) -> Iterator[tuple[int, int]]:
+            for j in block.links(s, comp, num, den, member).tolist():
+                yield key, block.keys[j]
                 block.join(int(block.comp[j]), comp)
 
-        def ready() -> None:
+        def ready() -> Iterator[tuple[int, int]]:
             nonlocal block
             if block is None and members[0]:
                 block = _Block(*members)
                 for m in ask:
-                    meet(members[0][m], members[1][m], int(block.comp[m]))
+                    yield from meet(members[0][m], members[1][m], members[2][m], m)
+
+        for blk, part, role, key, comp, own in _groups(batches, ("comp", "s")):
+            s, comp = np.frombuffer(own.as_buffer(), np.uint64).copy(), comp.as_py()
+            if (blk, part) != at:
+                yield from ready()
+                at, members, ask, block = (blk, part), ([], [], []), [], None
+            if role <= 0:
+                if role < 0:
+                    ask.append(len(members[0]))
+                for held, x in zip(members, (key, s, comp), strict=True):
+                    held.append(x)
+                continue
+            yield from ready()
+            if block is not None:
+                yield from meet(key, s, comp)
+        yield from ready()
 
-        for batch in batches:
-            for i, (blk, role, key, comp) in enumerate(zip(*(batch[c].to_pylist() for c in ("block", "role", "key", "comp")), strict=True)):
-                s = np.frombuffer(batch["s"][i].as_buffer(), np.uint64).copy()
-                if blk != at:
-                    ready()
-                    at, members, ask, block = blk, ([], [], []), [], None
-                if role <= 0:
-                    if role < 0:
-                        ask.append(len(members[0]))
-                    for held, x in zip(members, (key, s, comp), strict=True):
-                        held.append(x)
-                    continue
-                ready()
-                if block is not None:
-                    meet(key, s, comp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
-        ready()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _sent(links(batches), ["a", "b"], [pa.int64(), pa.int64()])
 
     return run
 
 
-def _round(members: DataFrame, probes: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """The links that sets find in the blocks that they meet. ``members`` (key, block, role),
-    ``probes`` (key, block), ``comp`` (node, label) so far."""
-    both = members.select("key", "block", "role").unionByName(probes.select("key", "block").withColumn("role", F.lit(1)))
-    both = both.join(comp, both["key"] == comp["node"], "left").select("key", "block", "role", F.coalesce("label", "key").alias("comp"))
-    both = written(both, "meetings")
-    small = F.broadcast(both) if both.count() <= MAX_BROADCAST_IDS else both
-    tasks = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sets.join(small, "key").repartition(tasks, "block").sortWithinPartitions("block", F.col("role") > 0, "key")
-    return written(dealt.select("block", "role", "key", "comp", "s").mapInArrow(_meet(num, den), "a long, b long"), "links")
+def _links(rows: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """``rows`` (block, part, role, key, comp, s) met."""
+    return tmp.write(_dealt(rows).select("block", "part", "role", "key", "comp", "s").mapInArrow(_meet(num, den), "a long, b long"), "links")
 
 
-def _apart(probes: DataFrame, homes: DataFrame, comp: DataFrame, single: bool) -> DataFrame:
-    """The probes of blocks that hold another component than the set's own; with ``single`` one
-    set for each component and block."""
-    label = F.coalesce("label", "key").alias("comp")
-    held = homes.join(comp, homes["key"] == comp["node"], "left").select("block", label)
-    held = held.groupBy("block").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    mine = probes.join(comp, probes["key"] == comp["node"], "left").select("key", "block", label)
-    left = mine.join(held, "block").where((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp")))
-    if single:
-        left = left.groupBy("comp", "block").agg(F.min("key").alias("key"))
-    return written(left.select("key", "block"), "apart")
+def _candidates(rows: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
+    """(key, block, role) of the sets of ``rows`` that may link there."""
+    counted = _dealt(rows).select("block", "part", "role", "key", "n", "comp", "listed").mapInArrow(_count(num, den), "key long, block long, role int")
+    return tmp.write(counted.groupBy("key", "block", F.col("role") > 0).agg(F.min("role").alias("role")).select("key", "block", "role"), "candidates")
 
 
 def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per document: ``id_col``, n_shingles, class_key and component_id (the smallest id
-    that links lead to). Null ids are judged and report null unless they link to another."""
+    """One row per document: ``id_col``, n_shingles, class_key, group_key (one value per component,
+    null without words), component_id (the smallest id that links lead to) and the ``carry`` columns."""
     spark = docs.sparkSession
+    tmp = Scratch(spark)
     n_shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = written(base.mapInArrow(_describe(size), "kind int, id long, n long, key long, blob binary"), "described")
-    rows = described.where("kind = 0").select("id", "n", "key")
+    kept = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)]
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *kept)
+    extra = [f for f in base.schema if f.name.startswith("carry_")]
+    names = [f.name for f in extra]
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
+    described = tmp.write(base.mapInArrow(_describe(size, names), f"kind int, id long, n long, key long, blob binary{types}"), "described")
+    rows = described.where("kind = 0").select("id", "n", "key", *names)
     tokens = rows.agg(F.sum("n")).first()[0] or 0
     classes = spark.sparkContext.broadcast(_slot_classes(described, tokens))
     buckets = max(n_shuffle, -(-tokens * (den - num) // den // BUCKET_POSTINGS))
@@ -492,34 +684,37 @@ def jaccard_components(
         base.select("id", "text").mapInArrow(_prefixes(size, num, den, classes, width), "key long, n long, prefix binary")
         .groupBy("key", "n").agg(F.first("prefix").alias("prefix"))
     )
-    lists = written(
+    lists = tmp.write(
         prefixes.mapInArrow(_postings(buckets, classes, width), "bucket long, blob binary")
-        .repartition(buckets, "bucket").mapInArrow(_lists(width), "token long, key long, n int"), "lists",
+        .repartition(buckets, "bucket").mapInArrow(_lists(width), "token long, key long, n int, pos int"), "lists",
     )
-    homes = written(_homes(lists), "blocks")
-    found = _candidates(homes, num, den)
-    members, probes = found.where("role = 0").select("key", "block"), found.where("role = 1").select("key", "block")
-    lows = rows.groupBy("key").agg(F.min("id").alias("low"))
-    sets = _sets_of(base, written(lows.join(found.select("key").distinct(), "key", "left_semi"), "used"), size)
-    # Members of a block that ask within it: one row does for both.
-    inside = members.join(probes.withColumn("asks", F.lit(-1)), ["key", "block"], "left").select("key", "block", F.coalesce("asks", F.lit(0)).alias("role"))
-    none = spark.createDataFrame([], "node long, label long")
-    links = _round(inside, probes.where("false"), sets, none, num, den)
-    comp = components(links)
-    # Sets of other blocks, and members that only ask.
-    probes = written(probes.join(members, ["key", "block"], "left_anti"), "outside")
-    for single in (True, False):
-        left = _apart(probes, members, comp, single)
-        asked = members.join(left.select("block").distinct(), "block", "left_semi").withColumn("role", F.lit(0))
-        links = links.unionByName(_round(asked, left, sets, comp, num, den))
-        comp = components(links)
+    homes = _homes(lists, tmp)
+    tmp.drop(lists)
+    lows = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
+    # First round: own blocks.
+    found = _candidates(_own_blocks(homes, tmp), num, den, tmp)
+    sets = _sets_of(base, lows.join(found.select("key").distinct(), "key", "left_semi"), size, tmp)
+    # A hub is a member of its own block: one row does for both.
+    inside = found.groupBy("key", "block").agg(F.min("role").alias("role")).withColumn("part", F.lit(0)).withColumn("comp", F.col("key"))
+    links = _links(inside.join(sets, "key"), num, den, tmp)
+    comp = components(links, tmp)
+    # Second round: blocks of other components.
+    blocks = _blocks_by_component(homes, comp, tmp)
+    tmp.drop(homes)
+    found = _candidates(_apart(blocks, num, den, tmp), num, den, tmp)
+    more = lows.join(found.select("key").distinct(), "key", "left_semi").join(sets.select("key").distinct(), "key", "left_anti")
+    both = sets.unionByName(_sets_of(base, tmp.write(more, "more"), size, tmp))
+    of = blocks.select("key", "comp").join(found.select("key").distinct(), "key", "left_semi")
+    asked = _with_parts(found.where("role = 1").select("key", "block"), found.where("role = 0").select("key", "block"), of, tmp)
+    links = links.unionByName(_links(asked.join(both, "key"), num, den, tmp))
+    comp = components(links, tmp)
     # From classes to documents: the smallest id of a component, over all its classes' copies.
-    ids = rows.groupBy("key", "n").agg(F.min("id").alias("low"))
-    ids = ids.join(comp, ids["key"] == comp["node"], "left").select("key", "n", "low", F.coalesce("label", "key").alias("comp"))
-    ids = written(ids, "classes")
-    lowest = ids.where("n > 0").groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = ids.where("n > 0").join(lowest, "comp").select(F.col("key"), "component_id")
-    full = rows.where("n > 0").join(ids, "key")
-    bare = rows.where("n = 0").withColumn("component_id", F.col("id"))
-    out = full.select("id", "n", "key", "component_id").union(bare.select("id", "n", "key", "component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), "component_id")
+    ids = lows.join(comp, lows["key"] == comp["node"], "left").select("key", "low", F.coalesce("label", "key").alias("comp"))
+    ids = tmp.write(ids, "classes")
+    lowest = ids.groupBy("comp").agg(F.min("low").alias("component_id"))
+    ids = ids.join(lowest, "comp").select("key", F.col("comp").alias("group_key"), "component_id")
+    out = rows.join(ids, "key", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), "group_key",
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)])
+    return tmp.result(out, "jaccard")

@@ -9,21 +9,60 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, a new one."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, the session's
+    checkpoint folder or, in local mode alone, a new one that becomes it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc = spark.sparkContext
+        path = sc.getCheckpointDir()
+        if not path:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            path = tempfile.mkdtemp(prefix="spark-shared-")
+            sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/groundwork-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and a lost executor costs
     nothing that was computed before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/groundwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whichever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables in the shared folder that one operator writes, and removes once they are used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for out, path in [h for h in self.held if any(h[0] is t for t in tables)]:
+            delete_path(self.spark, path)
+            self.held = [h for h in self.held if h[0] is not out]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as the operator's table; all others go."""
+        out = self.write(df, name)
+        self.drop(*[h[0] for h in self.held if h[0] is not out])
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -61,9 +61,12 @@ class Scratch:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as the operator's table; all others go."""
         out = self.write(df, name)
-        self.drop(*[h[0] for h in self.held if h[0] is not out])
+        self.clear(out)
         return out
 
+    def clear(self, *but: DataFrame) -> None:
+        self.drop(*[h[0] for h in self.held if not any(h[0] is b for b in but)])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,3 +93,9 @@ def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
         return df
     steps = 1 << 40
     return df.where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.lit(int(n / total * steps))).limit(2 * n)
+
+
+def stretch_of(text: Column, key: Column, size: int) -> Column:
+    """The text or, of a longer one, ``size`` characters from a place that a hash of ``key`` picks."""
+    at = F.pmod(F.xxhash64(key, F.length(text)), F.length(text) - size + 1).cast("int") + 1
+    return F.when(F.length(text) <= size, text).otherwise(F.substring(text, at, F.lit(size)))

@@ -28,7 +28,8 @@ bytes of a hash as the corpus needs. Shingles are 64-bit hashes and classes 64-b
 Null texts and texts without words have the empty set and link with nothing. Null ids are judged
 by their texts and report the id of a set they link to, or null. Repeated ids are judged by their
 own texts, repeated rows are one class and a row each. An empty table gives no rows. Of other
-columns those in ``carry`` are returned, as they are; ties have no part, as every link counts.
+columns those in ``carry`` are returned as they are, but for names of the result; ties have no part,
+as every link counts.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ SLOT_BITS, CHUNK_BITS = 22, 16
 FLUSH_TOKENS = 8_000_000
 BUCKET_POSTINGS = 1_000_000
 HEAVY_CLASS = 6
+BATCH_POSTINGS = 300_000
 #: A block holds at most about so many shingles, and so many sets or, for a home of more, as many
 #: as keep the number of blocks to a share of the root of its sets.
 BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 256
@@ -55,6 +57,8 @@ BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 256
 HUBS = 8
 #: The largest bit table that picks texts is 2**27 bits, 16 MB, whatever the number of sets.
 MAX_PICK_BITS = 27
+#: So many rows of 36 bytes at most (7 MB) are broadcast.
+MAX_BROADCAST_ROWS = 200_000
 #: Answers kept in a block, and the similarity from which one is derived from another.
 ANSWERS, DERIVE = 32, 0.6
 
@@ -116,9 +120,14 @@ def _describe(size: int, carry: list[str]):
     return run
 
 
+def _level(tokens: int) -> float:
+    """Twice the mean count of a slot."""
+    return max(1.0, 2.0 * tokens / (1 << SLOT_BITS))
+
+
 def _slot_classes(described: DataFrame, tokens: int) -> np.ndarray:
-    """Per slot the power of two by which its count exceeds twice the mean; 2**SLOT_BITS bytes."""
-    level = max(1.0, 2.0 * tokens / (1 << SLOT_BITS))
+    """Per slot the power of two by which its count exceeds the level; 2**SLOT_BITS bytes."""
+    level = _level(tokens)
 
     def total(key, pdf):
         import pandas as pd
@@ -154,95 +163,124 @@ def _widen(blob, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _prefixes(size: int, num: int, den: int, classes, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = classes.value
-        seen: set[int] = set()
-        for _, _, sets in _sets(batches, size):
-            keys, ns, blobs = [], [], []
-            for s in sets:
-                n = len(s)
-                key = fingerprint(s)
-                if not n or key in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(key)
-                keep = n - -(-num * n // den) + 1
-                c = cls[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-                if c.any():
-                    s = s[np.argsort(c, kind="stable")]
-                keys.append(key)
-                ns.append(n)
-                blobs.append(_narrow(s[:keep], width))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(blobs, pa.binary())], ["key", "n", "prefix"]
-            )
+def _slot(key: np.ndarray, ident: np.ndarray, bits: int) -> np.ndarray:
+    x = key.view(np.uint64) ^ (ident.view(np.uint64) << np.uint64(44)) ^ (ident.view(np.uint64) << np.uint64(37))
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
-    return run
 
+def _picked(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit table over hashes of (key, low), made by Spark; its size is bounded."""
+    bits = min(MAX_PICK_BITS, max(18, int(wanted.count()).bit_length() + 4))
+    low = F.coalesce("low", F.lit(0).cast("long"))
+    mixed = F.col("key").bitwiseXOR(F.shiftleft(low, 44)).bitwiseXOR(F.shiftleft(low, 37))
+    slot = F.shiftrightunsigned(mixed, 64 - bits)
+    rows = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bitmap")).collect()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        out[r["chunk"] * 4096 : r["chunk"] * 4096 + len(r["bitmap"])] = np.frombuffer(r["bitmap"], np.uint8)
+    return bits, out
 
-def _pack(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, width: int) -> bytes:
-    """Postings column by column: sets that repeat compress well there."""
-    return key.tobytes() + n.tobytes() + pos.tobytes() + _narrow(token, width)
 
+def _chosen(batches: Iterator[pa.RecordBatch], size: int, picked) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(keys, sets) of the classes in a bit table, each from the document with its lowest id. Some
+    come that were not asked for, or twice."""
+    bits, table = picked.value
+    seen: set[int] = set()
+    for batch, first, sets in _sets(batches, size):
+        owners = batch["id"].slice(first, len(sets)).fill_null(0).to_numpy()
+        keys = np.array([fingerprint(s) for s in sets], np.int64)
+        slot = _slot(keys, owners, bits)
+        out = []
+        for i in np.flatnonzero((table[slot >> 3] >> (slot & 7)) & 1).tolist():
+            key = int(keys[i])
+            if len(sets[i]) and key not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(key)
+                out.append(i)
+        yield keys[out], [sets[i] for i in out]
+
+
+def _postings(size: int, num: int, den: int, classes, picked, buckets: int, width: int):
+    """Prefixes as postings (token, key, position), packed by bucket of tokens. Frequent tokens go to
+    negative buckets by set, since their lists are known to be long and need no gathering."""
+
+    def packed(keys: list[np.ndarray], prefixes: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.array([len(x) for x in prefixes])
+        token, key = np.concatenate(prefixes), np.repeat(np.concatenate(keys), n)
+        # Positions that two bytes do not hold are cut, which brings them nearer: nothing is skipped for it.
+        pos = np.minimum(np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n), 65535).astype(np.uint16)
+        heavy = _class_of(token, classes.value) >= HEAVY_CLASS
+        bucket = (bt.mix(token) % np.uint64(buckets)).astype(np.int64)
+        bucket[heavy] = -1 - (bt.mix(key[heavy].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        token, key, pos, bucket = token[order], key[order], pos[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = [key[i:j].tobytes() + pos[i:j].tobytes() + _narrow(token[i:j], width) for i, j in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    m = len(blob) // (16 + width)
-    return _widen(blob[16 * m :], width), np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.int32, m, 8 * m), np.frombuffer(blob, np.int32, m, 12 * m)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        count = 0
+        for keys, sets in _chosen(batches, size, picked):
+            if not sets:
+                continue
+            held[0].append(keys)
+            for x in sets:
+                prefix = _in_order(x, classes.value)[: len(x) - -(-num * len(x) // den) + 1]
+                held[1].append(prefix)
+                count += len(prefix)
+            if count >= BATCH_POSTINGS:
+                yield packed(*held)
+                held, count = ([], []), 0
+        if count:
+            yield packed(*held)
 
+    return run
 
-def _postings(buckets: int, classes, width: int):
-    """Prefixes as packed postings per bucket of tokens. Frequent tokens go to negative buckets
-    by set, since their lists are known to be long and need no gathering."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls = classes.value
-        for batch in batches:
-            rows = batch.num_rows
-            for lo in range(0, rows, 2000):
-                part = batch.slice(lo, 2000)
-                pre = [_widen(b, width) for b in part["prefix"].to_pylist()]
-                if not pre:
-                    continue
-                size = np.array([len(p) for p in pre])
-                token, key = np.concatenate(pre), np.repeat(part["key"].to_numpy(), size)
-                n = np.repeat(part["n"].to_numpy(), size).astype(np.int32)
-                pos = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                heavy = cls[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] >= HEAVY_CLASS
-                bucket = (bt.mix(token) % np.uint64(buckets)).astype(np.int64)
-                bucket[heavy] = -1 - (bt.mix(key[heavy].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                token, key, n, pos, bucket = token[order], key[order], n[order], pos[order], bucket[order]
-                cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.append(cut[1:], len(bucket))
-                blobs = [_pack(token[i:j], key[i:j], n[i:j], pos[i:j], width) for i, j in zip(cut.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+def _class_of(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(s >> np.uint64(65 - len(classes).bit_length())).astype(np.int64)]
 
-    return run
+
+def _in_order(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """A sorted set in the order of lists: rare slots first."""
+    c = _class_of(s, classes)
+    return s[np.argsort(c, kind="stable")] if c.any() else s
 
 
-def _lists(width: int):
-    """The postings of lists of two sets or more."""
+def _lists(width: int, classes, level: float):
+    """(token, key, pos, m) of lists of two sets or more; m is the length of the list or, where it is
+    not gathered, what the slot count says of it."""
 
-    def rows(token: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(n), pa.array(pos)], ["token", "key", "n", "pos"])
+    def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = len(blob) // (10 + width)
+        return _widen(blob[10 * m :], width), np.frombuffer(blob, np.int64, m), np.frombuffer(blob, np.uint16, m, 8 * m)
+
+    def rows(token: np.ndarray, key: np.ndarray, pos: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(token.view(np.int64)), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(m, pa.int64())], ["token", "key", "pos", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
             for b, blob in zip(batch["bucket"].to_pylist(), batch["blob"].to_pylist(), strict=True):
                 if b < 0:
-                    yield rows(*_unpack(blob, width))
+                    token, key, pos = unpacked(blob)
+                    yield rows(token, key, pos, (np.exp2(_class_of(token, classes.value).astype(np.float64)) * level).astype(np.int64))
                 else:
-                    held.setdefault(b, []).append(_unpack(blob, width))
+                    held.setdefault(b, []).append(unpacked(blob))
         for b in list(held):
-            token, key, n, pos = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
-            order = np.argsort(token, kind="stable")
-            token, key, n, pos = token[order], key[order], n[order], pos[order]
-            same = token[1:] == token[:-1]
-            several = np.r_[False, same] | np.r_[same, False]
-            if several.any():
-                yield rows(token[several], key[several], n[several], pos[several])
+            token, key, pos = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+            order = np.lexsort((key, token))
+            token, key, pos = token[order], key[order], pos[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
+            token, key, pos = token[new], key[new], pos[new]
+            cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            m = np.diff(np.append(cut, len(token)))
+            m = np.repeat(m, m)
+            if (several := m > 1).any():
+                yield rows(token[several], key[several], pos[several], m[several])
 
     return run
 
@@ -289,50 +327,52 @@ def _number(band: Column, *of: Column) -> Column:
     return F.shiftleft(F.shiftright(F.xxhash64(*of), 8), 8).bitwiseOR(band)
 
 
-def _homes(lists: DataFrame, tmp: Scratch) -> DataFrame:
-    """(key, n, listed, home, band): each set's listed shingles with positions, and its longest list."""
-    long = lists.groupBy("token").agg(F.count("*").alias("m"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("long")
-    found = lists.join(long, "token").groupBy("key", "n").agg(
-        F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list(F.struct("token", "pos")).alias("listed"))
-    return tmp.write(found.withColumn("band", band), "homes")
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("long")
+
+
+def _homes(lists: DataFrame, lows: DataFrame, tmp: Scratch) -> DataFrame:
+    """(key, n, listed, home, band, parts): each set's listed shingles with positions, its longest
+    list, and into how many blocks the sets of that list and size are cut."""
+    found = lists.groupBy("key").agg(
+        F.max_by("token", F.struct("m", "token")).alias("home"), F.max("m").alias("m"), F.collect_list(F.struct("token", "pos")).alias("listed"))
+    found = found.join(lows.select("key", "n"), "key").withColumn("band", _band(F.col("n")))
+    parts = _parts(F.col("m"), F.col("m") * _high(F.col("band")))
+    return tmp.write(found.select("key", F.col("n").cast("int").alias("n"), "listed", "home", "band", parts.alias("parts")), "homes")
 
 
-def _own_blocks(homes: DataFrame, tmp: Scratch) -> DataFrame:
+def _own_blocks(homes: DataFrame) -> DataFrame:
     """Rows of the first round: every set in its own block, and the hubs of each home that has
     several blocks in all of them."""
-    group = homes.groupBy("home", "band").agg(F.count("*").alias("sets"), _parts(F.count("*"), F.sum("n")).alias("parts"))
-    group = group.where("sets > 1")
-    placed = homes.join(group, ["home", "band"])
     number = lambda part: _number(F.col("band"), F.col("home"), F.col("band"), part)
-    own = placed.select(number(F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block"), F.lit(-1).alias("role"), "key", "n", "listed")
-    ranked = F.struct(F.xxhash64("key", F.lit(1)).alias("h"), "key", "n", "listed", "parts")
-    hubs = placed.where("parts > 1").groupBy("home", "band", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(HUBS)).alias("k")).agg(F.min_by(ranked, "key").alias("hub"))
-    hubs = hubs.select("home", "band", "hub.key", "hub.n", "hub.listed", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hub.parts") - 1)).alias("part"))
+    own = homes.select(number(F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block"), F.lit(-1).alias("role"), "key", "n", "listed")
+    hub = F.min_by(F.struct("key", "n", "listed", "parts"), F.xxhash64("key", F.lit(1))).alias("hub")
+    hubs = homes.where("parts > 1").groupBy("home", "band", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(HUBS)).alias("k")).agg(hub)
+    hubs = hubs.select("home", "band", "hub.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hub.parts") - 1)).alias("part"))
     hubs = hubs.select(number(F.col("part")).alias("block"), F.lit(1).alias("role"), "key", "n", "listed")
-    return tmp.write(own.unionByName(hubs).withColumn("part", F.lit(0)).withColumn("comp", F.col("key")), "own")
+    return own.unionByName(hubs).withColumn("part", F.lit(0)).withColumn("comp", F.col("key"))
 
 
 def _blocks_by_component(homes: DataFrame, comp: DataFrame, tmp: Scratch) -> DataFrame:
     """(key, n, listed, comp, whole, block): a component that fills a block has blocks of its own,
     ``whole`` being one number for all of them; the others of a home share blocks."""
-    of = homes.join(comp, homes["key"] == comp["node"], "left").select(homes["*"], F.coalesce("label", "key").alias("comp"))
-    of = tmp.write(of, "components")
-    per = of.groupBy("home", "band", "comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    per = per.withColumn("subs", _parts(F.col("sets"), F.col("shingles")))
-    shared = per.where("subs = 1").groupBy("home", "band").agg(_parts(F.sum("sets"), F.sum("shingles")).alias("parts"))
-    own = of.join(per.where("subs > 1").select("home", "band", "comp", "subs"), ["home", "band", "comp"], "left").join(shared, ["home", "band"], "left")
-    large = F.col("subs").isNotNull()
-    among = F.when(large, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.coalesce("parts", F.lit(1))))
-    own = own.withColumn("whole", _number(F.col("band"), F.col("home"), F.col("band"), large, among))
-    sub = F.pmod(F.xxhash64("key"), F.coalesce("subs", F.lit(1)))
-    return tmp.write(own.select("key", "n", "listed", "comp", "whole", _number(F.col("band"), F.col("whole"), sub).alias("block")), "blocks")
+    slim = homes.select("key", "n", "home", "band", "parts")
+    slim = slim.join(comp, slim["key"] == comp["node"], "left").select(slim["*"], F.coalesce("label", "key").alias("comp"))
+    slim = tmp.write(slim, "components")
+    large = slim.groupBy("home", "band", "comp").agg(_parts(F.count("*"), F.sum("n")).alias("subs")).where("subs > 1")
+    slim = slim.join(large, ["home", "band", "comp"], "left")
+    among = F.coalesce(F.when(F.col("subs").isNotNull(), F.col("comp")), F.pmod(F.xxhash64("comp"), F.col("parts")))
+    slim = slim.withColumn("whole", _number(F.col("band"), F.col("home"), F.col("band"), F.col("subs").isNotNull(), among))
+    block = _number(F.col("band"), F.col("whole"), F.pmod(F.xxhash64("key"), F.coalesce("subs", F.lit(1))))
+    slim = slim.select("key", "comp", "whole", block.alias("block"))
+    return tmp.write(homes.select("key", "n", "listed").join(slim, "key"), "blocks")
 
 
 def _apart(blocks: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
     """Rows of the second round: the sets that share enough listed shingles with a block of another
     component, each pair of blocks from one side, and the members of the blocks that are asked."""
     listed = blocks.select(F.explode("listed").alias("x"), "key", "n", "comp", "whole").select("x.token", "x.pos", "key", "n", "comp", F.col("whole").alias("own"))
+    listed = listed.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")  # once, for both sides
     held = listed.groupBy("token", F.col("own").alias("whole")).agg(
         F.count("*").alias("m"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     whole, own = F.col("whole"), F.col("own")
@@ -504,52 +544,23 @@ def _count(num: int, den: int):
     return run
 
 
-def _slot(key: np.ndarray, ident: np.ndarray, bits: int) -> np.ndarray:
-    x = key.view(np.uint64) ^ (ident.view(np.uint64) << np.uint64(44)) ^ (ident.view(np.uint64) << np.uint64(37))
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _picked(wanted: DataFrame) -> tuple[int, np.ndarray]:
-    """A bit table over hashes of (key, low), made by Spark; its size is bounded."""
-    bits = min(MAX_PICK_BITS, max(18, int(wanted.count()).bit_length() + 4))
-    low = F.coalesce("low", F.lit(0).cast("long"))
-    mixed = F.col("key").bitwiseXOR(F.shiftleft(low, 44)).bitwiseXOR(F.shiftleft(low, 37))
-    slot = F.shiftrightunsigned(mixed, 64 - bits)
-    rows = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bitmap")).collect()
-    out = np.zeros(max(1, 1 << (bits - 15)) * 4096, np.uint8)
-    for r in rows:
-        out[r["chunk"] * 4096 : r["chunk"] * 4096 + len(r["bitmap"])] = np.frombuffer(r["bitmap"], np.uint8)
-    return bits, out
-
-
 def _sets_of(base: DataFrame, wanted: DataFrame, size: int, tmp: Scratch) -> DataFrame:
-    """(key, s): the shingles of the sets in ``wanted`` (key, low), built again from their texts,
-    each from the document with the class's lowest id. A bit table of bounded size picks them, so
-    some come that were not asked for, or twice; the join on the key and the meeting drop these."""
-    sent = base.sparkSession.sparkContext.broadcast(_picked(wanted))
+    """(key, s): the shingles of the sets in ``wanted`` (key, low), built again from their texts. Those
+    that were not asked for go with the join on the key, repeated ones where sets meet."""
+    picked = base.sparkSession.sparkContext.broadcast(_picked(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, table = sent.value
-        seen: set[int] = set()
-        for batch, first, sets in _sets(batches, size):
-            owners = batch["id"].slice(first, len(sets)).fill_null(0).to_numpy()
-            keys = np.array([fingerprint(s) for s in sets], np.int64)
-            slot = _slot(keys, owners, bits)
-            hit = np.flatnonzero((table[slot >> 3] >> (slot & 7)) & 1)
-            out = []
-            for i in hit.tolist():
-                key = int(keys[i])
-                if len(sets[i]) and key not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(key)
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[out], pa.int64()), pa.array([sets[i].tobytes() for i in out], pa.binary())], ["key", "s"])
+        for keys, sets in _chosen(batches, size, picked):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "s"])
 
     return tmp.write(base.select("id", "text").mapInArrow(run, "key long, s binary"), "sets")
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` joined with the sets by key; few of them are sent to the sets, many are shuffled."""
+    return sets.join(F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows, "key")
+
+
 class _Block:
     """The whole sets of a block, which of them are of one component by now, and computed answers.
 
@@ -668,6 +679,7 @@ def jaccard_components(
     null without words), component_id (the smallest id that links lead to) and the ``carry`` columns."""
     spark = docs.sparkSession
     tmp = Scratch(spark)
+    carry = tuple(c for c in carry if c not in (id_col, "n_shingles", "class_key", "group_key", "component_id"))
     n_shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = [F.col(f"`{c}`").alias(f"carry_{i}") for i, c in enumerate(carry)]
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *kept)
@@ -677,36 +689,31 @@ def jaccard_components(
     described = tmp.write(base.mapInArrow(_describe(size, names), f"kind int, id long, n long, key long, blob binary{types}"), "described")
     rows = described.where("kind = 0").select("id", "n", "key", *names)
     tokens = rows.agg(F.sum("n")).first()[0] or 0
-    classes = spark.sparkContext.broadcast(_slot_classes(described, tokens))
+    lows = tmp.write(rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low"), F.first("n").alias("n")), "lows")
+    classes, picked = spark.sparkContext.broadcast(_slot_classes(described, tokens)), spark.sparkContext.broadcast(_picked(lows))
     buckets = max(n_shuffle, -(-tokens * (den - num) // den // BUCKET_POSTINGS))
     width = _token_bytes(tokens)
-    prefixes = (
-        base.select("id", "text").mapInArrow(_prefixes(size, num, den, classes, width), "key long, n long, prefix binary")
-        .groupBy("key", "n").agg(F.first("prefix").alias("prefix"))
-    )
-    lists = tmp.write(
-        prefixes.mapInArrow(_postings(buckets, classes, width), "bucket long, blob binary")
-        .repartition(buckets, "bucket").mapInArrow(_lists(width), "token long, key long, n int, pos int"), "lists",
-    )
-    homes = _homes(lists, tmp)
-    tmp.drop(lists)
-    lows = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
+    posted = base.select("id", "text").mapInArrow(_postings(size, num, den, classes, picked, buckets, width), "bucket long, blob binary")
+    lists = posted.repartition(buckets, "bucket").mapInArrow(_lists(width, classes, _level(tokens)), "token long, key long, pos int, m long")
+    homes = _homes(lists, lows, tmp)
     # First round: own blocks.
-    found = _candidates(_own_blocks(homes, tmp), num, den, tmp)
-    sets = _sets_of(base, lows.join(found.select("key").distinct(), "key", "left_semi"), size, tmp)
+    found = _candidates(_own_blocks(homes), num, den, tmp)
+    sets = _sets_of(base, tmp.write(lows.join(found.select("key").distinct(), "key", "left_semi"), "used"), size, tmp)
     # A hub is a member of its own block: one row does for both.
     inside = found.groupBy("key", "block").agg(F.min("role").alias("role")).withColumn("part", F.lit(0)).withColumn("comp", F.col("key"))
-    links = _links(inside.join(sets, "key"), num, den, tmp)
+    links = _links(_with_sets(inside, sets), num, den, tmp)
     comp = components(links, tmp)
     # Second round: blocks of other components.
     blocks = _blocks_by_component(homes, comp, tmp)
     tmp.drop(homes)
-    found = _candidates(_apart(blocks, num, den, tmp), num, den, tmp)
+    asked = _apart(blocks, num, den, tmp)
+    found = _candidates(asked, num, den, tmp)
+    tmp.drop(asked)
     more = lows.join(found.select("key").distinct(), "key", "left_semi").join(sets.select("key").distinct(), "key", "left_anti")
     both = sets.unionByName(_sets_of(base, tmp.write(more, "more"), size, tmp))
     of = blocks.select("key", "comp").join(found.select("key").distinct(), "key", "left_semi")
     asked = _with_parts(found.where("role = 1").select("key", "block"), found.where("role = 0").select("key", "block"), of, tmp)
-    links = links.unionByName(_links(asked.join(both, "key"), num, den, tmp))
+    links = links.unionByName(_links(_with_sets(asked, both), num, den, tmp))
     comp = components(links, tmp)
     # From classes to documents: the smallest id of a component, over all its classes' copies.
     ids = lows.join(comp, lows["key"] == comp["node"], "left").select("key", "low", F.coalesce("label", "key").alias("comp"))

@@ -1,22 +1,27 @@
 """WARC archives: a deterministic sharded writer and a reader, as a Spark data source ``warc``.
 
-Records are dealt into shards by key range, one task each, and sorted by key and digest within.
-A task rolls its file when ``file_bytes`` compressed bytes are reached, so the layout depends on
-the records alone. Every header is made anew: lengths, SHA-1 digests, ids derived from key and
+Records are in order of key and digest, and cut into shards of ``shard_bytes`` payload bytes by exact
+running sums over the narrow columns: the borders follow from the records alone, wherever keys lie and
+however the input is partitioned, and a shard holds more only where one key and payload repeat. A
+shard is one task, which streams its sorted records and rolls its file when ``file_bytes`` compressed
+bytes are reached. Every header is made anew: lengths, SHA-1 digests, ids derived from key and
 payload; gzip members carry no time. Tasks write under temporary names. Once all have ended the
 driver renames the files that the successful attempts report and writes a manifest, itself under
-a temporary name first; the reader reads what the manifest lists. Files of lost attempts are
-never listed.
+a temporary name first; the reader reads what the manifest lists. Files of lost attempts are never
+listed. An archive that has a manifest is not written again: that raises FileExistsError.
 
 Of records with equal payloads of at least ``dedupe_bytes`` bytes that with the largest key is a
-response and the others revisit it. Null payloads are empty; null keys are spread by content, are
+response and the others revisit it. Null payloads are empty; null keys come first in order, are
 never referred to, and stay null; a null URL has no target header, and control characters in one
-are percent-encoded. Rows that repeat key and payload refer to their first.
+are percent-encoded. Rows that repeat key and payload refer to their first. An empty table gives an
+archive without files. Other columns are not written. Paths without a scheme are of Spark's default
+file system.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import re
@@ -25,11 +30,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .shared import shared_dir, written
+from .shared import Scratch, fresh_path
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -37,17 +43,23 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MANIFEST = "manifest.json"
 #: Record dates are a parameter of the archive, so that equal input gives equal bytes.
 DEFAULT_DATE = "1970-01-01T00:00:00Z"
+#: About what the headers of a record take.
+RECORD_BYTES = 500
 READ_SCHEMA = "key long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 WRITE_SCHEMA = "shard int, key long, digest string, kind int, refers_to long, url string, payload string"
 
 
-def filesystem(path: str):
-    """(file system, path within it) for a folder that all executors share."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of Spark's default file system, if it has none of its own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def filesystem(uri: str):
+    """(file system, path within it) for a qualified folder that all executors share."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-    return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
 def clean_url(url: str) -> str:
@@ -223,44 +235,80 @@ class WarcSource(DataSource):
         return _Writer(self.options)
 
 
+def _order(key: int | None, digest: str) -> tuple[bool, int, str]:
+    return (key is not None, key or 0, digest)
+
+
+def _borders(narrow: DataFrame, shard_bytes: int, max_shards: int, tmp: Scratch) -> list[tuple[bool, int, str]]:
+    """The first (key, digest) of every shard. Groups of records are dealt by range, wherever the
+    ranges happen to end, summed within ranges and moved by what lies in the ranges before."""
+    spark = narrow.sparkSession
+    groups = narrow.groupBy("key", "digest").agg(F.sum(F.col("n") + RECORD_BYTES).alias("bytes"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = tmp.write(groups.repartitionByRange(n, "key", "digest").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = {r["range"]: r["bytes"] for r in ranged.groupBy("range").agg(F.sum("bytes").alias("bytes")).collect()}
+    if not totals:
+        return []
+    before, rows = 0, []
+    for k in sorted(totals):
+        rows.append((k, before))
+        before += totals[k]
+    width = max(shard_bytes, -(-before // max_shards))
+    moved = ranged.join(F.broadcast(spark.createDataFrame(rows, "range int, before long")), "range")
+    upto = F.sum("bytes").over(Window.partitionBy("range").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shard = F.floor((F.col("before") + upto - F.col("bytes")) / F.lit(width))
+    first = moved.withColumn("shard", shard).groupBy("shard").agg(F.min(F.struct("key", "digest")).alias("first"))
+    return sorted(_order(r["first"]["key"], r["first"]["digest"]) for r in first.collect())
+
+
 def write_warc(
     pages: DataFrame, path: str, *, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-    dedupe_bytes: int = 1000, shard_bytes: int = 16 << 20, file_bytes: int = 1 << 30, max_shards: int = 100_000,
+    dedupe_bytes: int = 1000, shard_bytes: int = 32 << 20, file_bytes: int = 4 << 20, max_shards: int = 20_000,
     date: str = DEFAULT_DATE,
 ) -> None:
-    """Writes every row of ``pages`` as a record under ``path``, a folder that executors share."""
+    """Writes every row of ``pages`` as a record under ``path``, a folder that executors share. With
+    more than ``max_shards`` times ``shard_bytes`` bytes shards are longer: they are streamed, so that
+    costs time in a task and no memory."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
+    tmp, path = Scratch(spark), qualified(spark, path)
     fs, base = filesystem(path)
     fs.create_dir(base, recursive=True)
+    if fs.get_file_info(f"{base}/{MANIFEST}").is_file:
+        raise FileExistsError(f"{path} holds an archive already")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    narrow = written(rows.select("key", "digest", F.octet_length("payload").cast("long").alias("n")), "digests")
-    low, high, total = narrow.agg(F.min("key"), F.max("key"), F.sum("n")).first()
-    shards = int(min(max_shards, max(1, -(-(total or 0) // shard_bytes))))
-    # Key ranges of equal width: a rule of the data alone, unlike sampled borders.
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / shards)
-    by_key = F.least(F.lit(shards - 1), F.floor((F.col("key") - F.lit(low or 0)) / F.lit(width)))
-    shard = F.coalesce(by_key, F.pmod(F.xxhash64("digest"), F.lit(shards))).cast("int")
-    lead = narrow.where(F.col("n") >= dedupe_bytes).groupBy("digest").agg(F.max("key").alias("lead"), F.count("*").alias("copies")).where("copies > 1 AND lead IS NOT NULL")
-    both = narrow.where(F.col("n") >= dedupe_bytes).join(lead, "digest").where("key IS NULL OR key < lead").select("key", "digest", "lead").distinct()
+    narrow = tmp.write(rows.select("key", "digest", F.octet_length("payload").cast("long").alias("n")), "digests")
+    sent = spark.sparkContext.broadcast(_borders(narrow, shard_bytes, max_shards, tmp))
+    shards = max(1, len(sent.value))
+
+    @F.pandas_udf("int")
+    def shard_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        whole = key.astype("Int64").astype(object).where(key.notna(), None)
+        return pd.Series([bisect.bisect_right(sent.value, _order(k, d)) - 1 for k, d in zip(whole, digest, strict=True)], dtype="int32")
+
+    shard = shard_of("key", "digest")
+    long = narrow.where(F.col("n") >= dedupe_bytes)
+    lead = long.groupBy("digest").agg(F.max("key").alias("lead"), F.count("*").alias("copies")).where("copies > 1 AND lead IS NOT NULL")
+    both = long.join(lead, "digest").where("key IS NULL OR key < lead").select("key", "digest", "lead").distinct()
     notes = both.select(
         shard.alias("shard"), "key", "digest", F.lit(0).alias("kind"), F.col("lead").alias("refers_to"),
         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"),
     )
     # On records refers_to says only whether the payload is long enough to be referred to.
-    long = F.when(F.octet_length("payload") >= dedupe_bytes, F.col("key"))
-    records = rows.select(shard.alias("shard"), "key", "digest", F.lit(1).alias("kind"), long.alias("refers_to"), "url", "payload")
+    able = F.when(F.octet_length("payload") >= dedupe_bytes, F.col("key"))
+    records = rows.select(shard.alias("shard"), "key", "digest", F.lit(1).alias("kind"), able.alias("refers_to"), "url", "payload")
     out = notes.union(records).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "digest", "kind", "url")
     out.write.format("warc").mode("append").option("date", date).option("fileBytes", file_bytes).option("path", path).save()
+    tmp.clear()
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """Every record of an archive, digests checked: see READ_SCHEMA."""
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    return spark.read.format("warc").option("path", qualified(spark, path)).option("payload", str(payload).lower()).load()
 
 
 def fresh_archive(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/groundwork-warc-{uuid.uuid4().hex}"
+    return fresh_path(spark, "warc")

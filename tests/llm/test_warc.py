@@ -61,3 +61,21 @@ def test_equal_input_gives_equal_bytes(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write(spark, [], tmp_path / "e")
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_an_outlying_key_costs_no_balance_and_files_roll(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 300, "x") for i in range(400)] + [(1 << 60, "u", "far", "x")]
+    write(spark, rows, tmp_path / "a", shard_bytes=100_000, file_bytes=2000)
+    files = json.loads((tmp_path / "a" / warc.MANIFEST).read_text())["files"]
+    per = {}
+    for f in files:
+        per[f["name"][5:11]] = per.get(f["name"][5:11], 0) + f["records"]
+    assert sum(per.values()) == 401 and len(per) >= 5 and max(per.values()) < 120
+    assert len(files) > 2 * len(per)
+    got = warc.read_warc(spark, str(tmp_path / "a"))
+    assert got.count() == 401 and {r["key"] for r in got.select("key").collect()} == {r[0] for r in rows}
+    import pytest
+
+    with pytest.raises(FileExistsError):
+        write(spark, rows[:3], tmp_path / "a")
+    assert warc.read_warc(spark, str(tmp_path / "a")).count() == 401

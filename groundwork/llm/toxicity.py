@@ -3,14 +3,19 @@
 A word enters as the sum of a word vector and the mean of its character n-gram vectors (both from
 hashed tables), so unseen spellings are near seen ones. Two gated recurrent layers read windows of
 ``WINDOW`` words, one in each direction; attention pools the states of a window and a linear layer
-scores it. All windows, overlapping by a quarter, of the whole text are scored, and a document takes
-its highest window: one toxic passage in a long text counts in full.
+scores it. All windows of the whole text are scored, each half over the one before, and a document
+takes its highest window: one toxic passage in a long text counts in full.
 
 Training sees document labels only: each round picks a document's highest window as the one to
-learn from. It uses at most ``max_docs`` labelled documents per class, of at most ``max_chars``
-characters (documented bounds). Everything else covers all rows and whole texts.
-Null texts and texts without words say nothing toxic and score 0. Without labelled rows every score
-is 0. A document that is labelled twice counts as toxic if any label says so.
+learn from. It uses at most ``max_docs`` labelled documents per class (a documented bound), whole up to
+``max_chars`` characters. Of a longer one that is not toxic it takes a stretch of that size from a
+place that a hash picks; a longer toxic one does not say where it is toxic, and is left out of
+training. Everything else covers all rows and whole texts.
+
+Null texts and texts without words score the share of toxic labels, as learned from labelled texts
+without words and, where these are few, from all. Without labelled rows every score is 0. A
+document that is labelled twice counts as toxic if any label says so. Repeated rows score alike, an
+empty table gives no rows, extra columns are kept, and a column named score is replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
-from .shared import hash_sample
+from .shared import hash_sample, stretch_of
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 12, 8
 _ADDED = ("score",)
 
@@ -40,6 +45,7 @@ class Net:
     att: np.ndarray  # 2H
     out: np.ndarray  # 2H
     bias: np.ndarray  # 1
+    prior: float = 0.0  # the score of texts without words
 
     def parts(self) -> list[np.ndarray]:
         return [self.word, self.gram, self.wx, self.wh, self.b, self.att, self.out, self.bias]
@@ -75,13 +81,13 @@ def word_vectors(net: Net, slot: np.ndarray, owner: np.ndarray, gram: np.ndarray
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, first word) of every window: one each STRIDE words while words are left that no
-    earlier window held, and at least one per document."""
+    """(document, first word) of every window: one each STRIDE words, half a window, the last one at
+    the text's end, and at least one per document. Any STRIDE words in a row are in one window."""
     n = np.diff(first)
     times = np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1)
     doc = np.repeat(np.arange(len(n)), times)
     nth = np.arange(len(doc)) - (np.cumsum(times) - times)[doc]
-    return doc, first[:-1][doc] + nth * STRIDE
+    return doc, first[:-1][doc] + np.minimum(nth * STRIDE, np.maximum(n - WINDOW, 0)[doc])
 
 
 def _gates(pre: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -227,6 +233,8 @@ def train(texts: list[str], toxic: list[int], *, base_rate: float | None = None,
     if base_rate is not None:
         base = float(np.clip(base_rate, 0.001, 0.999))
         net.bias += np.float32(np.log(base / (1 - base)) - np.log(share / (1 - share)))
+    bare = np.diff(w.first) == 0
+    net.prior = float((y[bare].sum() + 4 * (share if base_rate is None else base_rate)) / (bare.sum() + 4))
     return net
 
 
@@ -243,7 +251,7 @@ def score_words(net: Net, w: bt.Words) -> np.ndarray:
             part = some[i : i + 2048]
             idx, live = _places(back, w.first, doc[part], at[part])
             np.maximum.at(best, doc[part], forward(net, pre, idx, live))
-    return np.where(np.diff(w.first) > 0, 1 / (1 + np.exp(-best.astype(np.float64))), 0.0)
+    return np.where(np.diff(w.first) > 0, 1 / (1 + np.exp(-best.astype(np.float64))), net.prior)
 
 
 def training_sample(
@@ -256,8 +264,9 @@ def training_sample(
     ids = [hash_sample(per.where(F.col("__y") == y), key, 2 * max_docs) for y in (0, 1)]
     small = F.broadcast(ids[0].union(ids[1]))
     rows = (
-        docs.where(F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)).select(id_col, text_col)
-        .join(small, id_col).select(F.col(text_col).alias("t"), F.col("__y").alias("y"), F.xxhash64(key).alias("k"))
+        docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
+        .join(small, id_col).where((F.col("__y") == 0) | (F.length(text_col) <= max_chars))
+        .select(stretch_of(F.col(text_col), key, max_chars).alias("t"), F.col("__y").alias("y"), F.xxhash64(key).alias("k"))
     )
     got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("k", "t").limit(max_docs).collect()]
     base = per.agg(F.avg(F.col("__y").cast("double"))).first()[0]

@@ -48,6 +48,9 @@ def test_windows_cover_every_word():
         for x in at[doc == d]:
             seen |= set(range(x, min(x + tx.WINDOW, first[d + 1])))
         assert seen == set(range(first[d], first[d + 1])) and (doc == d).any()
+        starts = at[doc == d]
+        for x in range(first[d], max(first[d], first[d + 1] - tx.STRIDE) + 1):  # half a window in a row
+            assert any(s <= x and min(x + tx.STRIDE, first[d + 1]) <= s + tx.WINDOW for s in starts)
 
 
 def test_held_out_and_odd_rows(spark):
@@ -63,6 +66,7 @@ def test_held_out_and_odd_rows(spark):
     score = {r["doc_id"]: r["score"] for r in rows}
     assert np.mean([(score[i] >= 0.3) == bool(y) for i, _, y in test]) > 0.97
     assert all(score[i] < 0.3 for i in (900, 901, 902, None)) and score[903] >= 0.3 and len(rows) == 206
+    assert score[900] == score[901] == score[902] and abs(score[901] - 0.25) < 0.02
     none = tx.fit_and_score(docs, docs, labels.where("false"))
     assert {r["score"] for r in none.collect()} == {0.0}
     assert tx.fit_and_score(docs.where("false"), docs, labels.where("false")).count() == 0

@@ -46,6 +46,26 @@ def test_elimination_skips_candidates():
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 200, (20, 16))
     x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 5, (4000, 16)))
-    best = ps.Best(x[:50], np.arange(50), ps.choose_pivots(x[:500], 32), 5)
-    best.add(x, np.arange(4000))
-    assert best.evaluated < 0.2 * 50 * 4000
+    x = x.astype(np.int64)
+    pivots = ps.choose_pivots(x[:500], 32)
+    table = ps.distances(x, pivots)
+    order = np.argsort(table.argmin(1), kind="stable")
+    best = ps.Best(x[:50], np.arange(50), pivots, 5, (x[:500], np.arange(500)))
+    for at in range(0, 4000, 100):
+        part = order[at : at + 100]
+        best.add(x[part], part, table[part])
+    assert best.met == 50 * 4000 and best.evaluated < 0.05 * best.met
+    rows, other, score = best.found()
+    for i in range(50):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:5]
+        assert [(-int(s), int(o)) for s, o in zip(score[rows == i], other[rows == i])] == want
+
+
+def test_large_scores_are_exact(spark):
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(-400_000, 400_000)) for _ in range(8)], 1) for i in range(150)]
+    assert run(spark, rows) == brute(rows, 5)
+    big = np.array([[1 << 31, 3], [1 << 30, -5]], np.int64)
+    assert ps.scores(big, big[0]).tolist() == [(1 << 62) + 9, (1 << 61) - 15]
+    huge = np.array([[1 << 40, 1 << 40]], np.int64)
+    assert ps.scores(huge, huge[0]).tolist() == [(1 << 63) - 1] and ps.scores(-huge, huge[0]).tolist() == [-(1 << 63) + 1]

@@ -26,7 +26,8 @@ FROM dw LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
 OP5 = r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query
   FROM pages),
 r(rule_host, rule_path, rule_verdict) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
@@ -36,7 +37,12 @@ m AS (
   FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY 1, 2, 3)
 SELECT u.page_id, u.host, u.path, m.rule,
-  coalesce(m.v, CASE WHEN regexp_matches(u.host, '(^|[^a-z0-9])(spam|pills|casino|porn|malware)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(m.v, CASE WHEN
+    regexp_matches(u.host, '(?i)(^|[^a-z0-9])(adult|casino|lottery|malware|phishing|pills|poker|porn|spam|viagra|warez|xxx)([^a-z0-9]|$)')
+    OR regexp_matches(u.path, '(?i)(^|[^a-z0-9])(casino|phishing|porn|viagra|warez|xxx)([^a-z0-9]|$)')
+    OR regexp_matches(u.query, '(?i)(^|[&;])(jsessionid|phpsessid|sessionid)=')
+    OR regexp_matches(u.path, '(?i)(/wp-login\.php$|/cgi-bin/|\.exe$)')
+    OR regexp_matches(u.host, '^[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]+)?$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN m USING (page_id, host, path)
 """
 

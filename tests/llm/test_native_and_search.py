@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from groundwork.llm import decontaminate as dc, mixing, url_filter as uf
 
 DOC = "doc_id long, text string, n_hit string"
@@ -65,6 +67,33 @@ def test_empty_sides(spark):
     assert all(r[2] == 0 for r in run(spark, docs, [])) and run(spark, [], bench) == []
 
 
+def test_most_positions_are_skipped_at_any_size():
+    rng = np.random.default_rng(0)
+    letters = [a + b + c for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmnprst"]
+    text = lambda n: " ".join(rng.choice(letters, n) + rng.choice(letters, n))
+    for n_items in (100, 4000):
+        items = [(str(i), text(40)) for i in range(n_items)]
+        table = dc.Patterns(items, 10).tables[0]
+        raw = [text(5000).encode(), (items[7][1] + " zz " + text(50)).encode()]
+        w = dc.bt.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), dc.bt.byte_class("alnum"))
+        end, window = table.search(w)
+        assert len(end) == 31 and set(table.items[table.items_at[window]]) == {sorted(i for i, _ in items).index("7")}
+        assert table.looked < 0.25 * len(w.hash)
+        held = sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray))
+        assert held < 30 * sum(len(t) for _, t in items) + (1 << 20)
+
+
+def test_windows_shared_by_many_items_and_equal_ends():
+    passage = " ".join(f"p{k}" for k in range(10))
+    items = [(str(i), f"start{i} one {passage}") for i in range(300)] + [(str(1000 + i), " ".join(f"q{i}x{k}" for k in range(7)) + " p7 p8 p9") for i in range(300)]
+    raw = f"a b {passage} c " + items[450][1]
+    w = dc.bt.words(np.frombuffer(raw.encode(), np.uint8), np.array([0, len(raw)]), dc.bt.byte_class("alnum"))
+    p = dc.Patterns(items, 10)
+    first, last, named = p.occurrences(w)
+    assert sorted(zip(first.tolist(), last.tolist())) == [(2, 11), (13, 22)]
+    assert {p.names[k] for _, own in named for k in own} == {str(i) for i in range(300)} | {"1150"}
+
+
 def test_url_rules(spark):
     cases = {
         "http://a.example.net/x": ("net/", "block"), "https://EXAMPLE.net/en/1?q": ("example.net/en/", "allow"), "http://example.net/en": ("net/", "block"),
@@ -75,6 +104,12 @@ def test_url_rules(spark):
     rows = [(i, u, "old") for i, u in enumerate(cases)] + [(0, "http://a.example.net/x", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, rule string")
     rules = uf.GIVEN_RULES + uf.METHOD_RULES
+    cases |= {
+        "http://10.0.0.7:8080/x": (None, "block"), "http://a.org/x/Casino-night": (None, "block"), "http://a.org/?a=1&PHPSESSID=2": (None, "block"),
+        "http://a.org/casinos?q=casino": (None, "allow"), "http://a.org/wp-login.php": (None, "block"), "http://a.org/fr/setup.EXE": ("org/fr/", "allow"),
+    }
+    rows += [(100 + i, u, "old") for i, u in enumerate(list(cases)[-6:])]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string")
     for bound in (2000, 1):
         out = uf.judge_urls(df, rules, max_inline_rules=bound)
         assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and out.count() == len(rows)
@@ -82,7 +117,25 @@ def test_url_rules(spark):
             assert (r["rule"], r["verdict"]) == cases[r["url"]], r
     assert uf.judge_urls(df.where("false"), rules).count() == 0
     assert {r["verdict"] for r in uf.judge_urls(df, ()).collect()} == {"allow"}
-    assert uf.rarest_index(uf.GIVEN_RULES).keys() >= {"de", "fr"}
+
+
+def test_rules_stand_under_the_token_that_is_rarest_in_urls(spark):
+    rule = uf.host_rule("block", "shop.example.com", "/deals/")
+    index = uf.rarest_index([rule], {"shop": 2, "example": 90, "com": 100, "deals": 50})
+    assert list(index) == ["shop"]
+    urls = spark.createDataFrame([(f"http://a.example.com/deals/{i}",) for i in range(5)] + [("http://shop.example.com/",)], "url string")
+    tokens = urls.select(uf.url_tokens(uf.host_of(urls.url), uf.path_of(urls.url), uf.query_of(urls.url)).alias("tokens"))
+    for bound in (1000, 0):
+        assert uf.count_tokens_of([rule], tokens, bound) == {"shop": 1, "example": 6, "com": 6, "deals": 5}
+
+
+def test_equal_weights_go_to_the_last_name(spark):
+    rules = [uf.Rule(n, v, r"\Aa\.org\z", "", ("org",), 5) for n, v in (("one", "block"), ("two", "allow"))]
+    df = spark.createDataFrame([("http://a.org/",)], "url string")
+    for bound in (10, 0):
+        for order in (rules, rules[::-1]):
+            r = uf.judge_urls(df, order, max_inline_rules=bound).first()
+            assert (r["rule"], r["verdict"]) == ("two", "allow")
 
 
 def test_mix_meets_targets_and_reruns_agree(spark):

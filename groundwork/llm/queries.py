@@ -66,8 +66,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), budgets=[1024])
+    return counted.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.element_at("fits", 1).alias("chars_in_limit")
+    )
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

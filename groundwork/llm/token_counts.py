@@ -8,8 +8,10 @@ every piece border; together they answer budget and truncation questions for eve
 encoding again.
 
 The vocabulary file is a parameter, read once per Python worker. Pieces met before are looked up
-in a table of bounded size. Null and empty texts have no tokens. Special tokens inside a text
-count as one token, as the library does by default. No shuffle; one pass.
+in a table of bounded size. Files with a normaliser, another pre-tokeniser or other added tokens
+are refused. Null and empty texts have no tokens. Special tokens inside a text count as one token,
+as the library does by default. No shuffle; one pass. Repeated rows count alike, an empty table
+gives no rows, other columns are kept, those of the added names are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +39,16 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """Refuses files whose steps differ from those that are followed here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [t["content"] for t in spec["added_tokens"] if not t.get("special") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or spec.get("normalizer") or not byte_level or not plain or odd:
+        raise ValueError("not a byte-level pair vocabulary without normaliser: token counts would not be exact")
+
+
 class PrefixCounter:
     """Token counts of every prefix of a text, for one vocabulary file."""
 
@@ -45,11 +57,13 @@ class PrefixCounter:
             spec = json.load(f)
         chars = byte_of_char()
         raw = lambda s: bytes(chars[c] for c in s)
+        _check(spec)
         special = [t["content"] for t in spec["added_tokens"]]
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
+        self.specials = special
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.cut = regex.compile(PIECES)
         self.pair_ok: dict[tuple[bytes, bytes], bool] = {}
@@ -97,44 +111,47 @@ class PrefixCounter:
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of ordinary text, and special tokens (True)."""
         at = 0
-        if self.special is not None and "<" in text:
+        if any(s in text for s in self.specials):
             for m in self.special.finditer(text):
                 yield text[at : m.start()], False
                 yield m[0], True
                 at = m.end()
         yield (text[at:] if at else text), False
 
-    def count(self, text: str) -> int:
-        known, total = self.known, 0
-        for part, is_special in self.segments(text):
-            total += 1 if is_special else sum(map(known.__getitem__, self.cut.findall(part)))
-        return total
-
-    def borders(self, text: str) -> tuple[list[int], list[int], list[str]]:
-        """Piece ends (characters), running counts there, and the pieces."""
+    def pieces(self, text: str) -> tuple[list[str], list[int]]:
+        """The pieces of a text and their counts."""
+        if not any(s in text for s in self.specials):
+            own = self.cut.findall(text)
+            return own, list(map(self.known.__getitem__, own))
         pieces, counts = [], []
         for part, is_special in self.segments(text):
             own = [part] if is_special else self.cut.findall(part)
             pieces += own
             counts += [1] if is_special else [self.known[p] for p in own]
-        return list(accumulate(map(len, pieces))), list(accumulate(counts)), pieces
+        return pieces, counts
+
+    def count(self, text: str) -> int:
+        return sum(self.pieces(text)[1])
+
+    def cut_at(self, pieces: list[str], counts: list[int], budget: int) -> int:
+        """The most characters of a text that ``budget`` of its own tokens cover: the counts of
+        whole pieces, then the prefix counts of the piece that is cut."""
+        total = list(accumulate(counts))
+        k = bisect_right(total, budget)
+        whole = sum(map(len, pieces[:k]))
+        left, chars = budget - (total[k - 1] if k else 0), whole
+        if k < len(pieces) and left > 0 and not (self.special and self.special.fullmatch(pieces[k])):
+            inside, at = self.prefixes(pieces[k].encode()), 0
+            for n, c in enumerate(pieces[k], 1):
+                at += len(c.encode())
+                if inside[at] <= left:
+                    chars = max(chars, whole + n)
+        return chars
 
     def fit(self, text: str, budgets: Sequence[int]) -> list[int]:
-        """Per budget the most characters of ``text`` that this text's own tokens cover: the
-        stored counts of whole pieces, then the prefix counts of the piece that is cut."""
-        ends, counts, pieces = self.borders(text)
-        out = []
-        for budget in budgets:
-            k = bisect_right(counts, budget)
-            chars, left = (ends[k - 1] if k else 0), budget - (counts[k - 1] if k else 0)
-            if k < len(pieces) and left > 0 and not (self.special and self.special.fullmatch(pieces[k])):
-                inside, at = self.prefixes(pieces[k].encode()), 0
-                for n, c in enumerate(pieces[k], 1):
-                    at += len(c.encode())
-                    if inside[at] <= left:
-                        chars = max(chars, (ends[k - 1] if k else 0) + n)
-            out.append(chars)
-        return out
+        """:meth:`cut_at` for each budget."""
+        pieces, counts = self.pieces(text)
+        return [self.cut_at(pieces, counts, b) for b in budgets]
 
 
 class _Known(dict):
@@ -172,9 +189,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, text_col: str = "text", bu
             for value in batch[text_col]:
                 text = value.as_py() or ""
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(of.count(text))
+                pieces, counts = of.pieces(text)
+                total = sum(counts)
+                n_tokens.append(total)
                 if wanted:
-                    fits.append(of.fit(text, wanted))
+                    fits.append([len(text) if total <= b else of.cut_at(pieces, counts, b) for b in wanted])
             cols = [pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())]
             cols += [pa.array(fits, pa.list_(pa.int32()))] if wanted else []
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *cols], [*names, *added])

@@ -58,3 +58,27 @@ def test_operator_keeps_columns_and_nulls(spark):
     assert df.columns == ["doc_id", "text", "n_bytes", "n_tokens", "fits"]
     assert (1, None, 0, 0, [0]) in got and (2, "hello world", 11, 2, [5]) in got and len(got) == 4
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_other_vocabulary_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 1, "content": "[X]", "special": False}]}):
+        p = tmp_path / "v.json"
+        p.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            PrefixCounter(str(p))
+
+
+def test_special_tokens_of_any_spelling(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    added = [dict(spec["added_tokens"][0], content="[PAD]")]
+    spec["model"]["vocab"] = {("[PAD]" if k == "<|endoftext|>" else k): v for k, v in spec["model"]["vocab"].items()}
+    p = tmp_path / "pad.json"
+    p.write_text(json.dumps(spec | {"added_tokens": added}))
+    of, library = PrefixCounter(str(p)), Tokenizer.from_file(str(p))
+    for t in ("a[PAD]b", "[PAD][PAD] x", "[PA D]", "<|endoftext|>"):
+        assert of.count(t) == len(library.encode(t, add_special_tokens=False).ids), t

@@ -8,10 +8,12 @@ text is labelled word by word; a document's language is the one with the most pr
 over its words, weighted by length, and its score is that share.
 
 Training: conditional likelihood by gradient descent in numpy on at most ``max_docs`` labelled
-documents of at most ``max_chars`` characters each (both documented bounds), cut into stretches
-that are joined across languages so that switches are seen. Everything else covers all rows.
-Null texts and texts without a letter are ``und`` with score 0. Where no labelled row exists all
-texts are ``und``. Ties go to the first language in order. Extra columns are kept.
+documents, of a longer one a stretch of ``max_chars`` characters from a place that a hash picks (both
+documented bounds), cut into stretches that are joined across languages so that switches are seen.
+Everything else covers all rows and whole texts. Null texts and texts without a letter are ``und``
+with score 0. Where no labelled row exists all texts are ``und``. Ties go to the first language in
+order. Repeated rows are judged alike, an empty table gives no rows, extra columns are kept, and
+columns of the added names are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
-from .shared import hash_sample
+from .shared import hash_sample, stretch_of
 
 SLOTS = 1 << 16
 _ADDED = ("lang_pred", "score")
@@ -86,15 +88,17 @@ def word_emissions(model: Crf, w: bt.Words) -> np.ndarray:
 BLOCK = 64
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Forward-backward over many chains at once: label probabilities per word.
+def messages(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over many chains at once: per word and label the potential of the word, the
+    message up to it (with its potential) and the message from behind it; and the potentials of
+    transitions. Rows of messages are scaled to sum to one.
 
     A chain runs from ``first[i]`` to ``first[i+1]`` and is cut into blocks of BLOCK words. The
     product of a block's transfer matrices carries the messages from block to block, exactly, and
     then all blocks run side by side: a chain of n words takes n / BLOCK + 2 * BLOCK steps."""
     n, k = emit.shape
     if n == 0:
-        return emit.copy()
+        return emit.copy(), emit.copy(), emit.copy(), np.exp(trans)
     e = np.exp(emit - emit.max(1, keepdims=True))
     t = np.exp(trans - trans.max()).astype(np.float32)
     length = np.diff(first)
@@ -145,13 +149,42 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndar
             moved[opening[:c]] = 1.0
         a = norm(moved * e[at])
         fwd[at] = a
-    out, back = np.empty_like(e), leave.copy()
+    behind, back = np.empty_like(e), leave.copy()
     for step in range(BLOCK - 1, -1, -1):
         c = alive[step]
         at = begin[:c] + step
-        out[at] = norm(fwd[at] * back[:c])
+        behind[at] = back[:c]
         back[:c] = norm((back[:c] * e[at]) @ t.T)
-    return out
+    return e, fwd, behind, t
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Label probabilities per word."""
+    _, fwd, behind, _ = messages(emit, first, trans)
+    p = fwd * behind
+    return p / p.sum(1, keepdims=True) if len(p) else p
+
+
+def pair_marginals(e: np.ndarray, fwd: np.ndarray, behind: np.ndarray, t: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Probabilities of the labels of words ``left`` and of the words after them: what leads to the
+    first, the transition, the second's own potential, and what follows it."""
+    pair = fwd[left][:, :, None] * t[None] * (e[left + 1] * behind[left + 1])[:, None, :]
+    return pair / pair.sum((1, 2), keepdims=True)
+
+
+def gradients(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Gradients of the log-likelihood of ``gold`` by emissions and transitions, and the number of
+    pairs of neighbours."""
+    e, fwd, behind, t = messages(emit, first, trans)
+    p = fwd * behind
+    by_word = -p / p.sum(1, keepdims=True)
+    by_word[np.arange(len(gold)), gold] += 1
+    inner = np.ones(max(0, len(gold)), bool)
+    inner[first[1:][np.diff(first) > 0] - 1] = False
+    left = np.flatnonzero(inner)
+    by_pair = -pair_marginals(e, fwd, behind, t, left).sum(0)
+    np.add.at(by_pair, (gold[left], gold[left + 1]), 1)
+    return by_word, by_pair, len(left)
 
 
 def train(
@@ -193,22 +226,13 @@ def train(
             s = slot[np.arange(n_feat.sum()) - np.repeat(np.cumsum(n_feat) - n_feat, n_feat) + np.repeat(begin[ids], n_feat)]
             scale = 1 / np.sqrt(np.maximum(n_feat, 1)).astype(np.float32)
             emit = np.stack([np.bincount(owner, weights[s, y], len(pos)) for y in range(k)], 1).astype(np.float32) * scale[:, None]
-            p = marginals(emit, bounds, trans)
-            y = gold[pos]
-            grad = -p
-            grad[np.arange(len(pos)), y] += 1
+            grad, by_pair, pairs = gradients(emit, bounds, trans, gold[pos])
             scaled = grad * scale[:, None] / 64
             for j in range(k):
                 g = np.bincount(s, scaled[owner, j], SLOTS).astype(np.float32)
                 square[:, j] += g * g
                 weights[:, j] += rate * g / np.sqrt(square[:, j])
-            inner = np.setdiff1d(np.arange(len(pos) - 1), bounds[1:-1] - 1, assume_unique=True)
-            seen = np.zeros((k, k), np.float32)
-            np.add.at(seen, (y[inner], y[inner + 1]), 1)
-            # Expected transitions under the pairwise marginals of neighbouring words.
-            pair = p[inner][:, :, None] * np.exp(trans)[None] * p[inner + 1][:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
-            trans += 0.5 * (seen - pair.sum(0)) / max(1, len(inner))
+            trans += 0.5 * by_pair / max(1, pairs)
     return Crf(labels, weights, trans)
 
 
@@ -226,9 +250,10 @@ def training_sample(
     docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int
 ) -> tuple[list[str], list[str]]:
     """About ``max_docs`` labelled texts, twice as many at most, by hashes of ids and texts."""
-    ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)
+    ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = docs.where(ok).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.col(id_col).cast("string").alias("i"))
-    got = sorted(hash_sample(rows, F.concat_ws(":", "i", "t"), max_docs).select("t", "y").collect())
+    picked = hash_sample(rows, F.concat_ws(":", "i", "t"), max_docs)
+    got = sorted(picked.select(stretch_of(F.col("t"), F.col("i"), max_chars).alias("t"), "y").collect())
     return [r["t"] for r in got], [r["y"] for r in got]
 
 

@@ -58,3 +58,52 @@ def test_operator_on_odd_rows(spark):
     assert sorted(g[1] for g in got if g[0] == 5) == ["de", "en"] and all(0 <= g[2] <= 1 for g in got)
     none = cl.fit_and_identify(spark.createDataFrame(rows, "doc_id long, text string, n long"), train.where("false"))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def brute_pairs(emit, trans, gold):
+    """(log-likelihood of gold, probability of each pair of neighbours' labels)."""
+    n, k = emit.shape
+    pairs, total, mine = np.zeros((n - 1, k, k)), 0.0, 0.0
+    for ys in itertools.product(range(k), repeat=n):
+        s = np.exp(sum(emit[i, y] for i, y in enumerate(ys)) + sum(trans[a, b] for a, b in zip(ys, ys[1:])))
+        total += s
+        mine += s * (ys == tuple(gold))
+        for i, (a, b) in enumerate(zip(ys, ys[1:])):
+            pairs[i, a, b] += s
+    return np.log(mine / total), pairs / total
+
+
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_pair_marginals_equal_enumeration(monkeypatch, block):
+    monkeypatch.setattr(cl, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    emit, trans = rng.normal(0, 1, (5, 3)).astype(np.float32), rng.normal(0, 1, (3, 3))
+    e, fwd, behind, t = cl.messages(emit, np.array([0, 5]), trans)
+    got = cl.pair_marginals(e, fwd, behind, t, np.arange(4))
+    assert np.allclose(got, brute_pairs(emit, trans, [0] * 5)[1], atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    first, gold = np.array([0, 4, 4, 5, 8]), rng.integers(0, 3, 8)
+    emit, trans = rng.normal(0, 1, (8, 3)), rng.normal(0, 1, (3, 3))
+
+    def loss(e, t):
+        return sum(brute_pairs(e[a:b], t, gold[a:b])[0] for a, b in zip(first, first[1:]) if b > a)
+
+    by_word, by_pair, pairs = cl.gradients(emit.astype(np.float32), first, trans, gold)
+    assert pairs == 5
+    for x, grad, of in ((emit, by_word, lambda v: loss(v, trans)), (trans, by_pair, lambda v: loss(emit, v))):
+        for at in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[at] += 1e-4
+            down[at] -= 1e-4
+            assert abs((of(up) - of(down)) / 2e-4 - grad[at]) < 2e-3
+
+
+def test_repeated_rows_long_labelled_texts_and_empty_table(spark):
+    rows = [(i, (EN if i % 2 else DE) * 400, "en" if i % 2 else "de") for i in range(6)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string")
+    got = cl.fit_and_identify(docs, docs, max_chars=2000)
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in got.collect()) == sorted((i, y) for i, _, y in rows + rows[:2])
+    assert cl.fit_and_identify(docs.where("false"), docs).count() == 0

@@ -7,11 +7,12 @@ one labels the unlabelled documents that it is most sure of, and the other learn
 are then calibrated on labelled rows that neither learned from, and the calibrated views, weighted
 by how well they do there, score every document.
 
-Training uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, chosen
-by id hashes (documented bounds; only their features reach the driver). Scoring covers
-all rows and whole texts in one pass without a shuffle. Null texts score as empty ones, unknown or
-null metadata has its own slots. With one label value or none every score is 0.5. Extra columns
-are kept, a column named score is replaced; an empty table gives no rows.
+Training uses about ``max_labelled`` labelled and ``max_pool`` unlabelled ids, twice as many at most,
+chosen by hashes (documented bounds; only the features of their whole texts reach the driver). Of
+an id that repeats, training sees one row, picked by a hash of the row. Scoring covers all rows and
+whole texts in one pass without a shuffle; repeated rows score alike. Null texts score as empty
+ones, unknown or null metadata has its own slots. With one label value or none every score is 0.5.
+Extra columns are kept, a column named score is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,10 +80,11 @@ def meta_features(columns: Sequence[Sequence[object]], size: np.ndarray) -> np.n
     n = len(size)
     out = np.zeros((n, len(columns) * META_SLOTS + 3), np.float32)
     for c, values in enumerate(columns):
+        slots = {}
         for value in set(values):
             raw = np.frombuffer(b"?" if value is None else b"=" + str(value).encode(), np.uint8)
-            slot = int(bt.run_hashes(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(META_SLOTS))
-            out[[i for i, v in enumerate(values) if v == value], c * META_SLOTS + slot] = 1
+            slots[value] = int(bt.run_hashes(raw, np.array([0]), np.array([len(raw)]))[0] % np.uint64(META_SLOTS))
+        out[np.arange(n), c * META_SLOTS + np.array([slots[v] for v in values], np.int64)] = 1
     log = np.log1p(size)
     out[:, -3:] = np.column_stack([log / 10, (log / 10) ** 2, size < 100])
     return out
@@ -205,7 +207,7 @@ def _features(names: list[str], text_col: str, meta_cols: Sequence[str], model):
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    meta_cols: Sequence[str] = ("source", "lang"), max_labelled: int = 4000, max_pool: int = 4000, max_chars: int = 20_000,
+    meta_cols: Sequence[str] = ("source", "lang"), max_labelled: int = 4000, max_pool: int = 4000,
 ) -> list[View] | None:
     """Trains on bounded samples of labelled and unlabelled documents."""
     key = F.col(id_col).cast("string")
@@ -214,17 +216,19 @@ def fit(
     pool = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(labels.select(id_col).distinct(), id_col, "left_anti")
     pool = hash_sample(pool, key, max_pool).select(id_col, F.lit(None).cast("int").alias("y"))
     chosen = F.broadcast(known.union(pool))
-    rows = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= max_chars).join(chosen, id_col).select(id_col, "y", text_col, *meta_cols)
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, y int, text_view array<float>, meta_view array<float>"
-    got = rows.mapInArrow(_features([id_col, "y"], text_col, meta_cols, None), schema).toPandas()
-    got = got.sort_values(id_col, kind="stable").iloc[: 2 * (max_labelled + max_pool)]
-    is_known = got["y"].notna().to_numpy()
+    # One row of each id, so that what reaches the driver is bounded by the ids.
+    own = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys((text_col, *meta_cols))])
+    slim = docs.select(id_col, own.alias("own")).join(chosen.withColumnRenamed("y", "__y"), id_col)
+    rows = slim.groupBy(id_col, "__y").agg(F.min_by("own", F.xxhash64("own")).alias("own")).select(id_col, "__y", "own.*")
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __y int, text_view array<float>, meta_view array<float>"
+    got = rows.mapInArrow(_features([id_col, "__y"], text_col, meta_cols, None), schema).toPandas().sort_values(id_col, kind="stable")
+    is_known = got["__y"].notna().to_numpy()
     if not is_known.any():
         return None
     stack = lambda c, m: np.array(got[c][m].tolist(), np.float64).reshape(int(m.sum()), -1)
     views = [stack(c, is_known) for c in ("text_view", "meta_view")]
     others = [stack(c, ~is_known) if (~is_known).any() else np.zeros((0, v.shape[1])) for c, v in zip(("text_view", "meta_view"), views, strict=True)]
-    return cotrain(views, got["y"][is_known].to_numpy(int), others)
+    return cotrain(views, got["__y"][is_known].to_numpy(int), others)
 
 
 def score(docs: DataFrame, views: list[View] | None, *, text_col: str = "text", meta_cols: Sequence[str] = ("source", "lang")) -> DataFrame:

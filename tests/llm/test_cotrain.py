@@ -51,3 +51,15 @@ def test_views_teach_one_another():
     got = ct.cotrain([v[few] for v in views], y[few], [v[40:1000] for v in views])
     p = ct.sigmoid(sum(g.weight * g.calibrated(v[1000:]) for g, v in zip(got, views)))
     assert ((p > 0.5) == y[1000:]).mean() > 0.9
+
+
+def test_repeated_ids_and_many_sources(spark):
+    docs, labels = corpus()
+    again = [(1, f"quite another text {k} !!", "en", f"x{k}", "x") for k in range(300)]
+    clash = spark.createDataFrame([(*d, 1, 2) for d in docs + again], DOC + ", y int, own int")
+    views = ct.fit(clash, spark.createDataFrame(labels, "doc_id long, quality int"), max_labelled=50, max_pool=50)
+    got = ct.score(clash, views).collect()
+    assert len(got) == len(docs) + 300 and all(0 <= r["score"] <= 1 for r in got)
+    size = np.array([3, 4, 5])
+    one = ct.meta_features([["a", None, "a"], ["x", "y", None]], size)
+    assert (one[0, :64] == one[2, :64]).all() and (one[:, :-3].sum(1) == 2).all() and not (one[0, :64] == one[1, :64]).all()

@@ -57,7 +57,7 @@ BLOCK_SHINGLES, BLOCK_SETS = 2_000_000, 256
 HUBS = 8
 #: The largest bit table that picks texts is 2**27 bits, 16 MB, whatever the number of sets.
 MAX_PICK_BITS = 27
-#: So many rows of 36 bytes at most (7 MB) are broadcast.
+#: So many rows of 40 bytes at most (8 MB) are broadcast.
 MAX_BROADCAST_ROWS = 200_000
 #: Answers kept in a block, and the similarity from which one is derived from another.
 ANSWERS, DERIVE = 32, 0.6
@@ -322,9 +322,11 @@ def _parts(sets: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(by_sets, shingles / F.lit(float(BLOCK_SHINGLES))))
 
 
-def _number(band: Column, *of: Column) -> Column:
-    """A block's number: a hash, with the size band in the last eight bits."""
-    return F.shiftleft(F.shiftright(F.xxhash64(*of), 8), 8).bitwiseOR(band)
+def _number(band: Column, *of: Column, large: Column | None = None) -> Column:
+    """A block's number: a hash, with the size band in the last eight bits and, in the bit before,
+    whether one component has the block for itself."""
+    flag = F.lit(0) if large is None else F.when(large, 256).otherwise(0)
+    return F.shiftleft(F.shiftright(F.xxhash64(*of), 9), 9).bitwiseOR(band).bitwiseOR(flag.cast("long"))
 
 
 def _band(n: Column) -> Column:
@@ -332,18 +334,23 @@ def _band(n: Column) -> Column:
 
 
 def _homes(lists: DataFrame, lows: DataFrame, tmp: Scratch) -> DataFrame:
-    """(key, n, listed, home, band, parts): each set's listed shingles with positions, its longest
-    list, and into how many blocks the sets of that list and size are cut."""
-    found = lists.groupBy("key").agg(
-        F.max_by("token", F.struct("m", "token")).alias("home"), F.max("m").alias("m"), F.collect_list(F.struct("token", "pos")).alias("listed"))
+    """(key, n, listed, home, band): each set's listed shingles with positions, and its longest list."""
+    found = lists.groupBy("key").agg(F.max_by("token", F.struct("m", "token")).alias("home"), F.collect_list(F.struct("token", "pos")).alias("listed"))
     found = found.join(lows.select("key", "n"), "key").withColumn("band", _band(F.col("n")))
-    parts = _parts(F.col("m"), F.col("m") * _high(F.col("band")))
-    return tmp.write(found.select("key", F.col("n").cast("int").alias("n"), "listed", "home", "band", parts.alias("parts")), "homes")
+    return tmp.write(found.select("key", F.col("n").cast("int").alias("n"), "listed", "home", "band"), "homes")
 
 
-def _own_blocks(homes: DataFrame) -> DataFrame:
+def _cut(sets: DataFrame, groups: list[str], parts: str, tmp: Scratch) -> DataFrame:
+    """``sets`` with the number of blocks that their group is cut into; few groups are cut at all."""
+    large = tmp.write(sets.groupBy(*groups).agg(_parts(F.count("*"), F.sum("n")).alias(parts)).where(F.col(parts) > 1), "cut")
+    large = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
+    return sets.join(large, groups, "left").withColumn(parts, F.coalesce(parts, F.lit(1).cast("long")))
+
+
+def _own_blocks(homes: DataFrame, tmp: Scratch) -> DataFrame:
     """Rows of the first round: every set in its own block, and the hubs of each home that has
     several blocks in all of them."""
+    homes = _cut(homes, ["home", "band"], "parts", tmp)
     number = lambda part: _number(F.col("band"), F.col("home"), F.col("band"), part)
     own = homes.select(number(F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block"), F.lit(-1).alias("role"), "key", "n", "listed")
     hub = F.min_by(F.struct("key", "n", "listed", "parts"), F.xxhash64("key", F.lit(1))).alias("hub")
@@ -356,14 +363,14 @@ def _own_blocks(homes: DataFrame) -> DataFrame:
 def _blocks_by_component(homes: DataFrame, comp: DataFrame, tmp: Scratch) -> DataFrame:
     """(key, n, listed, comp, whole, block): a component that fills a block has blocks of its own,
     ``whole`` being one number for all of them; the others of a home share blocks."""
-    slim = homes.select("key", "n", "home", "band", "parts")
+    slim = homes.select("key", "n", "home", "band")
     slim = slim.join(comp, slim["key"] == comp["node"], "left").select(slim["*"], F.coalesce("label", "key").alias("comp"))
     slim = tmp.write(slim, "components")
-    large = slim.groupBy("home", "band", "comp").agg(_parts(F.count("*"), F.sum("n")).alias("subs")).where("subs > 1")
-    slim = slim.join(large, ["home", "band", "comp"], "left")
-    among = F.coalesce(F.when(F.col("subs").isNotNull(), F.col("comp")), F.pmod(F.xxhash64("comp"), F.col("parts")))
-    slim = slim.withColumn("whole", _number(F.col("band"), F.col("home"), F.col("band"), F.col("subs").isNotNull(), among))
-    block = _number(F.col("band"), F.col("whole"), F.pmod(F.xxhash64("key"), F.coalesce("subs", F.lit(1))))
+    slim = _cut(_cut(slim, ["home", "band", "comp"], "subs", tmp), ["home", "band"], "parts", tmp)
+    large = F.col("subs") > 1
+    among = F.when(large, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.col("parts")))
+    slim = slim.withColumn("whole", _number(F.col("band"), F.col("home"), F.col("band"), large, among, large=large))
+    block = _number(F.col("band"), F.col("whole"), F.pmod(F.xxhash64("key"), F.col("subs")))
     slim = slim.select("key", "comp", "whole", block.alias("block"))
     return tmp.write(homes.select("key", "n", "listed").join(slim, "key"), "blocks")
 
@@ -376,8 +383,10 @@ def _apart(blocks: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
     held = listed.groupBy("token", F.col("own").alias("whole")).agg(
         F.count("*").alias("m"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("comp").alias("least"), F.max("comp").alias("most"))
     whole, own = F.col("whole"), F.col("own")
-    # A bit of both numbers says which of two blocks asks, so that neither asks all others.
-    asks = (own < whole) == (F.shiftright(own.bitwiseXOR(whole), 8).bitwiseAND(1) == 1)
+    # Others ask the blocks of a large component, not its many sets them. Of two equal blocks a bit of
+    # both numbers says which one asks, so that neither asks all others.
+    large, mine = whole.bitwiseAND(256), own.bitwiseAND(256)
+    asks = F.when(large != mine, large > mine).otherwise((own < whole) == (F.shiftright(own.bitwiseXOR(whole), 9).bitwiseAND(1) == 1))
     met = listed.join(held, "token").where(
         ((F.col("least") != F.col("comp")) | (F.col("most") != F.col("comp")))
         & (((own != whole) & asks) | ((own == whole) & (F.col("m") > 1)))
@@ -697,7 +706,7 @@ def jaccard_components(
     lists = posted.repartition(buckets, "bucket").mapInArrow(_lists(width, classes, _level(tokens)), "token long, key long, pos int, m long")
     homes = _homes(lists, lows, tmp)
     # First round: own blocks.
-    found = _candidates(_own_blocks(homes), num, den, tmp)
+    found = _candidates(_own_blocks(homes, tmp), num, den, tmp)
     sets = _sets_of(base, tmp.write(lows.join(found.select("key").distinct(), "key", "left_semi"), "used"), size, tmp)
     # A hub is a member of its own block: one row does for both.
     inside = found.groupBy("key", "block").agg(F.min("role").alias("role")).withColumn("part", F.lit(0)).withColumn("comp", F.col("key"))

@@ -50,7 +50,7 @@ def test_stages_decide_as_planted(spark, tmp_path):
     gone = after["language"] - after["toxicity"]
     toxic = {i for i in range(0, 300, 6)}
     assert len(gone & toxic) >= 0.95 * len(toxic) and len(gone - toxic) <= 3
-    assert after["toxicity"] - after["near_duplicates"] == {400, 401}
+    assert after["toxicity"] - after["near_duplicates"] == {400, 401, None}  # the row without id is a near copy of 11
     assert after["near_duplicates"] - after["decontamination"] == {402}
     assert after["mixing"] <= after["decontamination"] and df.count() > 0
 

@@ -191,3 +191,8 @@ def looks_like_xml(content: Column, least: int = 5000) -> Column:
 
 def is_pdf(content: Column, limit: int = 50 * 1024 * 1024) -> Column:
     return (F.length(content) <= limit) & (F.substring(content, 1, 4) == F.lit(b"%PDF"))
+
+
+def as_text(content: Column) -> Column:
+    """Bytes as UTF-8, what is none replaced."""
+    return F.make_valid_utf8(content.cast("string"))

@@ -200,8 +200,27 @@ def anchored_limit(
 
 
 def exposition(counters: DataFrame, metric: str, label: str, value: str) -> DataFrame:
-    """Text lines of a counter family, sorted by label."""
+    """Text lines of a counter family, by label; see :func:`metrics_page` for their order."""
     from ..functions.text import escape_label
 
     text = F.concat(F.lit(f'{metric}{{{label}="'), escape_label(F.col(label)), F.lit('"} '), F.col(value).cast("string"))
     return counters.select(label, text.alias("line"))
+
+
+def metrics_page(families: Sequence[tuple[str, str, str, DataFrame, str | None]]) -> DataFrame:
+    """(ord, line): metric families in order, each with its help and type and then its samples, sorted
+    by label. A family: name, kind, help, its rows (value and maybe a label column), the label's name."""
+    from ..functions.text import escape_label
+
+    spark, parts = families[0][3].sparkSession, []
+    for i, (name, kind, about, rows, label) in enumerate(families):
+        shown = F.col(label) if label else F.lit("")
+        at = F.concat(F.lit(f'{name}{{{label}="'), escape_label(shown), F.lit('"} ')) if label else F.lit(f"{name} ")
+        parts.append(rows.select(F.lit(i).alias("f"), F.lit(2).alias("part"), shown.alias("label"), F.concat(at, F.col("value").cast("string")).alias("line")))
+        parts.append(spark.createDataFrame([(i, 0, "", f"# HELP {name} {about}"), (i, 1, "", f"# TYPE {name} {kind}")], "f int, part int, label string, line string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # One row for each label value: few, whatever the number of requests.
+    order = Window.orderBy("f", "part", "label")
+    return out.select((F.row_number().over(order) - 1).alias("ord"), "line").orderBy("ord")

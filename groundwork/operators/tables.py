@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new name in ``spark.checkpoint.dir``, or in a folder of its own where that is unset."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"spark-{name}-")).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new name in ``spark.checkpoint.dir``. Where that is unset, in the session's checkpoint folder
+    or, in local mode alone, in a new one that becomes it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """The question workflow over a table of questions.
 
 One row per question; ``next`` names the stage that it waits for. Every round applies all stages
-to the rows that wait for them, as one projection, and cuts the lineage; rounds are bounded by the
-longest path. What a stage needs from outside (retrieved documents, web results, graders, the
+to the rows that wait for them, as one projection, and writes them; finished rows stay where they
+are written, and rounds are bounded by the longest path. What a stage needs from outside (retrieved documents, web results, graders, the
 generator) comes as columns and column functions, so that a live model and the offline defaults
 run the same plan."""
 
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import routing as rt
+from ..operators.tables import written
 
 MAX_STEPS = 19
 DOC = "struct<text:string,source:string,document_type:string>"
@@ -52,11 +53,10 @@ def _merge(have: Column, new: Column) -> Column:
     return F.concat(have, F.filter(F.array_distinct(new), lambda d: ~F.array_contains(keys, key(d))))
 
 
-def run_batch(questions: DataFrame, models: Models, *, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_batch(questions: DataFrame, models: Models, *, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``questions``: id, question, private, pool (documents per retrieval round), web (documents
     of the fallback search), web_enabled. Returns them with generation, counters, verified, warning
     and outcome."""
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache())
     none = F.array().cast(f"array<{DOC}>")
     first = F.coalesce(F.try_element_at("pool", F.lit(1)), none)
     state = questions.withColumns({
@@ -64,11 +64,17 @@ def run_batch(questions: DataFrame, models: Models, *, cut: Callable[[DataFrame]
         "generation": F.lit(None).cast("string"), "verified": F.lit(False), "warning": F.lit(None).cast("string"),
         "outcome": F.lit(None).cast("string"), "next": F.lit("grade_documents"),
     })
+    finished = []
     for _ in range(MAX_STEPS):
-        state = cut(_step(state, models))
-        if state.where("next <> 'done'").isEmpty():
+        state = cut(_step(state, models), "questions")
+        finished.append(state.where("next = 'done'"))
+        state = state.where("next <> 'done'")
+        if state.isEmpty():
             break
-    return state.drop("next")
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    return out.drop("next")
 
 
 def _step(s: DataFrame, m: Models) -> DataFrame:

@@ -46,14 +46,14 @@ def dedupe_key_count(spark, sf_dir):
 
 
 def dedupe_keep_first(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").withColumn("key", F.left(tx.collapse(F.col("text")), F.lit(240)))
+    d = t(spark, sf_dir, "documents").withColumn("key", tx.dedupe_key(F.col("text"), F.col("source"), F.col("lang")))
     return dedupe.keep_first(d.select("doc_id", "source", "lang", "key"), ["key"], ["doc_id"]).select("doc_id", "source", "lang")
 
 
 def dedupe_anti_merge(spark, sf_dir):
-    """Documents of the other languages that no English text precedes with an equal prefix."""
-    d = t(spark, sf_dir, "documents").withColumn("key", F.left(tx.collapse(F.col("text")), F.lit(60))).select("doc_id", "lang", "key")
-    _, added = dedupe.anti_merge(d.where("lang = 'en'"), d.where("lang <> 'en'"), "key", ["doc_id"])
+    """Documents of less than 2,000 characters that no longer one has the key of, once each."""
+    d = t(spark, sf_dir, "documents").withColumn("key", tx.dedupe_key(F.col("text"), F.col("source"), F.col("lang"))).select("doc_id", "lang", "key", "n_chars")
+    _, added = dedupe.anti_merge(d.where("n_chars >= 2000"), d.where("n_chars < 2000"), "key", ["doc_id"])
     return added.select("doc_id", "lang")
 
 
@@ -146,9 +146,9 @@ ORACLE = {
     "knn_merge_dedupe": f"WITH {_M} SELECT query_id, ord, doc_id, score FROM u",
     "rag_context": f"WITH {_M}, {_budget('u', 'query_id', 'ord', 420, 3600).format(out='query_id')}",
     "dedupe_key_count": f"SELECT source || '|' || lang || '|' || left({_KEY}, 240) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",
-    "dedupe_keep_first": f"SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY left({_KEY}, 240) ORDER BY doc_id) = 1",
-    "dedupe_anti_merge": f"""WITH k AS (SELECT doc_id, lang, left({_KEY}, 60) AS key FROM documents)
-SELECT doc_id, lang FROM k WHERE lang <> 'en' AND key NOT IN (SELECT key FROM k WHERE lang = 'en')
+    "dedupe_keep_first": f"SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang, left({_KEY}, 240) ORDER BY doc_id) = 1",
+    "dedupe_anti_merge": f"""WITH k AS (SELECT doc_id, lang, n_chars, source || '|' || lang || '|' || left({_KEY}, 240) AS key FROM documents)
+SELECT doc_id, lang FROM k WHERE n_chars < 2000 AND key NOT IN (SELECT key FROM k WHERE n_chars >= 2000)
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id) = 1""",
     "context_budget_small": f"WITH {_budget(_REQ, 'request', 'doc_id', 420, 3600).format(out='request')}",
     "context_budget_large": f"WITH {_budget(_REQ, 'request', 'doc_id', 1200, 8000).format(out='request')}",

@@ -43,9 +43,8 @@ def history_render(spark, sf_dir):
 
 
 def non_question_gate(spark, sf_dir):
-    """The gate on the first word of every turn."""
-    first = F.regexp_extract("text", r"^\s*(\S+)", 1)
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_small_talk(first).alias("small_talk"))
+    """The gate on every turn."""
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_small_talk(F.col("text")).alias("small_talk"))
 
 
 def input_limits(spark, sf_dir):
@@ -144,7 +143,7 @@ def pipeline_outcomes(spark, sf_dir):
     tag = F.concat_ws(":", F.lit("#"), F.col("good").cast("int"), F.col("toxic").cast("int"), F.col("doc_id") % 7)
     q = d.select(
         F.col("doc_id").alias("id"), tag.alias("question"), "private", F.col("on").alias("web_enabled"),
-        F.array(F.when(F.col("doc_id") % 11 > 0, F.array(doc(F.left("text", F.lit(500))))).otherwise(F.array().cast(f"array<{flow.DOC}>"))).alias("pool"),
+        F.array(F.when(F.col("doc_id") % 11 > 0, F.array(doc(F.col("text")))).otherwise(F.array().cast(f"array<{flow.DOC}>"))).alias("pool"),
         F.array(F.struct(F.lit("found").alias("text"), F.lit("web").alias("source"), F.lit("web").alias("document_type"))).alias("web"),
     )
     part = lambda c, i: F.element_at(F.split(c, ":"), i)
@@ -165,11 +164,10 @@ def eval_precision_at_k(spark, sf_dir):
 
 
 def eval_context_recall(spark, sf_dir):
-    """First words of each benchmark passage as facts, its first half as the context."""
+    """The words of each benchmark passage as facts, its first half as the context."""
     b = t(spark, sf_dir, "benchmark")
     half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
-    facts = F.slice(F.split("text", " "), 1, 30)
-    return b.select("item_id", F.round(evals.fact_recall(half, facts), 6).alias("recall"))
+    return b.select("item_id", F.round(evals.fact_recall(half, F.split("text", " ")), 6).alias("recall"))
 
 
 def _metrics(spark, sf_dir):
@@ -189,8 +187,8 @@ def eval_summary(spark, sf_dir):
 
 
 def fact_containment_join(spark, sf_dir):
-    """Documents that hold the first thirty characters of a benchmark passage, at any offset."""
-    b = t(spark, sf_dir, "benchmark").select("item_id", F.lower(F.left("text", F.lit(30))).alias("fact"))
+    """Documents that hold a benchmark passage whole, at any offset."""
+    b = t(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("fact"))
     d = t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     return containment.holding(d, b, "doc_id", "low", "item_id", "fact")
 
@@ -240,7 +238,7 @@ SELECT conv_id, 'Previous exchange:' || chr(10) || 'User: ' || q || chr(10) || '
   'Previous: ' || q || '. Assistant: ' || {_CUT(300)} || '. Current question: And then?' AS query FROM x""",
     "history_render": f"WITH {_P} SELECT conv_id, string_agg('User: ' || q || chr(10) || 'Assistant: ' || a, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) AS history FROM p GROUP BY 1",
     "non_question_gate": f"""SELECT conv_id, turn, length(w) < 3 OR w IN ({', '.join(repr(x) for x in tx.SMALL_TALK)}) OR NOT regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AS small_talk
-FROM (SELECT conv_id, turn, lower(regexp_extract(text, '^\\s*(\\S+)', 1)) AS w FROM conversations)""",
+FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS w FROM conversations)""",
     "input_limits": """SELECT conv_id, CASE WHEN len > 10000 THEN 'question too long' WHEN n * 3 > 20 THEN 'history too long' END AS reason FROM (
   SELECT conv_id, length(arg_max(text, turn)) * CASE WHEN conv_id % 2 = 0 THEN 40 ELSE 1 END AS len, count(*) AS n FROM conversations GROUP BY conv_id)""",
     "lang_fallback_message": "SELECT doc_id, CASE lang WHEN 'de' THEN 'Quellen inkl. Websuche' WHEN 'da' THEN 'Kilder inkl. websøgning' ELSE 'Sources incl. web search' END AS message FROM documents",
@@ -260,16 +258,24 @@ FROM events GROUP BY 1""",
     "route_after_missing": f"""WITH {_F} SELECT doc_id, CASE WHEN n > 2 OR good THEN 'generate' WHEN n + 1 < 3 THEN 'retrieve_missing' ELSE 'web_search' END AS next FROM f""",
     "route_after_generation": f"""WITH {_F} SELECT doc_id, CASE WHEN good THEN 'useful' WHEN NOT o OR tried THEN 'end' WHEN n < 2 THEN 'retry' ELSE 'web_search' END AS next FROM f""",
     "outcome_matrix": f"""WITH {_F} SELECT CASE WHEN tried THEN 'web_search' ELSE 'trusted_only' END || CASE WHEN toxic THEN '_unverified' ELSE '_verified' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
+    "pipeline_outcomes": """WITH f AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic, doc_id % 2 = 0 AS o, doc_id % 5 = 0 AS private, greatest(0, doc_id % 7 - 1) AS need, doc_id % 11 > 0 AS docs
+  FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY doc_id),
+w AS (SELECT *, o AND NOT private AS wide, o AND NOT private AND NOT good AS early, o AND NOT private AND good AND need > 2 AS late FROM f),
+v AS (SELECT *, early OR late AS attempted, docs AND NOT toxic AS verified FROM w)
+SELECT doc_id AS id, (CASE WHEN late THEN 4 WHEN wide AND good THEN need + 1 ELSE 1 END)::INTEGER AS generations, CASE WHEN early THEN 3 WHEN wide AND good AND NOT docs THEN 2 ELSE 1 END AS retrievals,
+  (CASE WHEN late THEN 2 WHEN wide AND good THEN need ELSE 0 END)::INTEGER AS retries, attempted, verified,
+  CASE WHEN NOT docs THEN 'no_trusted_sources' WHEN verified THEN NULL WHEN attempted THEN 'not_verified_after_web' ELSE 'not_verified_trusted_only' END AS warning,
+  CASE WHEN attempted THEN 'web_search' ELSE 'trusted_only' END || CASE WHEN verified THEN '_verified' ELSE '_unverified' END AS outcome FROM v""",
     "eval_precision_at_k": """WITH v AS (SELECT doc_id // 10 AS item, list(quality ORDER BY doc_id) AS v FROM labels GROUP BY 1),
 p AS (SELECT item, [list_sum(v[1:k])::DOUBLE / k FOR k IN [1, 3, 5] IF k <= len(v)] AS ps FROM v)
 SELECT item, round(list_sum(ps) / len(ps), 6) AS precision FROM p""",
-    "eval_context_recall": """WITH b AS (SELECT item_id, lower(left(text, length(text) // 2)) AS c, string_split(text, ' ')[1:30] AS fs FROM benchmark)
+    "eval_context_recall": """WITH b AS (SELECT item_id, lower(left(text, length(text) // 2)) AS c, string_split(text, ' ') AS fs FROM benchmark)
 SELECT item_id, round(len([x FOR x IN fs IF contains(c, lower(x))])::DOUBLE / len(fs), 6) AS recall FROM b""",
     "eval_pass_rule": """WITH m AS (SELECT doc_id % 50 AS item, avg(quality) AS r, 1 - avg(toxic) AS f FROM labels GROUP BY 1)
 SELECT item, r >= 0.5 AND f >= 0.5 AS all_pass, (r + f) / 2 >= 0.87 AS mean_pass FROM m""",
     "eval_summary": """WITH m AS (SELECT doc_id % 50 AS item, avg(quality) AS r, 1 - avg(toxic) AS f FROM labels GROUP BY 1)
 SELECT round(avg(r), 6) AS mean_recall, round(avg(f), 6) AS mean_faithfulness, round(avg((r >= 0.85 AND f >= 0.85)::INT), 6) AS pass_rate, count(*) AS n FROM m""",
-    "fact_containment_join": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 30)))",
+    "fact_containment_join": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))",
     "stream_counters": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "stream_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_rate_limit": f"{_ANCHORED} SELECT event_id, n AS n_in_window, CASE WHEN n > 3 THEN 429 ELSE 200 END AS status FROM r",

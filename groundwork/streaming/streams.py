@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import limits
@@ -44,7 +44,7 @@ def run_anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
     count in the order of time within a batch, and only if files come in that order do more
     batches give the same counts."""
     spark, name = df.sparkSession, folder(df.sparkSession, "stream")
-    kept, out = "user_id long, start long, n int", "event_id long, n_in_window int, status int"
+    kept, out = "user_id long, start long, n int", "user_id long, start long, event_id long, n_in_window int, status int"
     spark.createDataFrame([], out).write.parquet(f"{name}/out/batch=-1")
 
     def step(batch: DataFrame, i: int) -> None:
@@ -59,14 +59,12 @@ def run_anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
         last.select("user_id", "x.start", "x.n").write.mode("overwrite").parquet(f"{name}/open/{i}")
 
     df.writeStream.foreachBatch(step).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out).parquet(f"{name}/out").select("event_id", "n_in_window", "status")
+    return spark.read.schema(out).parquet(f"{name}/out")
 
 
 def run_available(df: DataFrame, mode: str) -> DataFrame:
     """Everything that is there now, through the stream, as a table in the shared folder."""
-    spark = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
-    name = f"{base}/stream-{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, folder(df.sparkSession, "stream")
     if mode == "append":
         q = df.writeStream.format("parquet").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start(f"{name}/out")
     else:
@@ -76,3 +74,45 @@ def run_available(df: DataFrame, mode: str) -> DataFrame:
         q = df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{name}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{name}/out")
+
+
+def aligned(df: DataFrame, window_s: int) -> DataFrame:
+    """Requests per key and aligned window, as a stream: state is kept for a window and its delay."""
+    per = df.withWatermark("time", LATE).groupBy(F.window("time", f"{window_s} seconds"), "user_id").agg(F.count("*").alias("requests"))
+    return per.select("user_id", F.unix_micros("window.start").alias("start"), "requests")
+
+
+def limited(counts: DataFrame, limit: int) -> DataFrame:
+    """How many requests of each key and window went through and how many were turned away."""
+    passed = F.least(F.col("requests"), F.lit(limit).cast("long"))
+    return counts.select("user_id", "start", passed.alias("passed"), (F.col("requests") - passed).alias("refused"))
+
+
+def run_limited(df: DataFrame, window_s: int, limit: int) -> DataFrame:
+    """Limits by aligned windows. Where the shared counters cannot be kept, the limits of each key's own
+    windows hold instead: requests are never refused for want of a counter."""
+    try:
+        return limited(run_available(aligned(df, window_s), "complete"), limit)
+    except StreamingQueryException:
+        per = run_anchored(df, window_s, limit).groupBy("user_id", "start")
+        return per.agg(F.count_if(F.col("status") == 200).alias("passed"), F.count_if(F.col("status") != 200).alias("refused"))
+
+
+def reconciled(feed: DataFrame, atom: DataFrame) -> DataFrame:
+    """Change events of both sources, each under its name; both may be streams."""
+    cols = ("source", "identifier", "url", "changed_at")
+    return feed.select(*cols).unionByName(atom.select(*cols))
+
+
+def run_sync(changes: DataFrame, state_path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], first: DataFrame) -> DataFrame:
+    """Applies every micro-batch of changes to the state: each batch writes a state of its own beside
+    the one before, so that a batch that is run again starts from the same. Returns the last state."""
+    spark, last = changes.sparkSession, {}
+    first.write.mode("ignore").parquet(f"{state_path}/0")
+
+    def step(batch: DataFrame, i: int) -> None:
+        apply(batch.sparkSession.read.schema(first.schema).parquet(f"{state_path}/{i}"), batch).write.mode("overwrite").parquet(f"{state_path}/{i + 1}")
+        last["at"] = i + 1
+
+    changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(first.schema).parquet(f"{state_path}/{last.get('at', 0)}")

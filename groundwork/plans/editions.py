@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx, versions as vs, web
+from ..functions import errors, text as tx, versions as vs, web
 from ..operators import limits
-from ..sources import fetch
+from ..sources import chunking, fetch
 from ..streaming import streams
 from . import asking, discovery, flow, resolution, updates
 from .tables import LABELLED, labelled_orders, t
@@ -223,8 +223,22 @@ def stream_sync(spark, sf_dir):
     return got.select("id", "version")
 
 
+def chunk_structured(spark, sf_dir):
+    """Headings and paragraphs of pages in chunks of sixty words at most, under their headings."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.posexplode(chunking.html_blocks(F.col("html"))).alias("pos", "b")).select("page_id", "pos", "b.level", "b.text")
+    return chunking.structured_chunks(p, "page_id", 60)
+
+
+def error_classes(spark, sf_dir):
+    """Events as error messages of several kinds: rate limits, and what to do about local failures."""
+    e = t(spark, sf_dir, "events")
+    said = F.element_at(F.array(*map(F.lit, ("HTTP 429", "Rate Limit hit", "model x not found", "embed-1 NOT FOUND", "Connection refused", "boom"))), (F.col("event_id") % 6 + 1).cast("int"))
+    kind = F.when(F.col("event_id") % 5 == 0, "ConnectError").otherwise("Error")
+    return e.select("event_id", errors.is_rate_limit(said).alias("rate_limit"), errors.local_runtime_message(kind, said, "llm-1", "Embed-1", "runner").alias("message"))
+
+
 QUERIES = {f.__name__: f for f in (
-    fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
+    chunk_structured, error_classes, fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
     update_status, any_update, registry_build, path_ranks, metrics_page, request_gates, ask_requests, stream_rate_limit_aligned, stream_sync,
 )}
 
@@ -254,6 +268,17 @@ x AS (SELECT *, CASE WHEN n > 5 THEN 'limited' WHEN length(question) > 10000 THE
     talk=", ".join(f"'{w}'" for w in tx.SMALL_TALK))
 
 ORACLE = {
+    "chunk_structured": """WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\\s[^>]*)?>([^<]+)', 1) AS tags, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\\s[^>]*)?>([^<]+)', 2) AS texts FROM pages),
+u AS (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS raw, generate_subscripts(tags, 1) AS pos FROM h),
+b AS (SELECT page_id, pos, lower(tag[1]) = 'h' AS head, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM u),
+s AS (SELECT *, sum(head::INT) OVER w AS section, last_value(CASE WHEN head THEN text END IGNORE NULLS) OVER w AS heading FROM b WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+w AS (SELECT *, string_split(text, ' ') AS ws FROM s WHERE NOT head),
+p AS (SELECT page_id, section, heading, pos, i, ws[i * 30 + 1:i * 30 + 30] AS piece FROM (SELECT *, unnest(range(0, (len(ws) - 1) // 30 + 1)) AS i FROM w)),
+r AS (SELECT *, ((sum(len(piece)) OVER (PARTITION BY page_id, section ORDER BY pos, i) - len(piece)) // 30)::INTEGER AS part FROM p)
+SELECT page_id, section::INTEGER AS section, part, any_value(heading) AS heading, string_agg(array_to_string(piece, ' '), ' ' ORDER BY pos, i) AS chunk, sum(len(piece))::BIGINT AS tokens FROM r GROUP BY page_id, section, part""",
+    "error_classes": """SELECT event_id, event_id % 6 IN (0, 1) AS rate_limit, CASE event_id % 6 WHEN 2 THEN 'Model ''llm-1'' is not installed. Run: runner pull llm-1'
+  WHEN 3 THEN 'Embedding model ''Embed-1'' is not installed. Run: runner pull Embed-1' ELSE CASE WHEN event_id % 5 = 0 OR event_id % 6 = 4 THEN 'The local runtime is not running. Start it with: runner serve'
+  WHEN event_id % 6 = 0 THEN 'Local runtime error: HTTP 429' WHEN event_id % 6 = 1 THEN 'Local runtime error: Rate Limit hit' ELSE 'Local runtime error: boom' END END AS message FROM events""",
     "fetch_pages": """WITH p AS (SELECT page_id, contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'example.net') AS no,
   octet_length(encode(min(html) OVER (PARTITION BY url))) AS n FROM pages)
 SELECT page_id, CASE WHEN NOT no AND n <= 1500 THEN n END AS bytes, CASE WHEN no THEN 'not allowed' WHEN n > 1500 THEN 'too large' END AS error FROM p""",

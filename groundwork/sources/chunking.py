@@ -7,7 +7,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 #: Separators of the splitter by priority, chunk size and overlap in characters.
@@ -87,3 +87,36 @@ def xml_text(content: pd.Series) -> pd.Series:
 def xml_text_in_order(c):
     """All text nodes in document order, natively."""
     return F.trim(F.regexp_replace(F.array_join(F.xpath(c, F.lit("//text()")), " "), r"(?U)\s+", " "))
+
+
+#: Fixed value: the most tokens (words) of a structured chunk.
+MAX_TOKENS = 512
+
+
+def html_blocks(html):
+    """Headings and paragraphs of HTML in order: array of struct(level, text), level 0 for paragraphs."""
+    tag = r"(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>([^<]+)"
+    found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.struct(
+        F.coalesce(F.nullif(F.regexp_extract(x, r"(?i)^<h([1-6])", 1), F.lit("")).cast("int"), F.lit(0)).alias("level"),
+        F.trim(F.regexp_replace(F.regexp_extract(x, tag, 2), r"(?U)\s+", " ")).alias("text")))
+    return F.filter(found, lambda b: b["text"] != "")
+
+
+def structured_chunks(blocks: DataFrame, key: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Chunks of at most ``max_tokens`` words that do not cross a heading, with that heading.
+    ``blocks``: key, pos, level (0: text), text. Longer texts are cut into pieces of half that size, so
+    that pieces whose running counts begin in one half make up a chunk."""
+    half = max_tokens // 2
+    own = Window.partitionBy(key).orderBy("pos")
+    section = F.sum((F.col("level") > 0).cast("int")).over(own)
+    heading = F.last(F.when(F.col("level") > 0, F.col("text")), ignorenulls=True).over(own)
+    text = blocks.withColumns({"section": section, "heading": heading}).where("level = 0")
+    words = F.split("text", " ")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / half).cast("int")), lambda i: F.slice(words, i * half + 1, F.lit(half)))
+    text = text.select(key, "section", "heading", "pos", F.posexplode(pieces).alias("nth", "w"))
+    order = Window.partitionBy(key, "section").orderBy("pos", "nth")
+    before = F.sum(F.size("w")).over(order) - F.size("w")
+    text = text.withColumn("part", F.floor(before / half).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "nth", F.array_join("w", " ").alias("t"))))
+    out = text.groupBy(key, "section", "part").agg(F.first("heading").alias("heading"), F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("chunk"), F.sum(F.size("w")).alias("tokens"))
+    return out.select(key, F.col("section").cast("int").alias("section"), "part", "heading", "chunk", "tokens")

@@ -15,7 +15,12 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions.errors import Throttle
+from ..operators.tables import qualified
+
 LOOK_BACK = 10
+#: Fixed value: seconds between calls that the provider asks for; each reader keeps them.
+RATE_S = 10
 SCHEMA = "day string, item string"
 #: Keys under which a payload holds its list.
 LIST_KEYS = ("documents", "items", "data")
@@ -47,17 +52,19 @@ class _Fetch:
         self.base = options["path"]
         self.today = date.fromisoformat(options["today"]) if options.get("today") else date.today()
         self.last = options.get("last")
+        self.throttle = Throttle(float(options.get("interval", RATE_S)))
 
     def read(self, partition: Day) -> Iterator[tuple[str, str]]:
         if "{date}" in self.base:
             from urllib.request import urlopen
 
+            self.throttle.wait()
             with urlopen(self.base.replace("{date}", partition.day), timeout=15) as r:
                 payload = json.load(r)
         else:
             from pyarrow import fs
 
-            files, root = fs.FileSystem.from_uri(self.base) if "://" in self.base else (fs.LocalFileSystem(), self.base)
+            files, root = fs.FileSystem.from_uri(self.base.replace("file:/", "file:///", 1) if self.base.startswith("file:/") and "://" not in self.base else self.base)
             path = f"{root}/{partition.day}.json"
             if files.get_file_info(path).type == fs.FileType.NotFound:
                 return
@@ -107,6 +114,7 @@ def harvest(spark: SparkSession, path: str, *, last: str | None, today: str) ->
     from ..functions.web import change_event
 
     spark.dataSource.register(HarvestSource)
+    path = path if "{date}" in path else qualified(spark, path)
     r = spark.read.format("harvest").option("path", path).option("today", today)
     df = (r.option("last", last) if last else r).load()
     return df.select("day", change_event(F.col("item")).alias("c")).where("c IS NOT NULL").select("day", "c.*")

@@ -340,10 +340,15 @@ def _homes(lists: DataFrame, lows: DataFrame, tmp: Scratch) -> DataFrame:
     return tmp.write(found.select("key", F.col("n").cast("int").alias("n"), "listed", "home", "band"), "homes")
 
 
+def _small(df: DataFrame, name: str, tmp: Scratch) -> DataFrame:
+    """A table of few narrow rows: written, and broadcast to joins where it has no more than the bound."""
+    out = tmp.write(df, name)
+    return F.broadcast(out) if out.count() <= MAX_BROADCAST_ROWS else out
+
+
 def _cut(sets: DataFrame, groups: list[str], parts: str, tmp: Scratch) -> DataFrame:
     """``sets`` with the number of blocks that their group is cut into; few groups are cut at all."""
-    large = tmp.write(sets.groupBy(*groups).agg(_parts(F.count("*"), F.sum("n")).alias(parts)).where(F.col(parts) > 1), "cut")
-    large = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
+    large = _small(sets.groupBy(*groups).agg(_parts(F.count("*"), F.sum("n")).alias(parts)).where(F.col(parts) > 1), "cut", tmp)
     return sets.join(large, groups, "left").withColumn(parts, F.coalesce(parts, F.lit(1).cast("long")))
 
 
@@ -394,7 +399,7 @@ def _apart(blocks: DataFrame, num: int, den: int, tmp: Scratch) -> DataFrame:
         & _reachable(F.col("n"), F.col("pos"), whole, F.col("first"), F.col("last"), num, den))
     met = met.groupBy("key", "n", "whole").agg(F.count("*").alias("shared"))
     met = met.where(F.col("shared") >= _least_shared(F.col("n"), _low(whole), _high(whole), num, den)).select("key", "whole")
-    met = tmp.write(met.join(blocks.select("whole", "block").distinct(), "whole").select("key", "block"), "met")
+    met = tmp.write(met.join(_small(blocks.select("whole", "block").distinct(), "wholes", tmp), "whole").select("key", "block"), "met")
     return _with_parts(met, blocks, blocks.select("key", "n", "listed", "comp"), tmp)
 
 
@@ -403,7 +408,7 @@ def _with_parts(probes: DataFrame, members: DataFrame, sets: DataFrame, tmp: Scr
     (role 0) once for each part; ``sets`` has what else is known of a key."""
     size = members.groupBy("block").agg(F.count("*").alias("held"))
     load = probes.groupBy("block").agg(F.count("*").alias("asking")).join(size, "block")
-    load = load.select("block", F.ceil(F.col("asking") / F.greatest(F.lit(BLOCK_SETS), F.col("held"))).alias("parts"))
+    load = _small(load.select("block", F.ceil(F.col("asking") / F.greatest(F.lit(BLOCK_SETS), F.col("held"))).alias("parts")), "load", tmp)
     asking = probes.join(load, "block").select("key", "block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     each = F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part")
     there = members.select("key", "block").join(load, "block").select("key", "block", each, F.lit(0).alias("role"))

@@ -57,34 +57,41 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors ``x`` with ``q``."""
-    size = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0)) * len(q)
+def scores(x: np.ndarray, q: np.ndarray, size: float | None = None) -> np.ndarray:
+    """Exact inner products of integer vectors ``x`` with ``q``, as integers or as doubles that hold
+    them. ``size`` bounds their sums of absolute products."""
+    if size is None:
+        size = _size(x) * _size(q) * len(q)
     if size < 2.0**52:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        return x.astype(np.float64, copy=False) @ q.astype(np.float64, copy=False)
     if size < 2.0**62:
-        return x @ q
+        return x.astype(np.int64, copy=False) @ q.astype(np.int64, copy=False)
     limit = (1 << 63) - 1
     return np.array([max(-limit, min(limit, int(s))) for s in x.astype(object) @ q.astype(object)], np.int64)
 
 
+def _size(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max(initial=0))
+
+
 class Best:
     """The best k (score, id) of some queries so far. ``sample``: (vectors, ids) of some candidates,
     from which each query takes the score that its k-th best has at least."""
 
     def __init__(self, queries: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int, sample: tuple[np.ndarray, np.ndarray] | None = None):
-        self.q, self.ids, self.k = queries, ids, k
+        self.q, self.ids, self.k, self.most = queries, ids, k, _size(queries)
         self.table, real = distances(queries, pivots), queries.astype(np.float64)
+        self.real = real
         self.square = (real * real).sum(1)
         self.score: list[np.ndarray] = [np.empty(0, np.int64) for _ in ids]
         self.other: list[np.ndarray] = [np.empty(0, np.int64) for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor = np.full(len(ids), -(1 << 63) + 1, np.int64)
         self.met = self.evaluated = 0
         if sample is not None and len(sample[0]):
             for i in range(len(ids)):
                 own = scores(sample[0][sample[1] != ids[i]], queries[i])
                 if len(own) >= k:
-                    self.floor[i] = np.partition(own, len(own) - k)[len(own) - k]
+                    self.floor[i] = int(np.partition(own, len(own) - k)[len(own) - k])
 
     def add(self, x: np.ndarray, ids: np.ndarray, table: np.ndarray, step: int = 64) -> None:
         """Candidates ``x`` with their rows of the pivot table."""
@@ -96,18 +103,25 @@ class Best:
         away = np.maximum(0, np.maximum(self.table - high, low - self.table).max(1) - slack)
         whole = (self.square + most - away * away) / 2 + 1 + 1e-12 * (self.square + most)
         self.met += len(x) * len(self.q)
+        # Doubles where they hold every sum exactly, else the integers themselves.
+        size = _size(x) * self.most * x.shape[1]
+        own, asked = (real, self.real) if size < 2.0**52 else (x, self.q)
         for i in np.flatnonzero(whole >= self.floor).tolist():
             apart = np.maximum(np.abs(table - self.table[i]).max(1) - slack[i], 0)
             bound = (self.square[i] + square - apart * apart) / 2 + 1 + 1e-12 * (self.square[i] + square)
             left = np.flatnonzero((bound >= self.floor[i]) & (ids != self.ids[i]))
             left = left[np.argsort(-bound[left], kind="stable")]
-            for at in range(0, len(left), step):
-                part = left[at : at + step]
-                if bound[part[0]] < self.floor[i]:
-                    break
+            at, width = 0, step
+            while at < len(left) and bound[left[at]] >= self.floor[i]:
+                part = left[at : at + width]
+                at, width = at + width, 2 * width
                 self.evaluated += len(part)
-                score = np.concatenate([self.score[i], scores(x[part], self.q[i])])
-                other = np.concatenate([self.other[i], ids[part]])
+                score = scores(own[part], asked[i], size)
+                good = score >= self.floor[i]
+                if not good.any():
+                    continue
+                score = np.concatenate([self.score[i], score[good].astype(np.int64)])
+                other = np.concatenate([self.other[i], ids[part[good]]])
                 top = np.lexsort((other, -score))[: self.k]
                 self.score[i], self.other[i] = score[top], other[top]
                 if len(top) == self.k:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import errors, text as tx, versions as vs, web
+from ..functions import documents, errors, text as tx, versions as vs, web
 from ..operators import limits
-from ..sources import chunking, fetch
+from ..sources import chunking, fetch, files
 from ..streaming import streams
-from . import asking, discovery, flow, resolution, updates
+from . import asking, discovery, flow, resolution
 from .tables import LABELLED, labelled_orders, t
 from .versions_web import _amendment_pages
 
@@ -237,8 +237,24 @@ def error_classes(spark, sf_dir):
     return e.select("event_id", errors.is_rate_limit(said).alias("rate_limit"), errors.local_runtime_message(kind, said, "llm-1", "Embed-1", "runner").alias("message"))
 
 
+def golden_cache(spark, sf_dir):
+    """Passages as golden items with cached results: those of half of them, some of an older file."""
+    b = t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), "item_id")
+    cache = b.where("item_id % 2 = 0").select("id", F.concat(F.lit("A: "), "question").alias("generation"), F.when(F.col("item_id") % 4 == 0, "g").otherwise("old").alias("golden_path"), F.lit("m").alias("golden_modified"))
+    got = files.with_cache(b, files.valid_cache(cache, "g", "m"))
+    return got.select("id", F.col("generation").isNotNull().alias("cached"), F.length("generation").alias("n"))
+
+
+def document_json(spark, sf_dir):
+    """Documents in requests of eight through JSON and back."""
+    d = t(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 8).alias("request"))
+    docs = d.agg(F.collect_list(F.struct("text", "source", F.col("lang").alias("document_type"))).alias("docs"))
+    back = docs.select("request", F.explode(documents.from_text(documents.to_text(F.col("docs")))).alias("d"))
+    return back.groupBy("request").agg(F.count("*").alias("n"), F.sum(F.length("d.text")).alias("chars"), F.countDistinct("d.source").alias("sources"))
+
+
 QUERIES = {f.__name__: f for f in (
-    chunk_structured, error_classes, fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
+    golden_cache, document_json, chunk_structured, error_classes, fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
     update_status, any_update, registry_build, path_ranks, metrics_page, request_gates, ask_requests, stream_rate_limit_aligned, stream_sync,
 )}
 
@@ -268,6 +284,8 @@ x AS (SELECT *, CASE WHEN n > 5 THEN 'limited' WHEN length(question) > 10000 THE
     talk=", ".join(f"'{w}'" for w in tx.SMALL_TALK))
 
 ORACLE = {
+    "golden_cache": "SELECT item_id::VARCHAR AS id, item_id % 4 = 0 AS cached, CASE WHEN item_id % 4 = 0 THEN length(text) + 3 END AS n FROM benchmark",
+    "document_json": "SELECT doc_id // 8 AS request, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1",
     "chunk_structured": """WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\\s[^>]*)?>([^<]+)', 1) AS tags, regexp_extract_all(html, '(?is)<(h[1-6]|p|li)(?:\\s[^>]*)?>([^<]+)', 2) AS texts FROM pages),
 u AS (SELECT page_id, unnest(tags) AS tag, unnest(texts) AS raw, generate_subscripts(tags, 1) AS pos FROM h),
 b AS (SELECT page_id, pos, lower(tag[1]) = 'h' AS head, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS text FROM u),

@@ -103,6 +103,32 @@ def golden_items(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("ok", checked).select(F.coalesce("id", F.sha2("question", 256)).alias("id"), "question", "expected_answer", "key_facts", "ok").drop("ok")
 
 
+def first_items(items: DataFrame, n: int, order: str = "id") -> DataFrame:
+    """The first ``n`` items, for a trial run."""
+    return items.orderBy(order).limit(n)
+
+
+def write_cache(results: DataFrame, path: str, golden_path: str, modified: str) -> None:
+    """Results with the golden file that they belong to."""
+    results.withColumns({"golden_path": F.lit(golden_path), "golden_modified": F.lit(modified)}).write.mode("overwrite").parquet(path)
+
+
+def with_cache(items: DataFrame, cache: DataFrame) -> DataFrame:
+    """``items`` with their cached results, null where an item has none; one entry of each id counts."""
+    known = cache.drop("golden_path", "golden_modified").dropDuplicates(["id"])
+    return items.join(known, "id", "left")
+
+
+def in_order(results: DataFrame, asked: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
+    """``results`` in the order in which they were asked for."""
+    return asked.select(key, order).join(results, key, "left").orderBy(order)
+
+
+def trail(rows: DataFrame, path: str) -> None:
+    """Appends rows to a trail of JSON lines."""
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+
 def valid_cache(cache: DataFrame, path: str, modified: str) -> DataFrame:
     """Cached results of this very golden file."""
     return cache.where((F.col("golden_path") == path) & (F.col("golden_modified") == modified))

@@ -53,3 +53,22 @@ def test_structured_chunks_stay_within_limit_and_heading(spark):
     assert all(r["tokens"] <= 60 for r in rows) and {r["heading"] for r in rows if r["section"] == 1} == {"One"}
     assert " ".join(r["chunk"] for r in rows if r["section"] == 1).split() == ["a"] * 130 + ["b", "c"]
     assert [(r["heading"], r["chunk"]) for r in rows if r["section"] == 2] == [("Two", "d")] and {r["k"] for r in rows} == {1}
+
+
+def test_documents_and_caches(spark, tmp_path):
+    from groundwork.functions import documents as dc
+    from groundwork.sources import files
+
+    m = spark.range(1).select(F.parse_json(F.lit('{"source": "s", "headings": ["a", "b"], "deep": {"x": 1}}')).alias("v")).select(dc.plain_metadata(F.col("v")).alias("m")).first()["m"]
+    assert (m["source"], m["headings"], m["num_pages"]) == ("s", ["a", "b"], None)
+    assert spark.range(1).select(dc.from_text(F.lit("no json"))).first()[0] in ([], [None])
+    golden = spark.createDataFrame([("b", 1), ("a", 0)], "id string, ord int")
+    files.write_cache(spark.createDataFrame([("a", "x")], "id string, generation string"), f"{tmp_path}/c", "g", "1")
+    cache = spark.read.parquet(f"{tmp_path}/c")
+    got = files.with_cache(golden, files.valid_cache(cache, "g", "1"))
+    assert [(r["id"], r["generation"]) for r in files.in_order(got.drop("ord"), golden).collect()] == [("a", "x"), ("b", None)]
+    assert files.with_cache(golden, files.valid_cache(cache, "g", "2")).where("generation IS NOT NULL").count() == 0
+    assert [r["id"] for r in files.first_items(golden, 1).collect()] == ["a"]
+    for _ in range(2):
+        files.trail(golden, f"{tmp_path}/t")
+    assert spark.read.json(f"{tmp_path}/t").count() == 4

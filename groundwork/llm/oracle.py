@@ -91,4 +91,57 @@ c AS (SELECT doc_id, min(root) AS low FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE = {"op7_jaccard_join": OP7, "op2_warc": OP2, "op4_top_k": OP4, "op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}
+#: The reflected polynomial of CRC-32, four bits at a time.
+_NIBBLE = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+for _ in range(4):
+    _NIBBLE = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in _NIBBLE]
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes: its hexadecimal digits, lower one of a byte first."""
+    digits = f"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), '')"
+    values = f"[4294967295::BIGINT] || list_transform({digits}, lambda p: (strpos('0123456789ABCDEF', p) - 1)::BIGINT)"
+    tab = "[" + ", ".join(f"{x}::BIGINT" for x in _NIBBLE) + "]"
+    return f"(CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce({values}, lambda a, n: xor({tab}[(xor(a, n) & 15) + 1], a >> 4)), 4294967295::BIGINT) END)"
+
+
+def _hex32(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {crc32_sql("coalesce(text, '')")}::BIGINT AS crc
+  FROM documents),
+j AS (SELECT DISTINCT k, -1::BIGINT AS b, 0::BIGINT AS nxt FROM d
+  UNION ALL SELECT k, nxt, ((nxt + 1) * 4294967296) // ({_hex32("k || ':' || CAST(nxt AS VARCHAR)")} + 1) FROM j WHERE nxt < 9),
+s AS (SELECT k, max(b) FILTER (b < 8) AS shard, max(b) FILTER (b < 9) AS grown FROM j GROUP BY 1)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY {_hex32("k || ':' || CAST(size AS VARCHAR) || ':' || CAST(crc AS VARCHAR)")} % 4096, doc_id NULLS FIRST, size, crc) - 1 AS slot,
+  grown::INTEGER AS grown_shard
+FROM d JOIN s USING (k)
+"""
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.replace("text", "coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS ln FROM o GROUP BY 1, 2 HAVING count(*) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(ln)::HUGEINT AS lt FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n)::HUGEINT AS t FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.t, 0) + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (ln + 2)) // (lt + 2 * v) AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM y)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE = {"op12_sharding": OP12, "op13_divergence": OP13, "op7_jaccard_join": OP7, "op2_warc": OP2, "op4_top_k": OP4, "op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}

@@ -1,4 +1,4 @@
-"""The queries that apply the ten operators to whole tables, with production parameters."""
+"""The queries that apply the operators to whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import cotrain, crf_language, toxicity, warc
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .pivot_search import top_k
+from .sharding import shard_slots
 from .shared import crc_mod, table
 from .token_counts import count_tokens
 from .url_filter import GIVEN_RULES, METHOD_RULES, judge_urls
@@ -88,6 +90,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_slots(docs, 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -99,4 +110,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op12_sharding": op12_sharding,
+    "op13_divergence": op13_divergence,
 }

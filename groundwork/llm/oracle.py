@@ -109,6 +109,26 @@ def _hex32(text: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+OP11 = rf"""
+WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, {_LOWER.replace("text", "w")} AS w
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)),
+o AS (SELECT k, w, count(*) AS c, {crc32_sql("k || ':' || w")} AS h FROM r GROUP BY 1, 2),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM o),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM t WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM v),
+x AS (SELECT word, n, left(word, pos - 1) || substr(word, pos + 1) AS less, left(word, pos - 1) || chr(0) || substr(word, pos + 1) AS other FROM i),
+p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM x a JOIN v b ON a.less = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM x a JOIN v b ON a.less = b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN x b ON a.other = b.other AND a.word <> b.word),
+s AS (SELECT word, count(*) AS n_near, max(near_n) AS m FROM p GROUP BY 1),
+b AS (SELECT word, arg_min(near, encode(near)) AS near FROM p JOIN s USING (word) WHERE near_n = m GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN s USING (word) LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root, form AS nxt FROM f
+  UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.nxt)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN w ON w.word = f.word AND w.nxt IS NULL
+"""
+
 OP12 = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size, {crc32_sql("coalesce(text, '')")}::BIGINT AS crc
@@ -144,4 +164,4 @@ z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE = {"op12_sharding": OP12, "op13_divergence": OP13, "op7_jaccard_join": OP7, "op2_warc": OP2, "op4_top_k": OP4, "op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}
+ORACLE = {"op11_spelling": OP11, "op12_sharding": OP12, "op13_divergence": OP13, "op7_jaccard_join": OP7, "op2_warc": OP2, "op4_top_k": OP4, "op1_decontaminate": OP1, "op5_url_filter": OP5, "op6_mixing": OP6}

@@ -14,6 +14,7 @@ from .sharding import shard_slots
 from .shared import crc_mod, table
 from .token_counts import count_tokens
 from .url_filter import GIVEN_RULES, METHOD_RULES, judge_urls
+from .variants import spelling_variants
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard_slots(docs, 8).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -110,6 +115,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op12_sharding": op12_sharding,
     "op13_divergence": op13_divergence,
 }

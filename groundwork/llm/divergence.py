@@ -211,7 +211,7 @@ def pair_block(keys: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([lang] * len(out[0]), pa.string()), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["lang", "a", "b", "value", "terms"])
 
 
-def source_pairs(shares: DataFrame, groups: DataFrame, *, block_terms: int = BLOCK_TERMS, block_sources: int = BLOCK_SOURCES) -> DataFrame:
+def source_pairs(shares: DataFrame, groups: DataFrame, *, block_terms: int, block_sources: int) -> DataFrame:
     """(lang, a, b, value) for every two sources a < b of a language. ``shares``: lang, source, term, p
     of counts above 0; ``groups``: lang, source, v, zero (p at count 0), sources (of the language)."""
     t_parts = F.greatest(F.ceil(F.col("v") / block_terms), F.lit(1)).cast("int")
@@ -232,6 +232,7 @@ def source_pairs(shares: DataFrame, groups: DataFrame, *, block_terms: int = BLO
 
 def divergence(
     docs: DataFrame, *, min_docs: int = 10, top: int = 10, scale: int = 1_000_000_000,
+    block_terms: int = BLOCK_TERMS, block_sources: int = BLOCK_SOURCES,
     text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value and rank: each source's divergence from each
@@ -240,8 +241,7 @@ def divergence(
     counts = source_counts(docs, tmp, text_col=text_col, lang_col=lang_col, source_col=source_col)
     terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("docs")).where(F.col("docs") >= min_docs)
     kept = tmp.write(counts.where("term IS NOT NULL").join(terms, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
-    # Rows of a term repeat the language's count: each is taken once, by its share of the n.
-    langs = kept.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = counts.select("lang", "source").distinct()
     groups = known.join(totals, ["lang", "source"], "left").join(langs, ["lang"], "left").join(known.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")), ["lang"])
@@ -253,7 +253,7 @@ def divergence(
         "lang", "source", "term", share(F.col("n"), F.col("total"), F.col("v"), scale).alias("p"),
         share(F.col("lang_n"), F.col("lang_total"), F.col("v"), scale).alias("q"),
     )
-    pairs = source_pairs(shares.select("lang", "source", "term", "p"), groups)
+    pairs = source_pairs(shares.select("lang", "source", "term", "p"), groups, block_terms=block_terms, block_sources=block_sources)
     sides = [pairs.select("lang", F.col(s).alias("source"), F.col(o).alias("item"), "value") for s, o in ("ab", "ba")]
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
     ranked = sides[0].union(sides[1]).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))

@@ -106,7 +106,7 @@ def word_counter(drop_every: int, min_length: int) -> Callable[[Iterator[pa.Reco
                 crc = run_crc(part, start, end, seed[doc])
                 leads = np.r_[0, np.cumsum(part == _LEAD)]
                 points = end - start - (leads[end] - leads[start])
-                dropped = crc % drop_every == 0
+                dropped = crc.astype(np.int64) % drop_every == 0
                 changed = []
                 for i in np.flatnonzero(dropped & (points > min_length)).tolist():
                     word, at = part[start[i] : end[i]].tobytes().decode(), int(crc[i]) % int(points[i])
@@ -219,9 +219,9 @@ def near_pairs(a: Acceptor, b: Acceptor) -> Iterator[tuple[int, int]]:
                     after.append((p, q, i + n, j + m))
 
 
-def state_pairs(rows: list[tuple[str, int, bool]], half: int, backward: bool) -> Iterator[tuple[int, int]]:
-    """Places of near pairs within one state. Rows: word, its block, in any order. ``half`` symbols are the
-    state's own; other pairs of its words belong to other states, and are left to them."""
+def state_pairs(rows: list[tuple[str, int]], x: int, y: int, half: int, backward: bool) -> Iterator[tuple[int, int]]:
+    """Places of near pairs of blocks ``x`` and ``y`` of one state. Rows: word, its block, in any order.
+    ``half`` symbols are the state's own; other pairs of its words are left to the states they belong to."""
 
     def tail(word: str) -> str:
         return word[: len(word) - half][::-1] if backward else word[half:]
@@ -230,8 +230,8 @@ def state_pairs(rows: list[tuple[str, int, bool]], half: int, backward: bool) ->
         own = sorted((tail(w), at) for at, (w, b) in enumerate(rows) if b == block)
         return Acceptor([t for t, _ in own]), [at for _, at in own]
 
-    blocks = [acceptor(k) for k in sorted({b for _, b in rows})]
-    a, b = blocks[0], blocks[-1]
+    a = acceptor(x)
+    b = a if x == y else acceptor(y)
     most = 2 * half if backward else 2 * half + 1  # of the shorter word
     for i, j in near_pairs(a[0], b[0]):
         p, q = a[1][i], b[1][j]
@@ -255,7 +255,7 @@ def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> None:
         if len(held) < 2:
             return
-        for i, j in state_pairs([r[:2] for r in held], *key[3:]):
+        for i, j in state_pairs([r[:2] for r in held], *key[1:]):
             (u, _, m), (v, _, n) = held[i], held[j]
             for column, both in zip(out, ((u, v), (v, u), (n, m))):
                 column.extend(both)

@@ -27,6 +27,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whichever file system holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Written tables of one job, removed once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = folder(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for out, path in [h for h in self.held if any(h[0] is t for t in tables)]:
+            removed(self.spark, path)
+            self.held = [h for h in self.held if h[0] is not out]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a written table; all others go."""
+        out = self.write(df, name)
+        self.drop(*[h[0] for h in self.held if h[0] is not out])
+        return out
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of Spark's default file system, if it has none of its own."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,16 +1,14 @@
 """Requests as a table: limits, validation, shortcuts, the workflow, and the response.
 
-Every gate splits the table; only what is left runs the workflow. ``stages`` is the workflow's
-registry: a stage is a function from state to state, so that one may be replaced by name."""
+Every gate splits the table; only what is left runs the workflow."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as tx
+from ..functions import errors, text as tx
 from ..operators import limits
 from . import flow
 
@@ -20,23 +18,10 @@ NOT_READY = "Backend not ready. Please try again shortly."
 #: Providers that may be asked for; the local one answers in privacy.
 PROVIDERS, LOCAL = ("mistral", "gemini", "openai", "ollama"), "ollama"
 
-Stage = Callable[[DataFrame], DataFrame]
-
-
-@dataclass
-class Stages:
-    """Stages by name, in order."""
-
-    named: dict[str, Stage] = field(default_factory=dict)
-
-    def add(self, name: str, stage: Stage) -> Stages:
-        self.named[name] = stage
-        return self
-
-    def run(self, df: DataFrame) -> DataFrame:
-        for stage in self.named.values():
-            df = stage(df)
-        return df
+#: The label of answers with web sources, by language.
+LABEL_WITH_WEB = {"en": "Sources incl. web search", "de": "Quellen inkl. Websuche", "da": "Kilder inkl. websøgning"}
+#: Fixed value: what a request hears whose model's provider turned it away.
+BUSY = "API rate limit exceeded. Please wait about 30 seconds and try again, or switch to Mistral/OpenAI in Settings."
 
 
 def provider_of(model: Column, keys: Column, default: str = PROVIDERS[0]) -> Column:
@@ -45,30 +30,6 @@ def provider_of(model: Column, keys: Column, default: str = PROVIDERS[0]) -> Col
     return F.struct(name.alias("provider"), F.when(name != LOCAL, tx.falsy(F.try_element_at(keys, name))).alias("key"))
 
 
-def missing_query(question: Column, context: Column, hint: Column) -> Column:
-    """The query for what is missing: the hint of the last grading, where it says more than 'retry'."""
-    useful = F.when(~F.lower(tx.strip(hint)).isin("", "retry"), tx.strip(hint))
-    return F.coalesce(F.concat(tx.strip(question), F.lit(" "), useful), tx.strip(question))
-
-
-def search_query(question: Column, context: Column, trusted_only: Column, domains: Sequence[str]) -> Column:
-    """The query of a web search: the question, limited to trusted domains where that is asked for."""
-    return tx.search_restriction(question, trusted_only, domains)
-
-
-def generator_context(docs: Column, kind: str = "document_type") -> Column:
-    """The generator's context: web documents first, each under its source; 'No documents' without."""
-    web, own = F.filter(docs, lambda d: d[kind] == "web"), F.filter(docs, lambda d: ~(d[kind] == "web"))
-    parts = F.transform(F.concat(web, own), lambda d: tx.rendered(d["text"], d["source"], d["document_type"]))
-    return F.coalesce(tx.falsy(F.array_join(parts, tx.CONTEXT_BREAK)), F.lit("No documents"))
-
-
-def verdict(passed: Column, missing: Column) -> Column:
-    """A grade: what is missing counts only where it did not pass, and then is never blank."""
-    said = F.coalesce(tx.falsy(tx.strip(missing)), F.lit("retry"))
-    return F.struct(passed.alias("passed"), F.when(passed, "").otherwise(said).alias("missing_info"))
-
-
 def gated(requests: DataFrame, *, limit: int = 60, window_s: int = 60, ready: bool = True) -> DataFrame:
     """``requests`` (id, client, micros, question, history, model, api_keys) with the gate that stops
     each, or null: too many, invalid, not ready, small talk, without a key."""
@@ -83,9 +44,16 @@ def gated(requests: DataFrame, *, limit: int = 60, window_s: int = 60, ready: bo
     return df.withColumns({"gate": gate, "detail": reason, "provider": who["provider"], "privacy_mode": who["provider"] == LOCAL})
 
 
-def answered(requests: DataFrame, pool: DataFrame, models: flow.Models) -> DataFrame:
-    """Responses of :func:`gated` requests. ``pool`` (id, pool, web): documents of each retrieval and
-    of the fallback search. Shortcuts do not run the workflow."""
+def language_label(language: Column) -> Column:
+    """The label of answers with web sources; English where a language has none."""
+    words = F.create_map(*[F.lit(x) for kv in LABEL_WITH_WEB.items() for x in kv])
+    return F.coalesce(F.try_element_at(words, language), F.lit(LABEL_WITH_WEB["en"]))
+
+
+def answered(requests: DataFrame, models: flow.Models, *, ready: bool = True, language: Callable[[Column], Column] = lambda question: F.lit("en"), trusted_only: bool = False) -> DataFrame:
+    """Responses of :func:`gated` requests. Shortcuts do not run the workflow; what is left retrieves,
+    searches and asks its models there. A model's failure is a response too: 429 where its provider turned
+    the call away, else 500."""
     short = requests.where("gate IS NOT NULL")
     code = F.when(F.col("gate") == "limited", 429).when(F.col("gate").isin("invalid", "no_key"), 400).otherwise(200)
     said = F.when(F.col("gate") == "small_talk", THANKS).when(F.col("gate") == "not_ready", NOT_READY)
@@ -94,16 +62,22 @@ def answered(requests: DataFrame, pool: DataFrame, models: flow.Models) -> DataF
     none = F.array().cast("array<struct<source:string,document_type:string>>")
     shortcuts = short.select(
         "id", code.alias("code"), said.alias("answer"), none.alias("sources"), F.when(F.col("gate") == "small_talk", F.concat(past, turn)).otherwise(F.array().cast("array<array<string>>")).alias("chat_history"),
-        F.lit(None).cast("string").alias("warning"), F.lit(False).alias("used_web_search"), F.lit(None).cast("string").alias("outcome"), "privacy_mode")
-    asked = requests.where("gate IS NULL").join(pool, "id", "left")
-    empty = F.array().cast(f"array<{flow.DOC}>")
-    q = asked.select(
-        "id", tx.follow_up_query(F.col("question"), F.col("history")).alias("question"), F.col("question").alias("said"), "history", F.col("privacy_mode").alias("private"),
-        F.coalesce("pool", F.array().cast(f"array<array<{flow.DOC}>>")).alias("pool"), F.coalesce("web", empty).alias("web"), F.lit(True).alias("web_enabled"))
-    done = flow.run_batch(q, models)
+        F.lit(None).cast("string").alias("warning"), F.lit(False).alias("used_web_search"), F.lit(None).cast("string").alias("web_label"), F.lit(None).cast("string").alias("outcome"), "privacy_mode")
+    asked = requests.where("gate IS NULL").select("id", "question", "history", F.col("privacy_mode").alias("private"), F.lit(True).alias("web_enabled"))
+    done = flow.run_batch(asked, models, ready=ready, trusted_only=trusted_only)
+    failed = F.col("error").isNotNull()
+    busy = errors.is_rate_limit(F.col("error"))
     cited = F.array_distinct(F.transform("documents", lambda d: F.struct(F.coalesce(d["source"], F.lit("retrieved")).alias("source"), d["document_type"].alias("document_type"))))
-    told = F.concat(F.transform("history", lambda h: F.array(h["q"], h["a"])), F.array(F.array("said", "generation")))
+    told = F.concat(F.transform("history", lambda h: F.array(h["q"], h["a"])), F.array(F.array("question", "generation")))
     full = done.select(
-        "id", F.lit(200).alias("code"), F.col("generation").alias("answer"), cited.alias("sources"), told.alias("chat_history"), "warning",
-        F.col("attempted").alias("used_web_search"), "outcome", F.col("private").alias("privacy_mode"))
+        "id", F.when(~failed, 200).when(busy, 429).otherwise(500).alias("code"), F.when(~failed, F.col("generation")).when(busy, BUSY).otherwise(F.col("error")).alias("answer"),
+        F.when(failed, none).otherwise(cited).alias("sources"), F.when(failed, F.array().cast("array<array<string>>")).otherwise(told).alias("chat_history"), "warning",
+        F.col("attempted").alias("used_web_search"), F.when(F.col("attempted"), language_label(language(F.col("question")))).alias("web_label"), "outcome", F.col("private").alias("privacy_mode"))
     return shortcuts.unionByName(full)
+
+
+def answer_counters(responses: DataFrame) -> DataFrame:
+    """(name, label, value): questions with a web search, and questions by outcome, of :func:`answered`."""
+    web = responses.agg(F.count_if("used_web_search").alias("value")).select(F.lit("query_web_search_attempts").alias("name"), F.lit("").alias("label"), "value")
+    by = responses.where("outcome IS NOT NULL").groupBy("outcome").count()
+    return web.unionByName(by.select(F.lit("query_outcomes_total").alias("name"), F.col("outcome").alias("label"), F.col("count").alias("value")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import documents, errors, text as tx, versions as vs, web
-from ..operators import limits
+from ..operators import limits, vector
 from ..sources import chunking, fetch, files
 from ..streaming import streams
 from . import asking, discovery, flow, resolution
@@ -189,16 +189,30 @@ def request_gates(spark, sf_dir):
 
 
 def ask_requests(spark, sf_dir):
-    """Whole requests over the turns of conversations: a model that is content with two documents, and
-    answers with the number of its retries."""
+    """Whole requests over the turns of conversations. Retrieval searches both collections of vectors for
+    the vector that the length of a query picks, or the number that it begins with; the graders go by the
+    lengths of contexts and questions, so that every path is taken."""
     r = asking.gated(_requests(spark, sf_dir), limit=5)
-    doc = lambda text, source, kind: F.struct(text.alias("text"), F.lit(source).alias("source"), F.lit(kind).alias("document_type"))
-    own = r.select("id", F.array(F.array(doc(F.col("question"), "a", "law")), F.array(doc(F.concat("question", F.lit("!")), "b", "law"))).alias("pool"), F.array(doc(F.lit("found"), "c", "web")).alias("web"))
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 2).alias("collection"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source", F.col("lang").alias("document_type"))
+    n = v.count()
+
+    def embed(queries):
+        number = F.try_to_number(F.nullif(F.regexp_extract("query", "^([0-9]+):", 1), F.lit("")), F.lit("999999999")).cast("long")
+        at = queries.select(F.col("id").alias("query_id"), (F.coalesce(number, F.length("query")) % n).alias("vec_id"))
+        return at.join(v.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
+
+    one = lambda q: q.select("id", F.lit(1).alias("ord"), F.lit("found").alias("text"), F.lit("c").alias("source"), F.lit("web").alias("document_type"))
+    need = lambda question: F.length(question) % 3
     models = flow.Models(
-        sufficient=lambda question, context: F.length(context) > F.length(question) + 1, generate=lambda question, context, retries: F.concat(F.lit("r"), retries.cast("string")),
-        passes=lambda question, context, g: F.lit(True), grounded=lambda context, g: F.lit(True))
-    got = asking.answered(r, own, models)
-    return got.select("id", "code", "answer", F.size("sources").alias("n_sources"), F.size("chat_history").alias("n_history"), "used_web_search", "outcome", "privacy_mode")
+        retrieve=flow.vector_retrieval(v.join(d.select("vec_id"), "vec_id", "left_semi"), d, embed, vector.nearest), search=one,
+        sufficient=flow.by_column(lambda question, context: F.length(context) >= 1500 + F.length(question) % 5 * 500, native=True),
+        missing_query=flow.by_column(lambda question, context, hint: F.concat((F.length(context) + F.length(hint)).cast("string"), F.lit(":"), hint), native=True), search_query=flow.question_alone(),
+        generate=flow.by_column(lambda question, context, history, retries: F.concat_ws(":", F.concat(F.lit("r"), retries.cast("string")), F.length(context).cast("string")), native=True),
+        grade=flow.by_column(lambda question, context, g: F.struct((F.substring(g, 2, 1).cast("int") >= need(question)).alias("passed"), F.concat(F.lit("m"), need(question).cast("string")).alias("missing_info")), native=True),
+        grounded=flow.by_column(lambda context, g: F.length(context) % 3 > 0, native=True))
+    got = asking.answered(r, models)
+    return got.select("id", "code", "answer", F.size("sources").alias("n_sources"), F.size("chat_history").alias("n_history"), "used_web_search", "warning", "outcome", "privacy_mode")
 
 
 def stream_rate_limit_aligned(spark, sf_dir):
@@ -283,6 +297,65 @@ x AS (SELECT *, CASE WHEN n > 5 THEN 'limited' WHEN length(question) > 10000 THE
   WHEN length(w) < 3 OR w IN ({talk}) OR NOT regexp_matches(w, '[\\p{{L}}\\p{{N}}]') THEN 'small_talk' WHEN conv_id % 5 = 0 AND provider <> 'ollama' THEN 'no_key' END AS gate FROM g)""".format(
     talk=", ".join(f"'{w}'" for w in tx.SMALL_TALK))
 
+
+def _budget_length(lens: str, per: int, total: int) -> str:
+    """The length of a context of documents of these lengths: see operators.context.budgeted."""
+    acc = "{'l': 0::BIGINT, 'o': 0::BIGINT, 's': 0::BIGINT, 'd': 0::BIGINT}"
+    rows = f"list_transform([least(x, {per}) FOR x IN {lens} IF x > 0], lambda x: {{'l': x::BIGINT, 'o': 0::BIGINT, 's': 0::BIGINT, 'd': 0::BIGINT}})"
+    sep = "CASE WHEN a.o > 0 THEN 2 ELSE 0 END"
+    step = f"""CASE WHEN a.d = 1 THEN a WHEN a.s + x.l + 2 <= {total} THEN {{'l': 0::BIGINT, 'o': a.o + {sep} + x.l, 's': a.s + x.l + 2, 'd': 0::BIGINT}}
+      ELSE {{'l': 0::BIGINT, 'o': CASE WHEN {total} - a.s - 20 > 0 THEN a.o + {sep} + {total} - a.s - 20 + 3 ELSE a.o END, 's': a.s, 'd': 1::BIGINT}} END"""
+    return f"(list_reduce([{acc}] || {rows}, lambda a, x: {step})).o"
+
+
+_DOC = "{'k': %s, 'n': %s, 'l': %s, 'w': %s, 's': %s}"
+_KEY = "source || '|' || lang || '|' || left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 240)"
+_LENS = "[x.n FOR x IN docs]"
+_FOUND = _DOC % ("'c|web|found'", "5::BIGINT", "7::BIGINT", "1", "'c/web'")
+#: The workflow as a recursion over states: documents are lists of key, length, length of label, whether
+#: from the web, and source.
+_ASKED = f"""WITH RECURSIVE {_GATED},
+e AS (SELECT vec_id, label % 2 AS collection, embedding::DOUBLE[] AS v FROM embeddings), total AS (SELECT count(*) AS many FROM embeddings),
+sc AS (SELECT a.vec_id AS q, b.collection, b.vec_id, round(list_inner_product(a.v, b.v), 5) AS score FROM e a, e b WHERE b.vec_id IN (SELECT doc_id FROM documents)),
+top AS (SELECT *, row_number() OVER (PARTITION BY q, collection ORDER BY score DESC, vec_id) AS rank FROM sc QUALIFY rank <= 3),
+dd AS (SELECT q, collection * 1000 + rank AS ord, {_KEY} AS k, length(text) AS n, length(source) + length(lang) + 3 AS l, source || '/' || lang AS s FROM top JOIN documents ON doc_id = vec_id
+  QUALIFY row_number() OVER (PARTITION BY q, {_KEY} ORDER BY collection * 1000 + rank) = 1),
+near AS (SELECT q, list({_DOC % ('k', 'n::BIGINT', 'l::BIGINT', '0', 's')} ORDER BY ord) AS found FROM dd GROUP BY q),
+st AS (
+  SELECT id, length(question)::BIGINT AS ql, provider = 'ollama' AS private, found AS docs, 1 AS retrievals, 0 AS retries, false AS attempted, '' AS generation, 'grade_documents' AS nxt, NULL::VARCHAR AS warning, false AS verified
+  FROM x CROSS JOIN total LEFT JOIN near ON q = coalesce(try_cast(nullif(regexp_extract(question, '^([0-9]+):', 1), '') AS BIGINT), length(question)) % many WHERE gate IS NULL
+  UNION ALL
+  SELECT id, ql, private, docs, CASE WHEN nxt = 'retrieve_missing' AND retries = 0 THEN retrievals + 1 ELSE retrievals END,
+    CASE WHEN nxt = 'grade_generation' AND g = 'retry' THEN retries + 1 ELSE retries END, attempted OR nxt = 'web_search',
+    CASE WHEN nxt = 'generate' THEN 'r' || retries || ':' || rendered ELSE generation END,
+    CASE nxt WHEN 'grade_documents' THEN CASE WHEN NOT private AND NOT enough THEN 'retrieve_missing' ELSE 'generate' END
+      WHEN 'retrieve_missing' THEN CASE WHEN retries > 0 OR enough THEN 'generate' WHEN retrievals + 1 < 3 THEN 'retrieve_missing' WHEN private THEN 'generate' ELSE 'web_search' END
+      WHEN 'web_search' THEN 'generate' WHEN 'generate' THEN 'grade_generation'
+      WHEN 'grade_generation' THEN CASE g WHEN 'retry' THEN 'retrieve_missing' WHEN 'web_search' THEN 'web_search' ELSE 'verify' END
+      WHEN 'verify' THEN CASE WHEN has AND NOT own AND attempted THEN 'verify_wider' ELSE 'done' END ELSE 'done' END,
+    CASE WHEN nxt = 'verify' THEN CASE WHEN NOT has THEN 'no_trusted_sources' WHEN NOT own AND NOT attempted THEN 'not_verified_trusted_only' END
+      WHEN nxt = 'verify_wider' AND NOT wider THEN 'not_verified_after_web' ELSE warning END,
+    CASE nxt WHEN 'verify' THEN has AND own WHEN 'verify_wider' THEN wider ELSE verified END
+  FROM (
+    SELECT *, len(docs) > 0 AND {_budget_length(_LENS, 420, 3600)} >= 1500 + ql % 5 * 500 AS enough,
+      coalesce(list_sum([x.n + x.l + 11 FOR x IN docs]), 0) + 7 * greatest(len(docs) - 1, 0) AS rendered,
+      CASE WHEN retries >= ql % 3 THEN 'useful' WHEN attempted OR private THEN 'end' WHEN retries < 2 THEN 'retry' ELSE 'web_search' END AS g,
+      len([x FOR x IN docs IF x.w = 0]) > 0 AS has, {_budget_length("[x.n FOR x IN docs IF x.w = 0]", 1200, 8000)} % 3 > 0 AS own,
+      {_budget_length("list_append([x.n FOR x IN docs IF x.w = 0], 5)", 1200, 8000)} % 3 > 0 AS wider
+    FROM (
+      SELECT st.* EXCLUDE (docs), CASE WHEN nxt = 'retrieve_missing' THEN coalesce(docs, []) || [y FOR y IN coalesce(found, []) IF NOT list_contains([x.k FOR x IN coalesce(docs, [])], y.k)]
+        WHEN nxt = 'web_search' THEN coalesce(docs, []) || [y FOR y IN [{_FOUND}] IF NOT list_contains([x.k FOR x IN coalesce(docs, [])], y.k)] ELSE coalesce(docs, []) END AS docs
+      FROM st CROSS JOIN total LEFT JOIN near ON nxt = 'retrieve_missing'
+        AND q = (CASE WHEN len(docs) > 0 THEN 18 + list_sum([x.n FOR x IN docs]) + 2 * (len(docs) - 1) ELSE 23 END + CASE WHEN retries > 0 THEN 2 ELSE 0 END) % many
+      WHERE nxt <> 'done'))),
+fin AS (SELECT * FROM st WHERE nxt = 'done')
+SELECT x.id, CASE WHEN gate = 'limited' THEN 429 WHEN gate IN ('invalid', 'no_key') THEN 400 ELSE 200 END AS code,
+  CASE WHEN gate IS NULL THEN generation WHEN gate = 'small_talk' THEN 'You''re welcome! Ask me anything.' END AS answer,
+  CASE WHEN gate IS NULL THEN len(list_distinct([y.s FOR y IN docs])) ELSE 0 END AS n_sources, CASE WHEN gate IS NULL OR gate = 'small_talk' THEN 1 ELSE 0 END AS n_history,
+  coalesce(attempted, false) AS used_web_search, warning, CASE WHEN gate IS NULL THEN CASE WHEN attempted THEN 'web_search' ELSE 'trusted_only' END || CASE WHEN verified THEN '_verified' ELSE '_unverified' END END AS outcome,
+  provider = 'ollama' AS privacy_mode
+FROM x LEFT JOIN fin ON fin.id = x.id"""
+
 ORACLE = {
     "golden_cache": "SELECT item_id::VARCHAR AS id, item_id % 4 = 0 AS cached, CASE WHEN item_id % 4 = 0 THEN length(text) + 3 END AS n FROM benchmark",
     "document_json": "SELECT doc_id // 8 AS request, count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1",
@@ -350,10 +423,7 @@ v AS (SELECT 0 AS f, '' AS label, '' AS tag, '1' AS v UNION ALL SELECT 1, '', ''
 s AS (SELECT f, 0 AS part, '' AS label, '# HELP ' || name || ' ' || about AS line FROM h UNION ALL SELECT f, 1, '', '# TYPE ' || name || ' ' || kind FROM h UNION ALL SELECT f, 2, label, name || tag || ' ' || v FROM v JOIN h USING (f))
 SELECT (row_number() OVER (ORDER BY f, part, label) - 1)::INTEGER AS ord, line FROM s""",
     "request_gates": f"WITH {_GATED} SELECT id, gate, provider FROM x",
-    "ask_requests": f"""WITH {_GATED}, y AS (SELECT *, provider = 'ollama' AS private, gate IS NULL AS asked, gate IS NULL AND provider <> 'ollama' AND length(question) >= 841 AS web FROM x)
-SELECT id, CASE WHEN gate = 'limited' THEN 429 WHEN gate IN ('invalid', 'no_key') THEN 400 ELSE 200 END AS code, CASE WHEN asked THEN 'r0' WHEN gate = 'small_talk' THEN 'You''re welcome! Ask me anything.' END AS answer,
-  CASE WHEN NOT asked THEN 0 WHEN private THEN 1 WHEN web THEN 3 ELSE 2 END AS n_sources, CASE WHEN asked OR gate = 'small_talk' THEN 1 ELSE 0 END AS n_history, web AS used_web_search,
-  CASE WHEN web THEN 'web_search_verified' WHEN asked THEN 'trusted_only_verified' END AS outcome, private AS privacy_mode FROM y""",
+    "ask_requests": _ASKED,
     "stream_rate_limit_aligned": """SELECT user_id, (epoch_us(ts) // 86400000000) * 86400000000 AS start, least(count(*), 3) AS passed, count(*) - least(count(*), 3) AS refused FROM events GROUP BY 1, 2""",
     "stream_sync": "SELECT user_id AS id, arg_max(event_id, (ts, event_id))::VARCHAR AS version FROM events GROUP BY 1",
 }

@@ -1,28 +1,100 @@
 """The question workflow over a table of questions.
 
-One row per question; ``next`` names the stage that it waits for. Every round applies all stages
-to the rows that wait for them, as one projection, and writes them; finished rows stay where they
-are written, and rounds are bounded by the longest path. What a stage needs from outside (retrieved documents, web results, graders, the
-generator) comes as columns and column functions, so that a live model and the offline defaults
-run the same plan."""
+Rows are dealt by the stage that they wait for. A stage takes its own rows only, so a model is called once
+per row and stage, and the earliest stage that any row waits for runs first: rows that were sent on wait
+until the others have come up, and each stage sees as many rows at once as it can. What a stage does not
+touch is not written again: the state of a row (counters, the answer, where next) lies in the table of the
+stage that it left last, and its documents, few for any question, in that of the search that found the last
+of them.
+
+Retrieval, search and models are functions on tables: they take ``id`` and their inputs and give ``id`` and
+``answer`` (or documents), with ``error`` where they can fail. A row with an error is done, and keeps it.
+``by_column`` makes one of a column function, :meth:`ledger.Ledger.ask` one of a paid call.
+
+Ids are unique; null ids are not asked. Null questions count as empty."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, functions as F
+
+from ..functions import routing as rt, text as tx
+from ..operators import context as ctx
+from ..operators.tables import Tables
+
+#: A document of a question: its key tells copies apart; what a web search found is not trusted.
+DOC = "struct<text:string,source:string,document_type:string,key:string,trusted:boolean>"
+#: Most characters of a query for what is missing, and of a web query.
+MISSING_CHARS, SEARCH_CHARS = 150, 200
+#: Sites that count as trusted in a web search.
+TRUSTED_SITES = ("iaea.org", "retsinformation.dk", "sst.dk")
+#: In the order in which waiting rows are taken.
+STAGES = ("retrieve", "grade_documents", "retrieve_missing", "web_search", "generate", "grade_generation", "verify", "verify_wider")
+NO_CONTEXT = "None."
+
+Model = Callable[[DataFrame], DataFrame]
+
+
+def by_column(expression: Callable[..., Column], *, native: bool = False) -> Model:
+    """A model of a function on its inputs' columns, in the order that :class:`Models` names. Where it is
+    ``native``, an answer that is used twice may be computed twice; else it is written first."""
+
+    def model(asked: DataFrame) -> DataFrame:
+        return asked.select("id", expression(*[F.col(c) for c in asked.columns if c != "id"]).alias("answer"))
+
+    model.native = native
+    return model
+
+
+@dataclass
+class Models:
+    """What the workflow asks. Inputs besides id:
+
+    ``retrieve``, ``search``: query, giving id, ord, text, source, document_type; ``sufficient``: question,
+    context, giving a boolean; ``missing_query``: question, context, hint; ``search_query``: question,
+    context; ``generate``: question, context, history, retries; ``grade``: question, context, generation,
+    giving a struct of passed and missing_info; ``grounded``: context, generation, giving a boolean."""
+
+    retrieve: Model
+    search: Model
+    sufficient: Model
+    missing_query: Model
+    search_query: Model
+    generate: Model
+    grade: Model
+    grounded: Model
 
-from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import routing as rt
-from ..operators.tables import written
+def question_alone() -> Model:
+    """The question as the query, for want of a model."""
+    return by_column(lambda question, *_: tx.strip(question), native=True)
 
-MAX_STEPS = 19
-DOC = "struct<text:string,source:string,document_type:string>"
 
+def hinted_question() -> Model:
+    """The query for what is missing, for want of a model: the question, and the hint of the last grading
+    where it says more than 'retry'."""
 
-def _joined(docs: Column, per: int, total: int) -> Column:
-    """Documents within a budget: see operators.context.budgeted; here within one row."""
-    parts = F.filter(F.transform(docs, lambda d: F.left(F.coalesce(d["text"], F.lit("")), F.lit(per))), lambda x: x != "")
+    def query(question: Column, context: Column, hint: Column) -> Column:
+        useful = F.when(~F.lower(tx.strip(hint)).isin("", "retry"), tx.strip(hint))
+        return F.coalesce(F.concat(tx.strip(question), F.lit(" "), useful), tx.strip(question))
+
+    return by_column(query, native=True)
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{DOC}>")
+
+
+def _texts(docs: Column, trusted: bool = False) -> Column:
+    return F.transform(F.filter(docs, lambda d: d["trusted"]) if trusted else docs, lambda d: F.coalesce(d["text"], F.lit("")))
+
+
+def within(texts: Column, per: int, total: int) -> Column:
+    """Texts within a budget, as operators.context.budgeted has it; here within one row."""
+    parts = F.filter(F.transform(texts, lambda t: F.left(t, F.lit(per))), lambda x: x != "")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("spent"), F.lit(False).alias("done"))
 
     def step(s, x):
@@ -36,78 +108,217 @@ def _joined(docs: Column, per: int, total: int) -> Column:
     return F.aggregate(parts, start, step, lambda s: s["out"])
 
 
-@dataclass
-class Models:
-    """Pluggable functions on columns, with deterministic offline defaults."""
-
-    sufficient: Callable[[Column, Column], Column]
-    generate: Callable[[Column, Column, Column], Column]
-    passes: Callable[[Column, Column, Column], Column]
-    grounded: Callable[[Column, Column], Column]
-
-
-def _merge(have: Column, new: Column) -> Column:
-    """New documents whose key is not there yet, in order."""
-    key = lambda d: F.concat_ws("|", d["source"], d["document_type"], F.left(d["text"], F.lit(240)))
-    keys = F.transform(have, key)
-    return F.concat(have, F.filter(F.array_distinct(new), lambda d: ~F.array_contains(keys, key(d))))
-
-
-def run_batch(questions: DataFrame, models: Models, *, cut: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
-    """``questions``: id, question, private, pool (documents per retrieval round), web (documents
-    of the fallback search), web_enabled. Returns them with generation, counters, verified, warning
-    and outcome."""
-    none = F.array().cast(f"array<{DOC}>")
-    first = F.coalesce(F.try_element_at("pool", F.lit(1)), none)
-    state = questions.withColumns({
-        "documents": first, "trusted": first, "retrievals": F.lit(1), "retries": F.lit(0), "attempted": F.lit(False), "generations": F.lit(0),
-        "generation": F.lit(None).cast("string"), "verified": F.lit(False), "warning": F.lit(None).cast("string"),
-        "outcome": F.lit(None).cast("string"), "next": F.lit("grade_documents"),
-    })
-    finished = []
-    for _ in range(MAX_STEPS):
-        state = cut(_step(state, models), "questions")
-        finished.append(state.where("next = 'done'"))
-        state = state.where("next <> 'done'")
-        if state.isEmpty():
-            break
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    return out.drop("next")
-
-
-def _step(s: DataFrame, m: Models) -> DataFrame:
-    at = lambda name: F.col("next") == name
-    c = F.col
-    pool_at = F.coalesce(F.try_element_at("pool", c("retrievals") + 1), F.array().cast(f"array<{DOC}>"))
-    small, large = _joined(c("documents"), 420, 3600), _joined(c("documents"), 1200, 8000)
-    enough = m.sufficient(c("question"), small)
-    docs = F.when(at("retrieve_missing"), _merge(c("documents"), pool_at)).when(at("web_search"), _merge(c("documents"), c("web"))).otherwise(c("documents"))
-    trusted = F.when(at("retrieve_missing"), _merge(c("trusted"), pool_at)).otherwise(c("trusted"))
-    more = m.sufficient(c("question"), _joined(docs, 420, 3600))
-    flag = rt.web_flag(F.size("documents") > 0, enough, c("private"))
-    grade = rt.after_generation(m.passes(c("question"), large, c("generation")), c("web_enabled"), c("attempted"), c("retries"), c("private"))
-    own, wider = m.grounded(_joined(c("trusted"), 1200, 8000), c("generation")), m.grounded(_joined(F.concat("trusted", "web"), 1200, 8000), c("generation"))
-    verified = (F.size("trusted") > 0) & (own | (c("attempted") & wider))
-    warning = (
-        F.when(F.size("trusted") == 0, "no_trusted_sources").when(own | (c("attempted") & wider), c("warning"))
-        .when(c("attempted"), "not_verified_after_web").otherwise("not_verified_trusted_only")
-    )
-    missing = rt.after_missing(c("retries"), more, F.when(c("retries") > 0, c("retrievals")).otherwise(c("retrievals") + 1), c("private"))
-    nxt = (
-        F.when(at("grade_documents"), rt.after_documents(flag, c("web_enabled"))).when(at("retrieve_missing"), missing)
-        .when(at("web_search"), "generate").when(at("generate"), "grade_generation")
-        .when(at("grade_generation"), F.when(grade.isin("useful", "end"), "verify").when(grade == "retry", "retrieve_missing").otherwise("web_search"))
-        .otherwise("done")
-    )
-    retry = at("grade_generation") & (grade == "retry")
-    return s.withColumns({
-        "documents": docs, "trusted": trusted,
-        "retrievals": F.when(at("retrieve_missing") & (c("retries") == 0), c("retrievals") + 1).otherwise(c("retrievals")),
-        "retries": F.when(retry, c("retries") + 1).otherwise(c("retries")), "attempted": c("attempted") | at("web_search"),
-        "generations": F.when(at("generate"), c("generations") + 1).otherwise(c("generations")),
-        "generation": F.when(at("generate"), m.generate(c("question"), large, c("retries"))).otherwise(c("generation")),
-        "verified": F.when(at("verify"), verified).otherwise(c("verified")), "warning": F.when(at("verify"), warning).otherwise(c("warning")),
-        "outcome": F.when(at("verify"), rt.outcome(c("attempted"), verified)).otherwise(c("outcome")), "next": nxt,
-    })
+def _merged(have: Column, new: Column) -> Column:
+    """``have`` and those of ``new``, in order, whose key no document before has."""
+    fresh = lambda kept, d: F.when(F.exists(kept, lambda x: x["key"] == d["key"]), kept).otherwise(F.concat(kept, F.array(d)))
+    return F.aggregate(F.coalesce(new, _none()), have, fresh)
+
+
+def _history(c: str = "history") -> Column:
+    return F.coalesce(c, F.array().cast("array<struct<q:string,a:string>>"))
+
+
+def _sure(answer: str = "answer") -> Column:
+    return F.coalesce(F.col(answer).cast("boolean"), F.lit(False))
+
+
+class _Run:
+    def __init__(self, questions: DataFrame, models: Models, *, ready: bool, trusted_only: bool):
+        self.tables, self.m, self.trusted_only, self.ready = Tables(questions.sparkSession), models, trusted_only, ready
+        self.parts: list[DataFrame] = []
+        self.waiting: dict[str, list[DataFrame]] = {s: [] for s in STAGES}
+        self.done: list[DataFrame] = []
+        none = lambda kind: F.lit(None).cast(kind)
+        first = questions.where("id IS NOT NULL").select(
+            "id", F.coalesce("question", F.lit("")).alias("question"), "history", F.coalesce("private", F.lit(False)).alias("private"), F.coalesce("web_enabled", F.lit(False)).alias("web_enabled"),
+            F.lit(0).alias("part"), F.lit(0).alias("retrievals"), F.lit(0).alias("retries"), F.lit(False).alias("attempted"), F.lit(0).alias("generations"), none("string").alias("generation"),
+            F.lit("").alias("hint"), F.lit(False).alias("verified"), none("string").alias("warning"), none("string").alias("outcome"), none("string").alias("error"), F.lit("retrieve").alias("next"))
+        self.state = first.columns
+        self.deal(first)
+
+    # Rows and documents
+
+    def deal(self, rows: DataFrame) -> None:
+        """Writes rows that leave a stage and puts them where they wait next, finished ones too."""
+        seen = Observation()
+        counts = [F.count_if(F.col("next") == stage).alias(stage) for stage in (*STAGES, "done")]
+        left = self.tables.write(rows.select(*self.state).observe(seen, *counts), "questions")
+        for stage, n in seen.get.items():
+            if n:
+                (self.done if stage == "done" else self.waiting[stage]).append(left.where(F.col("next") == stage))
+
+    def take(self) -> tuple[str, DataFrame] | None:
+        for stage in STAGES:
+            if self.waiting[stage]:
+                rows = reduce(DataFrame.unionByName, self.waiting[stage])
+                self.waiting[stage] = []
+                return stage, rows
+        return None
+
+    def with_documents(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with their documents: a row names the part that has them."""
+        if not self.parts:
+            return rows.withColumn("documents", _none())
+        found = reduce(DataFrame.unionByName, self.parts)
+        return rows.join(found, ["id", "part"], "left").withColumn("documents", F.coalesce("documents", _none()))
+
+    def add(self, rows: DataFrame, queries: DataFrame, search: Model, *, trusted: bool) -> DataFrame:
+        """``rows`` (with documents) and what ``search`` finds for ``queries``, as a new part."""
+        key = tx.dedupe_key(F.col("text"), F.col("source"), F.col("document_type"))
+        doc = F.struct("text", "source", "document_type", key.alias("key"), F.lit(trusted).alias("trusted"))
+        found = search(queries).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", doc.alias("doc")))).alias("new"))
+        both = rows.select("id", "documents").join(found, "id", "left")
+        number = len(self.parts) + 1
+        merged = _merged(F.col("documents"), F.transform("new", lambda x: x["doc"]))
+        self.parts.append(self.tables.write(both.select("id", F.lit(number).alias("part"), merged.alias("documents")), "documents"))
+        return rows.drop("documents").withColumn("part", F.lit(number))
+
+    def answers(self, rows: DataFrame, asked: DataFrame, model: Model, *, twice: bool = False) -> DataFrame:
+        """``rows`` with the answer; those that were not asked have none. An error ends a row. ``twice``:
+        the answer is used twice, and computed once."""
+        got = model(asked)
+        if "error" not in got.columns:
+            got = got.withColumn("error", F.lit(None).cast("string"))
+        got = rows.drop("error", "answer").join(got.select("id", "answer", "error"), "id", "left")
+        return self.tables.write(got, "answered") if twice and not getattr(model, "native", False) else got
+
+    @staticmethod
+    def onward(rows: DataFrame, stage: Column) -> DataFrame:
+        return rows.withColumn("next", F.when(F.col("error").isNotNull(), "done").otherwise(stage))
+
+    def pass_on(self, rows: DataFrame, stage: str, model: Model) -> None:
+        """Sends all rows to one stage; without a write where their answers can be computed again."""
+        if getattr(model, "native", False):
+            self.waiting[stage].append(rows.withColumn("next", F.lit(stage)).select(*self.state))
+        else:
+            self.deal(self.onward(rows, F.lit(stage)))
+
+    # Stages: each gives its rows with where they go next, or has passed them on.
+
+    def retrieve(self, rows: DataFrame) -> DataFrame | None:
+        rows = rows.withColumn("retrievals", F.lit(1))
+        if not self.ready:
+            return self.onward(rows.withColumn("warning", F.lit("embeddings_not_built")), F.lit("grade_documents"))
+        queries = rows.select("id", tx.follow_up_query(F.col("question"), _history()).alias("query"))
+        rows = self.add(self.with_documents(rows), queries, self.m.retrieve, trusted=True)
+        self.waiting["grade_documents"].append(rows.withColumn("next", F.lit("grade_documents")).select(*self.state))
+        return None
+
+    def grade_documents(self, rows: DataFrame) -> DataFrame:
+        rows = self.with_documents(rows).withColumn("has", F.size("documents") > 0)
+        asked = rows.where("has").select("id", "question", within(_texts(F.col("documents")), *ctx.SUFFICIENCY).alias("context"))
+        got = self.answers(rows.drop("documents"), asked, self.m.sufficient)
+        return self.onward(got, rt.after_documents(rt.web_flag(F.col("has"), _sure(), F.col("private")), F.col("web_enabled")))
+
+    def retrieve_missing(self, rows: DataFrame) -> DataFrame:
+        rows = self.with_documents(rows)
+        known = F.coalesce(tx.falsy(F.array_join(_texts(F.col("documents")), "\n\n")), F.lit(NO_CONTEXT))
+        context = F.concat(tx.exchange_prefix(_history()), F.lit("Document context:\n"), known)
+        got = self.answers(rows, rows.select("id", "question", context.alias("context"), "hint"), self.m.missing_query, twice=True)
+        query = F.coalesce(tx.falsy(F.left(tx.strip(F.col("answer").cast("string")), F.lit(MISSING_CHARS))), F.col("question"))
+        got = self.add(got, got.where("error IS NULL").select("id", query.alias("query")), self.m.retrieve, trusted=True)
+        got = got.withColumn("retrievals", F.when(F.col("retries") == 0, F.col("retrievals") + 1).otherwise(F.col("retrievals"))).withColumn("failed", F.col("error"))
+        # After a generation that did not pass, the next one is due whatever there is: nothing is asked.
+        seen = self.with_documents(got.where("error IS NULL AND retries = 0").select("id", "part", "question")).where(F.size("documents") > 0)
+        asked = seen.select("id", "question", within(_texts(F.col("documents")), *ctx.SUFFICIENCY).alias("context"))
+        got = self.answers(got, asked, self.m.sufficient).withColumn("error", F.coalesce("failed", "error"))
+        return self.onward(got, rt.after_missing(F.col("retries"), _sure(), F.col("retrievals"), F.col("private")))
+
+    def web_search(self, rows: DataFrame) -> None:
+        rows = self.with_documents(rows)
+        known = F.coalesce(tx.falsy(F.array_join(F.transform(_texts(F.col("documents")), lambda t: F.left(t, F.lit(500))), "\n\n")), F.lit(NO_CONTEXT))
+        asked = rows.select("id", "question", F.concat(tx.exchange_prefix(_history(), 300), known).alias("context"))
+        got = self.answers(rows, asked, self.m.search_query, twice=True)
+        got = self.add(got, self._web_queries(got, F.lit(self.trusted_only)), self.m.search, trusted=False)
+        self.pass_on(got.withColumn("attempted", F.lit(True)), "generate", self.m.search_query)
+
+    @staticmethod
+    def _web_queries(rows: DataFrame, restrict: Column) -> DataFrame:
+        query = F.coalesce(tx.falsy(F.left(tx.strip(F.col("answer").cast("string")), F.lit(SEARCH_CHARS))), F.col("question"))
+        return rows.where("error IS NULL").select("id", tx.search_restriction(query, restrict, TRUSTED_SITES).alias("query"))
+
+    @staticmethod
+    def rendered(docs: Column) -> Column:
+        """What the generator reads: web documents first, each under its source."""
+        web = lambda d: F.coalesce(d["document_type"], F.lit("")) == "web"
+        ordered = F.concat(F.filter(docs, web), F.filter(docs, lambda d: ~web(d)))
+        return F.array_join(F.transform(ordered, lambda d: tx.rendered(d["text"], d["source"], d["document_type"])), tx.CONTEXT_BREAK)
+
+    def generate(self, rows: DataFrame) -> None:
+        asked = self.with_documents(rows).select("id", "question", self.rendered(F.col("documents")).alias("context"), tx.history_text(_history()).alias("history"), "retries")
+        got = self.answers(rows, asked, self.m.generate)
+        got = got.withColumns({"generation": F.col("answer").cast("string"), "generations": F.col("generations") + 1, "hint": F.lit("")})
+        self.pass_on(got, "grade_generation", self.m.generate)
+
+    def grade_generation(self, rows: DataFrame) -> DataFrame:
+        shown = F.coalesce(tx.falsy(self.rendered(F.col("documents"))), F.lit("No documents"))
+        asked = self.with_documents(rows).select("id", "question", shown.alias("context"), "generation")
+        got = self.answers(rows, asked, self.m.grade)
+        passed = F.coalesce(F.col("answer.passed"), F.lit(False))
+        said = F.coalesce(tx.falsy(tx.strip(F.col("answer.missing_info"))), F.lit("retry"))
+        grade = rt.after_generation(passed, F.col("web_enabled"), F.col("attempted"), F.col("retries"), F.col("private"))
+        got = got.withColumn("grade", grade).withColumn("hint", F.when(passed, "").otherwise(said))
+        got = got.withColumn("retries", F.when(F.col("grade") == "retry", F.col("retries") + 1).otherwise(F.col("retries")))
+        return self.onward(got, F.when(F.col("grade") == "retry", "retrieve_missing").when(F.col("grade") == "web_search", "web_search").otherwise("verify"))
+
+    def _judged(self, got: DataFrame, has: Column, unsure: Column, otherwise: str) -> DataFrame:
+        """Rows with the verdict on their answer: ``unsure`` is where those that are not grounded go on."""
+        sound = has & _sure()
+        warning = F.when(~has, "no_trusted_sources").when(sound | unsure, F.col("warning")).otherwise(otherwise)
+        got = got.withColumns({"sound": sound, "verified": sound, "warning": warning})
+        got = got.withColumn("outcome", F.when(F.col("error").isNull(), rt.outcome(F.col("attempted"), F.col("sound"))))
+        return self.onward(got, F.when(has & ~F.col("sound") & unsure, "verify_wider").otherwise("done"))
+
+    def verify(self, rows: DataFrame) -> DataFrame:
+        rows = self.with_documents(rows).withColumn("has", F.exists("documents", lambda d: d["trusted"]))
+        asked = rows.where("has").select("id", within(_texts(F.col("documents"), True), *ctx.GENERATION).alias("context"), "generation").where("context <> ''")
+        got = self.answers(rows.drop("documents"), asked, self.m.grounded)
+        return self._judged(got, F.col("has"), F.col("attempted"), "not_verified_trusted_only")
+
+    def verify_wider(self, rows: DataFrame) -> DataFrame:
+        """Once more, with what a search of trusted sites alone finds. Found texts count as one document,
+        behind the others; without any, nothing is asked."""
+        asked = rows.select("id", "question", F.lit(NO_CONTEXT).alias("context"))
+        queries = self._web_queries(self.answers(rows, asked, self.m.search_query), F.lit(True))
+        found = ctx.ordered_concat(self.m.search(queries).where("text <> ''"), ["id"], F.col("text"), ["ord"], "\n\n", "extra")
+        seen = self.with_documents(rows).join(found, "id")
+        texts = F.concat(_texts(F.col("documents"), True), F.array("extra"))
+        got = self.answers(rows, seen.select("id", within(texts, *ctx.GENERATION).alias("context"), "generation"), self.m.grounded)
+        return self._judged(got, F.lit(True), F.lit(False), "not_verified_after_web")
+
+    def result(self) -> DataFrame:
+        while (taken := self.take()) is not None:
+            stage, rows = taken
+            left = getattr(self, stage)(rows)
+            if left is not None:
+                self.deal(left)
+        rows = reduce(DataFrame.unionByName, self.done) if self.done else self.tables.held[0][0]
+        plain = F.transform("documents", lambda d: F.struct(d["text"].alias("text"), d["source"].alias("source"), d["document_type"].alias("document_type")))
+        return self.tables.result(self.with_documents(rows).withColumn("documents", plain).drop("next", "hint", "part"), "answers")
+
+
+def run_batch(questions: DataFrame, models: Models, *, ready: bool = True, trusted_only: bool = False) -> DataFrame:
+    """``questions``: id, question, history (an array of struct<q, a>), private, web_enabled. Returns them
+    with documents, generation, counters, verified, warning, outcome and error, as a written table; all
+    tables in between are removed. ``ready``: whether the collections can be searched."""
+    return _Run(questions, models, ready=ready, trusted_only=trusted_only).result()
+
+
+def table_search(found: DataFrame) -> Model:
+    """A search that finds, whatever the query, what a table (id, ord, text, source, document_type) has for
+    an id."""
+    return lambda queries: found.join(queries.select("id"), "id", "left_semi")
+
+
+def vector_retrieval(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], nearest: Callable[..., DataFrame], *, by: str = "collection", order: Sequence[str] = ()) -> Model:
+    """Retrieval from collections of vectors: the best of each, collections in order.
+
+    ``vectors``: vec_id, ``by``, embedding; ``chunks``: vec_id, text, source, document_type; ``embed`` takes
+    id, query and gives query_id, query_vector; ``nearest`` as in operators.vector."""
+
+    def model(queries: DataFrame) -> DataFrame:
+        near = nearest(embed(queries), vectors, by=by)
+        place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(by)) if order else F.col(by).cast("long")
+        return near.join(chunks, "vec_id").select(F.col("query_id").alias("id"), (place * 1000 + F.col("rank")).alias("ord"), "text", "source", "document_type")
+
+    return model

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import routing as rt, text as tx
 from ..operators import containment, evals, limits
 from ..streaming import streams
-from . import flow
+from . import asking, flow
 from .tables import t
 
 
@@ -53,15 +53,12 @@ def input_limits(spark, sf_dir):
     return c.select("conv_id", tx.reject_reason(F.when(F.col("conv_id") % 2 == 0, long).otherwise(F.col("question")), F.col("turns") * 3, F.lit("k")).alias("reason"))
 
 
-#: A message in its languages.
-LABEL_WITH_WEB = {"en": "Sources incl. web search", "de": "Quellen inkl. Websuche", "da": "Kilder inkl. websøgning"}
 STOP_WORDS = {"en": ("the", "of", "and", "is"), "fr": ("le", "de", "et", "un"), "de": ("der", "und", "die", "ist"), "es": ("el", "los", "para", "una")}
 
 
 def lang_fallback_message(spark, sf_dir):
-    """The message in the language of each document, English where it has none."""
-    words = F.create_map(*[F.lit(x) for kv in LABEL_WITH_WEB.items() for x in kv])
-    return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.element_at(words, F.col("lang")), F.lit(LABEL_WITH_WEB["en"])).alias("message"))
+    """The label in the language of each document, English where it has none."""
+    return t(spark, sf_dir, "documents").select("doc_id", asking.language_label(F.col("lang")).alias("message"))
 
 
 def lang_detect_stopwords(spark, sf_dir):
@@ -139,19 +136,18 @@ def pipeline_outcomes(spark, sf_dir):
     that follow its labels and its number."""
     f = _flags(spark, sf_dir).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("good", "toxic", "on", "private")])
     d = t(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").join(f, "doc_id")
-    doc = lambda x: F.struct(x.alias("text"), F.col("source"), F.col("lang").alias("document_type"))
     tag = F.concat_ws(":", F.lit("#"), F.col("good").cast("int"), F.col("toxic").cast("int"), F.col("doc_id") % 7)
     q = d.select(
-        F.col("doc_id").alias("id"), tag.alias("question"), "private", F.col("on").alias("web_enabled"),
-        F.array(F.when(F.col("doc_id") % 11 > 0, F.array(doc(F.col("text")))).otherwise(F.array().cast(f"array<{flow.DOC}>"))).alias("pool"),
-        F.array(F.struct(F.lit("found").alias("text"), F.lit("web").alias("source"), F.lit("web").alias("document_type"))).alias("web"),
-    )
+        F.col("doc_id").alias("id"), tag.alias("question"), F.array().cast("array<struct<q:string,a:string>>").alias("history"), "private", F.col("on").alias("web_enabled"))
+    own = d.where("doc_id % 11 > 0").select(F.col("doc_id").alias("id"), F.lit(1).alias("ord"), "text", "source", F.col("lang").alias("document_type"))
+    web = d.select(F.col("doc_id").alias("id"), F.lit(1).alias("ord"), F.lit("found").alias("text"), F.lit("web").alias("source"), F.lit("web").alias("document_type"))
     part = lambda c, i: F.element_at(F.split(c, ":"), i)
     models = flow.Models(
-        sufficient=lambda question, context: part(question, 2) == "1",
-        generate=lambda question, context, retries: F.concat_ws(":", question, retries.cast("string")),
-        passes=lambda question, context, g: part(g, 5).cast("int") >= part(g, 4).cast("int") - 1,
-        grounded=lambda context, g: part(g, 3) == "0",
+        retrieve=flow.table_search(own), search=flow.table_search(web), missing_query=flow.hinted_question(), search_query=flow.question_alone(),
+        sufficient=flow.by_column(lambda question, context: part(question, 2) == "1", native=True),
+        generate=flow.by_column(lambda question, context, history, retries: F.concat_ws(":", question, retries.cast("string")), native=True),
+        grade=flow.by_column(lambda question, context, g: F.struct((part(g, 5).cast("int") >= part(g, 4).cast("int") - 1).alias("passed"), F.lit("").alias("missing_info")), native=True),
+        grounded=flow.by_column(lambda context, g: part(g, 3) == "0", native=True),
     )
     return flow.run_batch(q, models).select("id", "generations", "retrievals", "retries", "attempted", "verified", "warning", "outcome")
 
@@ -260,10 +256,10 @@ FROM events GROUP BY 1""",
     "outcome_matrix": f"""WITH {_F} SELECT CASE WHEN tried THEN 'web_search' ELSE 'trusted_only' END || CASE WHEN toxic THEN '_unverified' ELSE '_verified' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
     "pipeline_outcomes": """WITH f AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic, doc_id % 2 = 0 AS o, doc_id % 5 = 0 AS private, greatest(0, doc_id % 7 - 1) AS need, doc_id % 11 > 0 AS docs
   FROM labels WHERE doc_id IN (SELECT doc_id FROM documents) GROUP BY doc_id),
-w AS (SELECT *, o AND NOT private AS wide, o AND NOT private AND NOT good AS early, o AND NOT private AND good AND need > 2 AS late FROM f),
+w AS (SELECT *, o AND NOT private AS wide, o AND NOT private AND NOT (good AND docs) AS early, o AND NOT private AND good AND docs AND need > 2 AS late FROM f),
 v AS (SELECT *, early OR late AS attempted, docs AND NOT toxic AS verified FROM w)
-SELECT doc_id AS id, (CASE WHEN late THEN 4 WHEN wide AND good THEN need + 1 ELSE 1 END)::INTEGER AS generations, CASE WHEN early THEN 3 WHEN wide AND good AND NOT docs THEN 2 ELSE 1 END AS retrievals,
-  (CASE WHEN late THEN 2 WHEN wide AND good THEN need ELSE 0 END)::INTEGER AS retries, attempted, verified,
+SELECT doc_id AS id, (CASE WHEN late THEN 4 WHEN wide AND NOT early THEN need + 1 ELSE 1 END)::INTEGER AS generations, CASE WHEN early THEN 3 ELSE 1 END AS retrievals,
+  (CASE WHEN late THEN 2 WHEN wide AND NOT early THEN need ELSE 0 END)::INTEGER AS retries, attempted, verified,
   CASE WHEN NOT docs THEN 'no_trusted_sources' WHEN verified THEN NULL WHEN attempted THEN 'not_verified_after_web' ELSE 'not_verified_trusted_only' END AS warning,
   CASE WHEN attempted THEN 'web_search' ELSE 'trusted_only' END || CASE WHEN verified THEN '_verified' ELSE '_unverified' END AS outcome FROM v""",
     "eval_precision_at_k": """WITH v AS (SELECT doc_id // 10 AS item, list(quality ORDER BY doc_id) AS v FROM labels GROUP BY 1),

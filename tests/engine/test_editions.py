@@ -120,14 +120,9 @@ def test_registry_load_branches_on_folder(spark):
 def test_asking_helpers(spark):
     who = asking.provider_of(F.lit("OpenAI"), F.create_map(F.lit("openai"), F.lit("k")))
     assert tuple(one(spark, who)) == ("openai", "k") and tuple(one(spark, asking.provider_of(F.lit("?"), F.create_map(F.lit("openai"), F.lit("k"))))) == ("mistral", None)
-    q = lambda hint: one(spark, asking.missing_query(F.lit(" dose? "), F.lit(""), F.lit(hint)))
-    assert [q(h) for h in ("limits", " ", "Retry", None)] == ["dose? limits", "dose?", "dose?", "dose?"]
-    assert [tuple(one(spark, asking.verdict(F.lit(p), F.lit(m)))) for p, m in ((True, "x"), (False, " "), (False, "x"))] == [(True, ""), (False, "retry"), (False, "x")]
-    docs = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(t).alias("source"), F.lit(k).alias("document_type")) for t, k in (("a", "law"), ("b", "web"))])
-    assert one(spark, asking.generator_context(docs)).index("b") < one(spark, asking.generator_context(docs)).index("[Source: a")
-    assert one(spark, asking.generator_context(F.array().cast(f"array<{flow.DOC}>"))) == "No documents"
-    stages = asking.Stages().add("x", lambda df: df.withColumn("y", F.lit(1))).add("z", lambda df: df.where("y = 1"))
-    assert stages.run(spark.range(2)).count() == 2 and list(stages.named) == ["x", "z"]
+    asked = spark.createDataFrame([(i, " dose? ", "", h) for i, h in enumerate(("limits", " ", "Retry", None))], "id int, question string, context string, hint string")
+    assert [r["answer"] for r in flow.hinted_question()(asked).orderBy("id").collect()] == ["dose? limits", "dose?", "dose?", "dose?"]
+    assert [one(spark, asking.language_label(F.lit(x))) for x in ("de", "xx", None)] == ["Quellen inkl. Websuche"] + ["Sources incl. web search"] * 2
 
 
 def test_limits_fall_back_to_own_windows(spark, monkeypatch, tmp_path):

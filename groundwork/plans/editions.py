@@ -202,10 +202,11 @@ def ask_requests(spark, sf_dir):
         at = queries.select(F.col("id").alias("query_id"), (F.coalesce(number, F.length("query")) % n).alias("vec_id"))
         return at.join(v.select("vec_id", F.col("embedding").alias("query_vector")), "vec_id").drop("vec_id")
 
+    held = v.join(d.select("vec_id"), "vec_id", "left_semi")
     one = lambda q: q.select("id", F.lit(1).alias("ord"), F.lit("found").alias("text"), F.lit("c").alias("source"), F.lit("web").alias("document_type"))
     need = lambda question: F.length(question) % 3
     models = flow.Models(
-        retrieve=flow.vector_retrieval(v.join(d.select("vec_id"), "vec_id", "left_semi"), d, embed, vector.nearest), search=one,
+        retrieve=flow.vector_retrieval(lambda queries: vector.nearest(queries, held), d, embed), search=one,
         sufficient=flow.by_column(lambda question, context: F.length(context) >= 1500 + F.length(question) % 5 * 500, native=True),
         missing_query=flow.by_column(lambda question, context, hint: F.concat((F.length(context) + F.length(hint)).cast("string"), F.lit(":"), hint), native=True), search_query=flow.question_alone(),
         generate=flow.by_column(lambda question, context, history, retries: F.concat_ws(":", F.concat(F.lit("r"), retries.cast("string")), F.length(context).cast("string")), native=True),

@@ -310,14 +310,14 @@ def table_search(found: DataFrame) -> Model:
     return lambda queries: found.join(queries.select("id"), "id", "left_semi")
 
 
-def vector_retrieval(vectors: DataFrame, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], nearest: Callable[..., DataFrame], *, by: str = "collection", order: Sequence[str] = ()) -> Model:
+def vector_retrieval(search: Callable[[DataFrame], DataFrame], chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], *, by: str = "collection", order: Sequence[str] = ()) -> Model:
     """Retrieval from collections of vectors: the best of each, collections in order.
 
-    ``vectors``: vec_id, ``by``, embedding; ``chunks``: vec_id, text, source, document_type; ``embed`` takes
-    id, query and gives query_id, query_vector; ``nearest`` as in operators.vector."""
+    ``search`` is that of a fitted operators.vector.VectorIndex, or nearest over a table; ``chunks``:
+    vec_id, text, source, document_type; ``embed`` takes id, query and gives query_id, query_vector."""
 
     def model(queries: DataFrame) -> DataFrame:
-        near = nearest(embed(queries), vectors, by=by)
+        near = search(embed(queries))
         place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(by)) if order else F.col(by).cast("long")
         return near.join(chunks, "vec_id").select(F.col("query_id").alias("id"), (place * 1000 + F.col("rank")).alias("ord"), "text", "source", "document_type")
 

@@ -19,6 +19,14 @@ def knn_dual_top3(spark, sf_dir):
     return vector.nearest(centroids(v), v).select("query_id", "collection", "rank", "vec_id", "score")
 
 
+def knn_index(spark, sf_dir):
+    """Every fiftieth vector as a query, through the index: cells with radius bounds, probed until no other
+    one can hold a better vector."""
+    v = _collections(spark, sf_dir)
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector.VectorIndex.fit(v).search(queries)
+
+
 def _retrieved(spark, sf_dir) -> DataFrame:
     """Per query the best three of each collection among vectors that have a document."""
     v = _collections(spark, sf_dir)
@@ -136,13 +144,16 @@ _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 _BLOCK = "'[Source: ' || source || ' (' || lang || ')]' || chr(10) || "
 
 QUERIES = {f.__name__: f for f in (
-    knn_dual_top3, knn_merge_dedupe, rag_context, dedupe_key_count, dedupe_keep_first, dedupe_anti_merge, context_budget_small,
+    knn_dual_top3, knn_index, knn_merge_dedupe, rag_context, dedupe_key_count, dedupe_keep_first, dedupe_anti_merge, context_budget_small,
     context_budget_large, context_render_web_first, context_budget_rendered, citations_distinct, chunk_pages, chunk_recursive, chunk_windows,
     collection_ready,
 )}
 
 ORACLE = {
     "knn_dual_top3": f"WITH {_S.format(where='')} SELECT query_id, collection, rank, vec_id, score FROM n",
+    "knn_index": """WITH s AS (SELECT q.vec_id AS query_id, e.label % 2 AS collection, e.vec_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+SELECT query_id, collection, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 3""",
     "knn_merge_dedupe": f"WITH {_M} SELECT query_id, ord, doc_id, score FROM u",
     "rag_context": f"WITH {_M}, {_budget('u', 'query_id', 'ord', 420, 3600).format(out='query_id')}",
     "dedupe_key_count": f"SELECT source || '|' || lang || '|' || left({_KEY}, 240) AS key, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1",

@@ -190,11 +190,11 @@ def fact_containment_join(spark, sf_dir):
 
 
 def stream_counters(spark, sf_dir):
-    return streams.run_available(streams.counters(streams.events(spark, sf_dir)), "complete").select("event_type", "n", "total")
+    return streams.run_available(streams.counters(streams.events(spark, sf_dir)), ("event_type",)).select("event_type", "n", "total")
 
 
 def stream_windows(spark, sf_dir):
-    return streams.run_available(streams.windowed(streams.events(spark, sf_dir)), "complete").select("start", "event_type", "n")
+    return streams.run_available(streams.windowed(streams.events(spark, sf_dir)), ("start", "event_type")).select("start", "event_type", "n")
 
 
 def stream_rate_limit(spark, sf_dir):
@@ -202,7 +202,7 @@ def stream_rate_limit(spark, sf_dir):
 
 
 def stream_harvest_dedupe(spark, sf_dir):
-    return streams.run_available(streams.deduped(streams.events(spark, sf_dir)), "append").select("identifier", "day")
+    return streams.run_available(streams.deduped(streams.events(spark, sf_dir))).select("identifier", "day")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import limits
+from ..operators.state import StateTable
 from ..operators.tables import folder
 
 LATE = "10 days"
@@ -35,17 +36,19 @@ def deduped(df: DataFrame) -> DataFrame:
     return e.dropDuplicatesWithinWatermark(["identifier", "day"])
 
 
-def run_anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
-    """Limits by windows that start with a key's first request, as a table in the shared folder.
+def run_anchored(df: DataFrame, window_s: int, limit: int, *, path: str | None = None, delay_s: int = 0) -> DataFrame:
+    """Limits by windows that start with a key's first request, as a table in ``path``, from where a later
+    call goes on (by default a new folder).
 
     A micro-batch goes through the batch operator with the windows that earlier ones left open:
     start and count per key, a written table per batch. Nothing holds a key's rows at once, so one
     batch may be the whole input. Files are not split over batches by a limit of their own: rows
     count in the order of time within a batch, and only if files come in that order do more
-    batches give the same counts."""
-    spark, name = df.sparkSession, folder(df.sparkSession, "stream")
+    batches give the same counts. A window is kept until requests are seen that are ``delay_s`` later than
+    its end; what comes later still begins a new one. For requests as they arrive see ``arrivals``."""
+    spark, name = df.sparkSession, path or folder(df.sparkSession, "stream")
     kept, out = "user_id long, start long, n int", "user_id long, start long, event_id long, n_in_window int, status int"
-    spark.createDataFrame([], out).write.parquet(f"{name}/out/batch=-1")
+    width = (window_s + delay_s) * 1_000_000
 
     def step(batch: DataFrame, i: int) -> None:
         s = batch.sparkSession
@@ -55,25 +58,32 @@ def run_anchored(df: DataFrame, window_s: int, limit: int) -> DataFrame:
         ends = s.read.schema(f"{kept.replace('n int', 'n_in_window int')}").parquet(f"{name}/out/batch={i}").where("start IS NOT NULL")
         ends = ends.select("user_id", "start", F.col("n_in_window").alias("n"))
         ends = ends if old is None else ends.unionByName(old)
-        last = ends.groupBy("user_id").agg(F.max(F.struct("start", "n")).alias("x"))
-        last.select("user_id", "x.start", "x.n").write.mode("overwrite").parquet(f"{name}/open/{i}")
+        last = ends.groupBy("user_id").agg(F.max(F.struct("start", "n")).alias("x")).select("user_id", "x.start", "x.n")
+        latest = batch.agg(F.max(F.unix_micros("time"))).first()[0]
+        (last if latest is None else last.where(F.col("start") + width > latest)).write.mode("overwrite").parquet(f"{name}/open/{i}")
 
+    spark.createDataFrame([], out).write.mode("overwrite").parquet(f"{name}/out/batch=-1")
     df.writeStream.foreachBatch(step).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out).parquet(f"{name}/out")
 
 
-def run_available(df: DataFrame, mode: str) -> DataFrame:
-    """Everything that is there now, through the stream, as a table in the shared folder."""
-    spark, name = df.sparkSession, folder(df.sparkSession, "stream")
-    if mode == "append":
+def run_available(df: DataFrame, keys: Sequence[str] = (), *, path: str | None = None) -> DataFrame:
+    """Everything that is there now, through the stream, as a table in ``path``, from where a later call
+    goes on (by default a new folder). With ``keys`` the rows are aggregates in update mode: a batch writes
+    those that it changed, and the last row of each key holds; a watermark drops their state."""
+    spark, name = df.sparkSession, path or folder(df.sparkSession, "stream")
+    if not keys:
         q = df.writeStream.format("parquet").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start(f"{name}/out")
-    else:
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{name}/out")
+        q.awaitTermination()
+        return spark.read.schema(df.schema).parquet(f"{name}/out")
 
-        q = df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{name}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{name}/out")
+    def keep(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{name}/out/batch={i}")
+
+    df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{name}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{name}/out")
+    last = F.max_by(F.struct(*df.columns), "batch")
+    return rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(last.alias("x")).select("x.*")
 
 
 def aligned(df: DataFrame, window_s: int) -> DataFrame:
@@ -92,7 +102,7 @@ def run_limited(df: DataFrame, window_s: int, limit: int) -> DataFrame:
     """Limits by aligned windows. Where the shared counters cannot be kept, the limits of each key's own
     windows hold instead: requests are never refused for want of a counter."""
     try:
-        return limited(run_available(aligned(df, window_s), "complete"), limit)
+        return limited(run_available(aligned(df, window_s), ("user_id", "start")), limit)
     except StreamingQueryException:
         per = run_anchored(df, window_s, limit).groupBy("user_id", "start")
         return per.agg(F.count_if(F.col("status") == 200).alias("passed"), F.count_if(F.col("status") != 200).alias("refused"))
@@ -104,15 +114,17 @@ def reconciled(feed: DataFrame, atom: DataFrame) -> DataFrame:
     return feed.select(*cols).unionByName(atom.select(*cols))
 
 
-def run_sync(changes: DataFrame, state_path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], first: DataFrame) -> DataFrame:
-    """Applies every micro-batch of changes to the state: each batch writes a state of its own beside
-    the one before, so that a batch that is run again starts from the same. Returns the last state."""
-    spark, last = changes.sparkSession, {}
-    first.write.mode("ignore").parquet(f"{state_path}/0")
+def run_sync(changes: DataFrame, state_path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], first: DataFrame, *, key: str = "id", buckets: int = 64) -> DataFrame:
+    """Applies every micro-batch of changes to the state, a table of buckets with a log of commits: see
+    operators.state. A batch that comes again is known by its number. Returns the state as it is now, also
+    where nothing was new; the two last versions are kept. ``first`` is the state before any change."""
+    table = StateTable(changes.sparkSession, state_path, first.schema, key, buckets)
+    if not table.versions():
+        table.merge(first, lambda _, rows: rows, -1)
 
     def step(batch: DataFrame, i: int) -> None:
-        apply(batch.sparkSession.read.schema(first.schema).parquet(f"{state_path}/{i}"), batch).write.mode("overwrite").parquet(f"{state_path}/{i + 1}")
-        last["at"] = i + 1
+        table.merge(batch, apply, i)
+        table.vacuum()
 
     changes.writeStream.foreachBatch(step).option("checkpointLocation", f"{state_path}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(first.schema).parquet(f"{state_path}/{last.get('at', 0)}")
+    return table.read()

@@ -62,25 +62,24 @@ def decree_number(url: Column, version: Column, file_version: Column, name: Colu
 
 def current_year_nr(url: Column, version: Column) -> Column:
     """The later of what the URL and the version text say."""
-    a, b = url_year_nr(url), label_year_nr(version)
-    return F.when(a.isNotNull() & b.isNotNull(), F.when(b > a, b).otherwise(a)).otherwise(F.coalesce(a, b))
+    return F.greatest(url_year_nr(url), label_year_nr(version))
 
 
-def is_not_newer(label: Column, url: Column, current_url: Column, current_version: Column) -> Column:
-    """Whether a candidate is to be rejected: its date, else its year and number, is not later."""
-    remote, ours = label_date_nr(label), label_date_nr(current_version)
-    remote_yn = url_year_nr(url)
-    ours_yn = F.coalesce(current_year_nr(current_url, current_version), url_year_nr(current_url))
+def not_newer(url: Column, remote: Column, ours: Column, remote_yn: Column, ours_yn: Column) -> Column:
+    """:func:`is_not_newer` of what was read before: dates with numbers, years with numbers."""
     by_date = F.when(remote.isNotNull() & ours.isNotNull(), remote <= ours)
     by_number = F.when(remote_yn.isNotNull() & ours_yn.isNotNull(), remote_yn <= ours_yn)
     return F.when(F.coalesce(url, F.lit("")) == "", False).otherwise(F.coalesce(by_date, by_number, F.lit(False)))
 
 
-def update_available(current_label: Column, remote_label: Column, current_url: Column, remote_url: Column) -> Column:
-    """Later date and number, else later year and number, else later year, else another URL."""
-    a, b = label_date_nr(current_label), label_date_nr(remote_label)
-    c, d = url_year_nr(current_url), url_year_nr(remote_url)
-    y, z = F.coalesce(first_year(current_label), first_year(current_url)), first_year(remote_url)
+def is_not_newer(label: Column, url: Column, current_url: Column, current_version: Column) -> Column:
+    """Whether a candidate is to be rejected: its date, else its year and number, is not later."""
+    return not_newer(url, label_date_nr(label), label_date_nr(current_version), url_year_nr(url), current_year_nr(current_url, current_version))
+
+
+def newer(current_url: Column, remote_url: Column, dates: tuple[Column, Column], numbers: tuple[Column, Column], years: tuple[Column, Column]) -> Column:
+    """:func:`update_available` of what was read before, ours first."""
+    (a, b), (c, d), (y, z) = dates, numbers, years
     return (
         F.when(a.isNotNull() & b.isNotNull(), b > a).when(c.isNotNull() & d.isNotNull(), d > c)
         .when(y.isNotNull() & z.isNotNull(), z > y)
@@ -88,6 +87,19 @@ def update_available(current_label: Column, remote_label: Column, current_url: C
     )
 
 
+def compared(current_label: Column, remote_label: Column, current_url: Column, remote_url: Column) -> dict[str, Column]:
+    """What :func:`newer` compares, by name."""
+    return {
+        "a": label_date_nr(current_label), "b": label_date_nr(remote_label), "c": url_year_nr(current_url), "d": url_year_nr(remote_url),
+        "y": F.coalesce(first_year(current_label), first_year(current_url)), "z": first_year(remote_url)}
+
+
+def update_available(current_label: Column, remote_label: Column, current_url: Column, remote_url: Column) -> Column:
+    """Later date and number, else later year and number, else later year, else another URL."""
+    x = compared(current_label, remote_label, current_url, remote_url)
+    return newer(current_url, remote_url, (x["a"], x["b"]), (x["c"], x["d"]), (x["y"], x["z"]))
+
+
 def confidence(chosen: Column, start: Column, date: Column) -> Column:
     base = F.when(chosen != start, 0.9).otherwise(0.6) - F.when(date.isNull(), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import ascii_fold, falsy, strip
 
@@ -127,12 +129,12 @@ def _matches(html: Column, pattern: str, path: int, nr: int, day: int) -> Column
     ))
 
 
-def amendments(html: Column) -> Column:
-    """The amendments that a page lists: the first pattern that matches anywhere holds for the
-    page; without one, links and labels are joined by number, the last link of a number holding."""
-    h = F.regexp_replace(html, r"\s+href='([^']+)'", ' href="$1"')
-    p1, p2 = (_matches(h, p, 1, 3, 4) for p in AMENDMENT_PATTERNS[:2])
-    p3 = _matches(h, AMENDMENT_PATTERNS[2], 1, 4, 5)
+def _plain_links(html: Column) -> Column:
+    return F.regexp_replace(html, r"\s+href='([^']+)'", ' href="$1"')
+
+
+def _by_number(h: Column) -> Column:
+    """Links and labels joined by number, the last link of a number holding."""
     link = r'href="(/eli/lta/(\d+)/(\d+))"'
     links = F.reverse(F.transform(
         F.regexp_extract_all(h, F.lit(link), F.lit(1)), lambda x: F.struct(F.element_at(F.split(x, "/"), -1).alias("nr"), x.alias("path"))))
@@ -143,17 +145,42 @@ def amendments(html: Column) -> Column:
         F.concat(*[y for k, s in enumerate(("BEK nr ", " af ", "/", "/"), 1) for y in (F.lit(s), F.regexp_extract(x, said, k))]).alias("label"),
         F.try_element_at(F.filter(links, lambda l: l["nr"] == F.regexp_extract(x, said, 1)), F.lit(1))["path"].alias("path"),
     ))
-    by_number = F.filter(labels, lambda m: m["path"].isNotNull())
-    return F.when(F.size(p1) > 0, p1).when(F.size(p2) > 0, p2).when(F.size(p3) > 0, p3).otherwise(by_number)
+    return F.filter(labels, lambda m: m["path"].isNotNull())
 
 
-def newest_amendment(html: Column, base_url: Column) -> Column:
-    """(label, url) of the latest date, the last of equal dates."""
+def _ways(h: Column) -> list[Column]:
+    return [_matches(h, p, 1, *at) for p, at in zip(AMENDMENT_PATTERNS, ((3, 4), (3, 4), (4, 5)))] + [_by_number(h)]
+
+
+def amendments(html: Column) -> Column:
+    """The amendments that a page lists: the first pattern that matches anywhere holds for the
+    page; without one, links and labels are joined by number."""
+    p1, p2, p3, rest = _ways(_plain_links(html))
+    return F.when(F.size(p1) > 0, p1).when(F.size(p2) > 0, p2).when(F.size(p3) > 0, p3).otherwise(rest)
+
+
+def _newest(best: Column, base_url: Column) -> Column:
     base = F.when(base_url.contains("/eli/"), F.element_at(F.split(base_url, "/eli/"), 1)).otherwise(F.lit("https://www.retsinformation.dk"))
-    best = F.array_max(amendments(html))
     return F.when(best.isNotNull(), F.struct(best["label"].alias("label"), F.concat(base, best["path"]).alias("url")))
 
 
+def newest_amendment(html: Column, base_url: Column) -> Column:
+    """(label, url) of the latest date, the last of equal dates."""
+    return _newest(F.array_max(amendments(html)), base_url)
+
+
+def with_newest_amendment(pages: DataFrame, once: Callable[..., DataFrame]) -> DataFrame:
+    """``pages`` (url, html) with ``n``, their :func:`newest_amendment`, each pattern tried once per page.
+    ``once`` as in operators.tables."""
+    df = once(pages, __h=_plain_links(F.col("html")))
+    ways = _ways(F.col("__h"))
+    df = once(df, __m0=ways[0])
+    for i, way in enumerate(ways[1:], 1):
+        df = once(df, **{f"__m{i}": F.when(F.size(f"__m{i - 1}") > 0, F.col(f"__m{i - 1}")).otherwise(way)})
+    df = once(df, __best=F.array_max(f"__m{len(ways) - 1}"))
+    return df.select(*[F.col(f"`{c}`") for c in pages.columns], _newest(F.col("__best"), F.col("url")).alias("n"))
+
+
 def json_label(v: Column) -> Column:
     """The first of the label keys that holds text; ``v`` is a VARIANT."""
     return F.coalesce(*[falsy(strip(F.try_variant_get(v, f'$["{k}"]', "string"))) for k in LABEL_KEYS])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -27,6 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row, however often they are used. The optimiser copies
+    a projected expression into each of its uses; it does not copy one into a generator, here of one row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Removes a folder from whichever file system holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -112,6 +112,7 @@ def _chain(spark, sf_dir):
     o, s = labelled_orders(spark, sf_dir), _sources(spark, sf_dir)
     hits = o.where("nr % 2 = 0").select(F.col("series").alias("id"), F.col("nr").alias("ord"), F.col("label").alias("title"), "url")
     pages = _amendment_pages(spark, sf_dir).join(s.select(F.col("id").alias("series"), "url"), "series").where("series % 2 = 1").select("url", "html")
+    pages = resolution.read_pages(pages)
     editions = o.select(F.col("nr").cast("int").alias("nr"), F.year("day").alias("year"), "label", "url")
     return s, pages, resolution.law_chain(s, hits, pages, editions, number_hits=hits)
 

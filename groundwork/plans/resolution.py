@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import versions as vs, web
 from ..functions.text import falsy, strip
+from ..operators.tables import once, written
 from . import updates
 
 #: The folders of the two families of sources.
@@ -20,11 +21,23 @@ UNKNOWN = "Cannot detect newest"
 LOCAL = "Local only (no URL)"
 
 
+def read_pages(pages: DataFrame) -> DataFrame:
+    """What pages (url, html) say, a written table, so that each is read once: new_label and new_url of
+    their newest amendment, over_title and over_url of what supersedes them."""
+    if "new_url" in pages.columns:
+        return pages
+    df = once(web.with_newest_amendment(pages.select("url", "html"), once), over=web.superseded_by(F.col("html")))
+    return written(df.select(
+        "url", F.col("n.label").alias("new_label"), F.col("n.url").alias("new_url"), F.col("over.title").alias("over_title"), F.col("over.url").alias("over_url"),
+        F.col("html").isNotNull().alias("there")), "pages-read")
+
+
 def newest_of(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """``found`` (id, url) with label and newest url of the page's list of amendments, null without."""
+    """``found`` (id, url) with label and newest url of the page's list of amendments, null without.
+    ``pages`` as :func:`read_pages` gives them."""
     asked = found.where(web.is_law_site(F.col("url")))
-    met = asked.join(pages, "url").withColumn("n", web.newest_amendment(F.col("html"), F.col("url")))
-    return met.where("n IS NOT NULL").select("id", "url", F.col("n.label").alias("new_label"), F.col("n.url").alias("new_url"))
+    known = pages.where("new_url IS NOT NULL").select("url", "new_label", "new_url")
+    return asked.join(known, "url").select("id", "url", "new_label", "new_url")
 
 
 def followed(found: DataFrame, pages: DataFrame, label: Column | None = None) -> DataFrame:
@@ -48,12 +61,13 @@ def law_chain(
 ) -> DataFrame:
     """(id, label, url): guidance sites by search, then titles, then the number by probing, then, for
     sources without a name, the number by search, and last the source's own page."""
+    pages = read_pages(pages)
     held = sources.select("id", F.col("url").alias("current_url"), "current_version", "name")
     named = strip(F.coalesce("name", F.lit(""))) != ""
     wanted = held.select("id", F.coalesce("name", F.lit("")).alias("wanted"), named.alias("named"))
     by_title = updates.best_hits(title_hits.join(wanted.where("named"), "id"))
     number = vs.decree_number(F.col("url"), F.col("current_version"), F.lit(None).cast("string"), F.col("name"), F.col("id").cast("string"))
-    numbers = sources.select("id", number.alias("nr")).where("nr IS NOT NULL")
+    numbers = once(sources.select("id", "url", "current_version", "name"), nr=number).select("id", "nr").where("nr IS NOT NULL")
     found = probed(numbers, editions)
     rows = [followed(by_title, pages).withColumn("priority", F.lit(2)), followed(found, pages, F.col("label")).withColumn("priority", F.lit(3))]
     if site_hits is not None:
@@ -90,7 +104,7 @@ def status_rows(sources: DataFrame, chain: DataFrame, graph: DataFrame, pages: D
     what supersedes them; a page that is missing is an error."""
     c = chain.select("id", F.col("label").alias("c_label"), F.col("url").alias("c_url"))
     g = graph.select("id", F.col("label").alias("g_label"), F.col("url").alias("g_url"), "evidence")
-    p = pages.select(F.col("url").alias("p_url"), "html")
+    p = read_pages(pages).select(F.col("url").alias("p_url"), "new_label", "new_url", "over_title", "over_url", "there")
     df = sources.join(c, "id", "left").join(g, "id", "left").join(p, F.col("url") == F.col("p_url"), "left")
     law = strip(F.coalesce("folder", F.lit(""))) == LAW
     blank = F.coalesce("url", F.lit("")) == ""
@@ -99,31 +113,33 @@ def status_rows(sources: DataFrame, chain: DataFrame, graph: DataFrame, pages: D
     r_label = F.when(use == "graph", F.col("g_label")).otherwise(F.col("c_label"))
     r_url = F.when(use == "graph", F.col("g_url")).otherwise(F.col("c_url"))
     found = r_label.isNotNull() & r_url.isNotNull()
-    here, over = web.newest_amendment(F.col("html"), F.col("url")), web.superseded_by(F.col("html"))
+    here = F.col("new_url").isNotNull()
     agency = web.host(F.col("url")).contains("iaea.org")
-    passed = over["title"].isNotNull() & over["url"].isNotNull()
+    passed = F.col("over_title").isNotNull() & F.col("over_url").isNotNull()
     current = F.col("current_version")
-    error = F.when(~law & ~blank & F.col("html").isNull(), "page not found")
+    error = F.when(~law & ~blank & F.col("there").isNull(), "page not found")
     kind = (
         F.when(manual, "manual").when(law & found, "law").when(law, "law unknown").when(blank, "local").when(error.isNotNull(), "error")
-        .when(web.is_law_site(F.col("url")), F.when(here.isNotNull(), "page").otherwise("page unknown")).when(agency, F.when(passed, "superseded").otherwise("current"))
+        .when(web.is_law_site(F.col("url")), F.when(here, "page").otherwise("page unknown")).when(agency, F.when(passed, "superseded").otherwise("current"))
         .otherwise("other")
     )
     is_ = lambda *names: F.col("kind").isin(*names)
-    df = df.withColumns({"kind": kind, "r_label": r_label, "r_url": r_url, "h": here, "o": over, "error": error, "use": use})
+    df = once(df.withColumn("error", error), kind=kind, r_label=r_label, r_url=r_url, use=use, is_manual=manual, is_law=law)
     label = (
         F.when(is_("manual"), MANUAL).when(is_("law"), F.col("r_label")).when(is_("law unknown"), F.when(F.coalesce("url", F.lit("")) == "", LOCAL).otherwise(UNKNOWN))
-        .when(is_("local"), LOCAL).when(is_("page"), F.col("h.label")).when(is_("page unknown"), UNKNOWN).when(is_("superseded"), F.col("o.title")).when(is_("current"), "Current")
+        .when(is_("local"), LOCAL).when(is_("page"), F.col("new_label")).when(is_("page unknown"), UNKNOWN).when(is_("superseded"), F.col("over_title")).when(is_("current"), "Current")
     )
-    target = F.when(is_("law"), F.col("r_url")).when(is_("page"), F.col("h.url")).when(is_("superseded"), F.col("o.url")).otherwise(F.coalesce("url", F.lit("")))
+    target = F.when(is_("law"), F.col("r_url")).when(is_("page"), F.col("new_url")).when(is_("superseded"), F.col("over_url")).otherwise(F.coalesce("url", F.lit("")))
+    c = F.col
     newer = (
-        F.when(is_("law"), vs.update_available(current, F.col("r_label"), F.col("url"), F.col("r_url"))).when(is_("page"), strip(F.col("h.url")) != strip(F.col("url")))
-        .when(is_("superseded"), F.coalesce(current != F.col("o.title"), F.lit(True))).otherwise(F.lit(False))
+        F.when(is_("law"), vs.newer(c("url"), c("r_url"), (c("a"), c("b")), (c("c"), c("d")), (c("y"), c("z")))).when(is_("page"), strip(F.col("new_url")) != strip(F.col("url")))
+        .when(is_("superseded"), F.coalesce(current != F.col("over_title"), F.lit(True))).otherwise(F.lit(False))
     )
+    df = once(df, remote_version=label, **vs.compared(current, F.col("r_label"), F.col("url"), F.col("r_url")))
     return df.select(
-        "id", "name", "url", "folder", "current_version", label.alias("remote_version"), newer.alias("update_available"), vs.label_date(current).alias("local_date"),
-        vs.label_date(label).alias("remote_date"), target.alias("download_url"), "error", F.when(manual, "manual").when(law, F.col("use")).alias("resolver_source"),
-        F.when((F.col("use") == "graph") & law | F.lit(mode == "shadow"), F.col("evidence")).alias("evidence"),
+        "id", "name", "url", "folder", "current_version", "remote_version", newer.alias("update_available"), vs.label_date(current).alias("local_date"),
+        vs.label_date(F.col("remote_version")).alias("remote_date"), target.alias("download_url"), "error", F.when(F.col("is_manual"), "manual").when(F.col("is_law"), F.col("use")).alias("resolver_source"),
+        F.when((F.col("use") == "graph") & F.col("is_law") | F.lit(mode == "shadow"), F.col("evidence")).alias("evidence"),
     )
 
 

@@ -6,30 +6,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import versions as vs, web
 from ..operators.registry import upsert
+from ..operators.tables import once
 
 
 def first_accepted(candidates: DataFrame, *, reject_older: bool = True) -> DataFrame:
     """(id, label, url) of the best-placed candidate: id, priority, label, url, current_url,
     current_version. Candidates that are not newer are passed over, but for the last resort,
     whose priority is null."""
-    ok = F.col("url").isNotNull()
+    df = candidates.where("url IS NOT NULL")
     if reject_older:
-        late = vs.is_not_newer(F.col("label"), F.col("url"), F.col("current_url"), F.col("current_version"))
-        ok = ok & (F.col("priority").isNull() | ~late)
+        df = once(df, remote=vs.label_date_nr(F.col("label")), ours=vs.label_date_nr(F.col("current_version")), remote_yn=vs.url_year_nr(F.col("url")), url_yn=vs.url_year_nr(F.col("current_url")), label_yn=vs.label_year_nr(F.col("current_version")))
+        late = vs.not_newer(F.col("url"), F.col("remote"), F.col("ours"), F.col("remote_yn"), F.greatest("url_yn", "label_yn"))
+        df = df.where(F.col("priority").isNull() | ~late)
     best = F.min_by(F.struct("label", "url"), F.coalesce("priority", F.lit(1 << 30)))
-    return candidates.where(ok).groupBy("id").agg(best.alias("b")).select("id", "b.label", "b.url")
+    return df.groupBy("id").agg(best.alias("b")).select("id", "b.label", "b.url")
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
     """(id, url): of a search's hits (id, ord, title, url, wanted) those that fit and are current,
     the latest by date and number, of equal ones the first."""
-    label_date, yn = vs.label_date(F.col("title")), vs.url_year_nr(F.col("url"))
+    label_date, yn = F.col("dated_at"), F.col("yn")
     fits = web.title_fits(F.col("title"), F.col("wanted")) & ~web.is_archived(F.col("title"), F.col("url"))
     rank = F.struct(
         label_date.isNotNull().alias("dated"), F.coalesce(label_date, F.lit("0001-01-01").cast("date")).alias("d"),
         F.coalesce(yn["year"], F.lit(0)).alias("y"), F.coalesce(yn["nr"], F.lit(0)).alias("n"), (-F.col("ord")).alias("o"),
     )
-    return hits.where(fits & yn.isNotNull()).withColumn("rank", rank).groupBy("id").agg(F.max_by("url", "rank").alias("url"))
+    read = once(hits.where(fits), dated_at=vs.label_date(F.col("title")), yn=vs.url_year_nr(F.col("url")))
+    return read.where("yn IS NOT NULL").withColumn("rank", rank).groupBy("id").agg(F.max_by("url", "rank").alias("url"))
 
 
 def first_pdf(hits: DataFrame, site: str = "sst.dk") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import routing as rt, text as tx
-from ..operators import containment, evals, limits
+from ..operators import containment, evals, language, limits
+from ..operators.tables import written
 from ..streaming import streams
 from . import asking, flow
 from .tables import t
@@ -65,6 +66,15 @@ def lang_detect_stopwords(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", tx.stop_word_language(F.col("text"), STOP_WORDS).alias("lang"))
 
 
+def lang_profiles(spark, sf_dir):
+    """The language of each document by profiles learned from four fifths of the labels; every fifth row is
+    held out."""
+    d = t(spark, sf_dir, "documents")
+    known = written(language.profiles(d.where("doc_id % 5 <> 0")), "profiles")
+    got = language.detected(d, known, "doc_id").withColumnRenamed("lang", "lang_pred")
+    return got.select("doc_id", (F.col("doc_id") % 5 == 0).alias("held_out"), "lang_pred")
+
+
 def _micros():
     return F.unix_micros(F.col("ts").cast("timestamp"))
 
@@ -209,7 +219,7 @@ QUERIES = {f.__name__: f for f in (
     history_pairs, history_last_exchange, history_prefix, history_render, non_question_gate, input_limits, lang_fallback_message, lang_detect_stopwords,
     rate_limit_aligned, rate_limit_anchored, request_counters, status_class_counters, metrics_exposition, client_keys, route_after_docs,
     route_after_missing, route_after_generation, outcome_matrix, pipeline_outcomes, eval_precision_at_k, eval_context_recall, eval_pass_rule,
-    eval_summary, fact_containment_join, stream_counters, stream_windows, stream_rate_limit, stream_harvest_dedupe,
+    eval_summary, lang_profiles, fact_containment_join, stream_counters, stream_windows, stream_rate_limit, stream_harvest_dedupe,
 )}
 
 _P = """l AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS a FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -241,6 +251,12 @@ FROM (SELECT conv_id, turn, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))
     "lang_detect_stopwords": f"""WITH c AS (SELECT doc_id, text, {_WORDS} FROM documents)
 SELECT doc_id, CASE WHEN length(trim(text)) < 3 OR greatest(en, fr, de, es) = 0 OR en = greatest(en, fr, de, es) THEN 'en'
   WHEN fr = greatest(en, fr, de, es) THEN 'fr' WHEN de = greatest(en, fr, de, es) THEN 'de' ELSE 'es' END AS lang FROM c""",
+    "lang_profiles": r"""WITH t AS (SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ', '') AS c FROM documents),
+g AS (SELECT doc_id, lang, unnest([c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS gram FROM t),
+k AS (SELECT lang, gram, 301 - row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(gram)) AS points FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY 1, 2 QUALIFY points > 0),
+s AS (SELECT g.doc_id, k.lang, sum(points) AS n FROM g JOIN k USING (gram) GROUP BY 1, 2),
+b AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+SELECT doc_id, doc_id % 5 = 0 AS held_out, coalesce(b.lang, 'en') AS lang_pred FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN b USING (doc_id)""",
     "rate_limit_aligned": f"""WITH {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id, m // 86400000000 ORDER BY m, event_id)::INT AS n_in_window FROM e)
 SELECT event_id, n_in_window, CASE WHEN n_in_window > 3 THEN 429 ELSE 200 END AS status, CASE WHEN n_in_window > 3 THEN (86400 - (m // 1000000) % 86400)::INT END AS retry_after FROM n""",
     "rate_limit_anchored": f"""{_ANCHORED} SELECT event_id, n AS n_in_window, CASE WHEN n > 3 THEN 429 ELSE 200 END AS status,

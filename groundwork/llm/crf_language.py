@@ -22,12 +22,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
-from .shared import hash_sample, stretch_of
+from .shared import fitted, hash_sample, stretch_of
 
 SLOTS = 1 << 16
 _ADDED = ("lang_pred", "score")
@@ -246,15 +247,12 @@ def label_words(model: Crf, text: str) -> list[tuple[str, str, float]]:
     return [(w.text(i).decode(errors="replace"), model.labels[j], float(p[i, j])) for i, j in enumerate(p.argmax(1).tolist())]
 
 
-def training_sample(
-    docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int
-) -> tuple[list[str], list[str]]:
-    """About ``max_docs`` labelled texts, twice as many at most, by hashes of ids and texts."""
+def training_rows(docs: DataFrame, *, text_col: str, lang_col: str, id_col: str, max_docs: int, max_chars: int) -> DataFrame:
+    """(t, y): about ``max_docs`` labelled texts, twice as many at most, by hashes of ids and texts."""
     ok = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = docs.where(ok).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), F.col(id_col).cast("string").alias("i"))
     picked = hash_sample(rows, F.concat_ws(":", "i", "t"), max_docs)
-    got = sorted(picked.select(stretch_of(F.col("t"), F.col("i"), max_chars).alias("t"), "y").collect())
-    return [r["t"] for r in got], [r["y"] for r in got]
+    return picked.select(stretch_of(F.col("t"), F.col("i"), max_chars).alias("t"), "y")
 
 
 def identify(docs: DataFrame, model: Crf | None, *, text_col: str = "text") -> DataFrame:
@@ -307,8 +305,11 @@ def fit_and_identify(
     docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
     max_docs: int = 3000, max_chars: int = 8000,
 ) -> DataFrame:
-    """Trains on ``labelled`` (see ``training_sample``) and labels ``docs``."""
-    texts, langs = training_sample(
-        labelled, text_col=text_col, lang_col=lang_col, id_col=id_col, max_docs=max_docs, max_chars=max_chars
-    )
-    return identify(docs, train(texts, langs), text_col=text_col)
+    """Trains on ``labelled`` (see ``training_rows``) and labels ``docs``."""
+    rows = training_rows(labelled, text_col=text_col, lang_col=lang_col, id_col=id_col, max_docs=max_docs, max_chars=max_chars)
+
+    def fit(found: pd.DataFrame) -> Crf | None:
+        found = found.sort_values(["t", "y"])
+        return train(found.t.tolist(), found.y.tolist())
+
+    return identify(docs, fitted(rows, fit), text_col=text_col)

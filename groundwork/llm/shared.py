@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -95,6 +98,22 @@ def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(steps)) < F.lit(int(n / total * steps))).limit(2 * n)
 
 
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
+    """What ``fit`` makes of ``rows``, a bounded sample, in one task: the driver gets the model alone. A lost
+    executor costs the training, not the result; ``fit`` orders its rows itself."""
+
+    names = rows.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        whole = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+        yield pd.DataFrame({"model": [pickle.dumps(fit(whole))]})
+
+    made = rows.repartition(1).mapInPandas(run, "model binary").first()
+    # Where the plan shows that there are no rows, no task runs.
+    return fit(pd.DataFrame(columns=names)) if made is None else pickle.loads(made[0])
+
+
 def stretch_of(text: Column, key: Column, size: int) -> Column:
     """The text or, of a longer one, ``size`` characters from a place that a hash of ``key`` picks."""
     at = F.pmod(F.xxhash64(key, F.length(text)), F.length(text) - size + 1).cast("int") + 1

@@ -24,11 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as bt
-from .shared import hash_sample, stretch_of
+from .shared import fitted, hash_sample, stretch_of
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 12, 8
@@ -254,10 +255,10 @@ def score_words(net: Net, w: bt.Words) -> np.ndarray:
     return np.where(np.diff(w.first) > 0, 1 / (1 + np.exp(-best.astype(np.float64))), net.prior)
 
 
-def training_sample(
+def training_rows(
     docs: DataFrame, labels: DataFrame, *, text_col: str, id_col: str, label_col: str, max_docs: int, max_chars: int
-) -> tuple[list[str], list[int], float | None]:
-    """Texts, labels and the share of toxic labels among all. Per class at most ``max_docs`` labelled texts, by id hashes. The ids
+) -> tuple[DataFrame, float | None]:
+    """Texts with labels (t, y, k), and the share of toxic labels among all. Per class at most ``max_docs`` labelled texts, by id hashes. The ids
     are bounded before the join, so the broadcast side is too."""
     per = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
     key = F.col(id_col).cast("string")
@@ -268,9 +269,8 @@ def training_sample(
         .join(small, id_col).where((F.col("__y") == 0) | (F.length(text_col) <= max_chars))
         .select(stretch_of(F.col(text_col), key, max_chars).alias("t"), F.col("__y").alias("y"), F.xxhash64(key).alias("k"))
     )
-    got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("k", "t").limit(max_docs).collect()]
-    base = per.agg(F.avg(F.col("__y").cast("double"))).first()[0]
-    return [r["t"] for r in got], [int(r["y"]) for r in got], base
+    by_class = [rows.where(F.col("y") == y).orderBy("k", "t").limit(max_docs) for y in (0, 1)]
+    return by_class[0].union(by_class[1]), per.agg(F.avg(F.col("__y").cast("double"))).first()[0]
 
 
 def score(docs: DataFrame, net: Net | None, *, text_col: str = "text") -> DataFrame:
@@ -299,7 +299,12 @@ def fit_and_score(
     label_col: str = "toxic", max_docs: int = 1500, max_chars: int = 6000,
 ) -> DataFrame:
     """Trains on ``labels`` of ``labelled_docs`` and scores ``docs``."""
-    texts, y, base = training_sample(
+    rows, base = training_rows(
         labelled_docs, labels, text_col=text_col, id_col=id_col, label_col=label_col, max_docs=max_docs, max_chars=max_chars
     )
-    return score(docs, train(texts, y, base_rate=base), text_col=text_col)
+
+    def fit(found: pd.DataFrame) -> Net | None:
+        found = found.sort_values(["y", "k", "t"])
+        return train(found.t.tolist(), [int(y) for y in found.y], base_rate=base)
+
+    return score(docs, fitted(rows, fit), text_col=text_col)

@@ -117,9 +117,10 @@ def brute_run(spark, rows, labels, bench):
 
     rows = [r for r in rows if share(r[1]) >= cp.MIN_LANGUAGE_SHARE]
     df = spark.createDataFrame(rows, DOC)
-    texts, y, base = toxicity.training_sample(
+    sample, base = toxicity.training_rows(
         df, spark.createDataFrame(labels, "doc_id long, toxic int"), text_col="text", id_col="doc_id", label_col="toxic", max_docs=1500, max_chars=6000)
-    net, alnum = toxicity.train(texts, y, base_rate=base), bt.byte_class("alnum")
+    texts = sorted((r["y"], r["k"], r["t"]) for r in sample.collect())
+    net, alnum = toxicity.train([t for *_, t in texts], [y for y, *_ in texts], base_rate=base), bt.byte_class("alnum")
 
     def toxic(text):
         raw = text.encode()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, errors, text as tx, versions as vs, web
 from ..operators import limits, vector
-from ..sources import chunking, fetch, files
+from ..sources import chunking, fetch, files, hybrid
 from ..streaming import streams
 from . import asking, discovery, flow, resolution
 from .tables import LABELLED, labelled_orders, t
@@ -245,6 +245,14 @@ def chunk_structured(spark, sf_dir):
     return chunking.structured_chunks(p, "page_id", 60)
 
 
+def chunk_hybrid(spark, sf_dir):
+    """Pages in chunks of 512 tokens of a public vocabulary at most, headings included."""
+    import public_tokenizers
+
+    p = t(spark, sf_dir, "pages").select("page_id", F.posexplode(chunking.html_blocks(F.col("html"))).alias("pos", "b")).select("page_id", "pos", "b.level", "b.text")
+    return hybrid.hybrid_chunks(p, "page_id", hybrid.vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def error_classes(spark, sf_dir):
     """Events as error messages of several kinds: rate limits, and what to do about local failures."""
     e = t(spark, sf_dir, "events")
@@ -270,7 +278,7 @@ def document_json(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    golden_cache, document_json, chunk_structured, error_classes, fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
+    golden_cache, document_json, chunk_structured, chunk_hybrid, error_classes, fetch_pages, encoded_queries, web_result_documents, link_number_join, title_fit, source_gates, text_helpers, decree_numbers, publication_versions, law_resolution,
     update_status, any_update, registry_build, path_ranks, metrics_page, request_gates, ask_requests, stream_rate_limit_aligned, stream_sync,
 )}
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import bytetext as bt
 from .shared import Scratch
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Words of one block of an initial state; two blocks are composed at a time.
 BLOCK_WORDS = 4000
 

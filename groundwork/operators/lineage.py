@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import written
+from .tables import Tables
 
 
 def reachable(starts: DataFrame, edges: DataFrame, max_depth: int = 12) -> DataFrame:
     """(start, node, depth): every node within ``max_depth`` steps, at its smallest depth.
 
     ``starts``: start; ``edges``: src, dst. Rounds end early when none is new. Each round joins the
-    newest nodes only and leaves out those that were met; what it finds is a written table."""
+    newest nodes only and leaves out those that were met; what it finds is a written table, and so is the
+    result, when those of the rounds are removed."""
+    tables = Tables(starts.sparkSession)
     met = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     front = met
     for depth in range(1, max_depth + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = written(step.join(met.select("start", "node"), ["start", "node"], "left_anti"), "front")
+        front = tables.write(step.join(met.select("start", "node"), ["start", "node"], "left_anti"), "front")
         if front.isEmpty():
             break
         met = met.unionByName(front)
-    return met
+    return tables.result(met, "reached")
 
 
 def best_node(visited: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .tables import Tables, written
+from .tables import Tables
 
 #: Queries go to all tasks up to this many rows; more are searched block by block.
 MAX_QUERIES = 10_000
@@ -34,11 +34,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 3, *, by: str = "co
     that are null, of another length or not finite take no part."""
     if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
         return _best(queries, vectors, k, by, digits)
-    queries = written(queries, "queries")
+    tables = Tables(queries.sparkSession)
+    queries = tables.write(queries, "queries")
     # A fifth is left free, as blocks by hash differ in size.
     n_blocks = -(-queries.count() * 5 // (MAX_QUERIES * 4))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    parts = [written(_best(queries.where(block == i), vectors, k, by, digits), "nearest") for i in range(n_blocks)]
+    parts = [tables.write(_best(queries.where(block == i), vectors, k, by, digits), "nearest") for i in range(n_blocks)]
+    tables.drop(queries)
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -66,7 +66,8 @@ def source_gates(spark, sf_dir):
     name = F.when(F.col("page_id") % 5 == 0, F.lit("Sikkerhedsvurdering af ")).otherwise(F.lit("om "))
     name = F.concat(name, F.col("url"))
     law = web.is_law_site(url)
-    return p.select("page_id", law.alias("law"), (law & (F.col("page_id") % 3 == 0)).alias("law_folder"), web.is_guidance(url, name).alias("guidance"), web.is_archived(name, url).alias("archived"))
+    folder = F.element_at(F.array(F.lit(f" {resolution.LAW} "), F.lit("IAEA"), F.lit(None).cast("string")), (F.col("page_id") % 3 + 1).cast("int"))
+    return p.select("page_id", law.alias("law"), F.coalesce(law & (tx.strip(folder) == resolution.LAW), F.lit(False)).alias("law_folder"), web.is_guidance(url, name).alias("guidance"), web.is_archived(name, url).alias("archived"))
 
 
 def text_helpers(spark, sf_dir):
@@ -80,11 +81,13 @@ def text_helpers(spark, sf_dir):
 
 
 def decree_numbers(spark, sf_dir):
-    """The number of a decree by priority: URL, version, file version, name, id."""
+    """The number of a decree by priority: URL, version, file version, name, id, each with a number of its
+    own. Of every five rows one has all of them, and the others lack the first one, two, three or four."""
     o = labelled_orders(spark, sf_dir)
-    at = lambda k, c: F.when(F.col("nr") % 5 == k, c)
-    n = F.col("nr").cast("string")
-    got = vs.decree_number(at(0, F.col("url")), at(1, F.col("label")), at(2, F.upper("label")), at(3, F.concat(F.lit("Om nr "), n)), F.concat(F.lit("bek-"), n))
+    has = lambda k, c: F.when(F.col("nr") % 5 <= k, c)
+    n = lambda k: (F.col("nr") + k).cast("string")
+    version = lambda k, bek: F.concat(F.lit(f"{bek} nr "), n(k), F.lit(" af 1/2/2003"))
+    got = vs.decree_number(has(0, F.col("url")), has(1, version(1, "BEK")), has(2, version(2, "bek")), has(3, F.concat(F.lit("Om nr "), n(3))), F.concat(F.lit("bek-"), n(4)))
     return o.select("nr", got.alias("number"), vs.first_year(F.col("label")).alias("year"))
 
 
@@ -399,7 +402,7 @@ SELECT series, m.nr, CAST(day AS VARCHAR) AS day, label, path FROM lo JOIN m USI
     "text_helpers": """WITH n AS (SELECT *, 'Ærø ' || p_name || ' på_Ø/' || p_brand AS name FROM part)
 SELECT p_partkey, replace(replace(replace(replace(replace(replace(left(name, 60), 'å', 'a'), 'ø', 'o'), 'æ', 'ae'), 'Å', 'A'), 'Ø', 'O'), 'Æ', 'Ae') AS folded, replace(replace(name, '_', ' '), '-', ' ') AS label,
   regexp_replace(name, '[^\\p{L}\\p{N}._\\- ]', '_', 'g') AS file, p_type || CASE WHEN p_size % 2 = 0 THEN '-ollama' ELSE '' END AS collection, p_size || '+7+' || p_partkey AS numbers FROM n""",
-    "decree_numbers": f"WITH {LABELLED} SELECT nr, nr::INTEGER AS number, nullif(regexp_extract(label, '\\b(20\\d{{2}}|19\\d{{2}})\\b', 1), '')::INTEGER AS year FROM lo",
+    "decree_numbers": f"WITH {LABELLED} SELECT nr, (nr + nr % 5)::INTEGER AS number, nullif(regexp_extract(label, '\\b(20\\d{{2}}|19\\d{{2}})\\b', 1), '')::INTEGER AS year FROM lo",
     "publication_versions": """WITH k AS (SELECT *, p_partkey % 5 AS k FROM part),
 v AS (SELECT *, CASE k WHEN 0 THEN 'safety  reports series NO. ' || p_size WHEN 1 THEN 'SSR-' || p_size || ' (Rev. 1)' WHEN 2 THEN 'SSG-' || p_size WHEN 3 THEN 'IAEA TECDOC ' || p_size END AS v FROM k),
 t AS (SELECT *, coalesce(CASE WHEN p_partkey % 7 = 0 THEN trim(p_name) END, v, CASE WHEN length(p_name) + 15 > 20 THEN left(trim(p_name), 100) END,

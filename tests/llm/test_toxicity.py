@@ -70,3 +70,13 @@ def test_held_out_and_odd_rows(spark):
     none = tx.fit_and_score(docs, docs, labels.where("false"))
     assert {r["score"] for r in none.collect()} == {0.0}
     assert tx.fit_and_score(docs.where("false"), docs, labels.where("false")).count() == 0
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert tx.fit_and_score(docs.limit(0), docs.limit(0), labels).count() == 0
+    got = tx.fit_and_score(docs, docs, labels)  # nothing to learn from: nothing is toxic
+    assert [r["score"] for r in got.orderBy("doc_id").collect()] == [0.0, 0.0, 0.0]
+    one = spark.createDataFrame([(1, 1)], labels.schema)
+    assert all(0 <= r["score"] <= 1 for r in tx.fit_and_score(docs, docs, one).collect())

@@ -67,7 +67,7 @@ def answered(requests: DataFrame, models: flow.Models, *, ready: bool = True, la
     done = flow.run_batch(asked, models, ready=ready, trusted_only=trusted_only)
     failed = F.col("error").isNotNull()
     busy = errors.is_rate_limit(F.col("error"))
-    cited = F.array_distinct(F.transform("documents", lambda d: F.struct(F.coalesce(d["source"], F.lit("retrieved")).alias("source"), d["document_type"].alias("document_type"))))
+    cited = F.array_distinct(F.zip_with("documents.source", "documents.document_type", lambda s, kind: F.struct(F.coalesce(s, F.lit("retrieved")).alias("source"), kind.alias("document_type"))))
     told = F.concat(F.transform("history", lambda h: F.array(h["q"], h["a"])), F.array(F.array("question", "generation")))
     full = done.select(
         "id", F.when(~failed, 200).when(busy, 429).otherwise(500).alias("code"), F.when(~failed, F.col("generation")).when(busy, BUSY).otherwise(F.col("error")).alias("answer"),

@@ -179,3 +179,32 @@ def test_calls_wait_and_are_tried_again(spark, tmp_path):
     assert ledger.ask(asked, "s", call).first()["answer"] == "ok" and open(path).read() == "xxx"
     with pytest.raises(ValueError):
         Ledger(type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda *_: "true")})})(), "x")
+
+
+def test_rows_with_one_finding_share_their_list(spark, tmp_path):
+    """Forty questions of one vector: the vector is searched once, and each list of documents is written once."""
+    chunks = spark.createDataFrame([(i, f"text {i}", "s", "law") for i in range(4)], "vec_id long, text string, source string, document_type string")
+    asked, lists = [], []
+
+    def search(queries):
+        asked.append(queries.count())
+        return queries.crossJoin(chunks.select("vec_id")).select("query_id", F.lit(0).alias("collection"), (F.col("vec_id") + 1).alias("rank"), "vec_id")
+
+    yes = flow.by_column(lambda *_: F.lit(True), native=True)
+    grade = flow.by_column(lambda *_: F.struct(F.lit(True).alias("passed"), F.lit("").alias("missing_info")), native=True)
+    embed = lambda q: q.select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vector"))
+    m = flow.Models(flow.vector_retrieval(search, chunks, embed), flow.table_search(chunks.select(F.col("vec_id").alias("id"))), yes, flow.hinted_question(), flow.question_alone(),
+                    flow.by_column(lambda *_: F.lit("g"), native=True), grade, yes)
+    write = flow.Tables.write
+
+    def noting(self, df, name):
+        out = write(self, df, name)
+        lists.extend([out.count()] if name == "documents" else [])
+        return out
+
+    flow.Tables.write = noting
+    try:
+        out = flow.run_batch(spark.createDataFrame([(i, f"q{i}", [], False, True) for i in range(40)], QUESTION), m).collect()
+    finally:
+        flow.Tables.write = write
+    assert asked == [1] and lists == [1, 1] and {tuple(d["text"] for d in r["documents"]) for r in out} == {tuple(f"text {i}" for i in range(4))} and len(out) == 40

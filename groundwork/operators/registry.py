@@ -54,11 +54,13 @@ def merge_discovered(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def local_file(sources: DataFrame, files: DataFrame) -> DataFrame:
     """(id, path): the first path whose name contains the hint; without a hint the only file of
-    the folder. Files meet the sources of their folder alone."""
-    both = sources.join(files, "folder", "left")
-    hinted = F.min(F.when(F.coalesce("filename_hint", F.lit("")) != "", F.when(F.contains("name", "filename_hint"), F.col("path"))))
-    only = F.when((F.max(F.coalesce("filename_hint", F.lit(""))) == "") & (F.count("path") == 1), F.min("path"))
-    return both.groupBy("id").agg(F.coalesce(hinted, only).alias("path"))
+    the folder. Files meet each hint of their folder once, however many sources have it."""
+    wanted = sources.select("id", "folder", F.coalesce("filename_hint", F.lit("")).alias("hint"))
+    met = wanted.select("folder", "hint").distinct().join(files.select("folder", "name", "path"), "folder")
+    per = met.groupBy("folder", "hint").agg(
+        F.min(F.when((F.col("hint") != "") & F.contains("name", "hint"), F.col("path"))).alias("hinted"), F.count("path").alias("n"), F.min("path").alias("first"))
+    only = F.when((F.max("hint") == "") & (F.sum("n") == 1), F.min("first"))
+    return wanted.join(per, ["folder", "hint"], "left").groupBy("id").agg(F.coalesce(F.min("hinted"), only).alias("path"))
 
 
 def set_field(sources: DataFrame, id_: str, field: str, value: Column) -> DataFrame:

@@ -159,15 +159,19 @@ def metrics_page(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     bad = F.col("event_type") == "error"
     one = lambda c: e.select(c.alias("value"))
+    # Whole hundredths and decimals, half up: sums of doubles depend on their order, and ties on their last bit.
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cents = F.floor((F.max(at) - F.min(at) + 5000) / 10_000).cast("decimal(20,2)")
+    spent = F.sum(F.col("value").try_cast("decimal(28,6)"))
     by = lambda df, c, name: df.groupBy(c.alias(name)).agg(F.count("*").alias("value"))
     l = t(spark, sf_dir, "labels")
     outcome = F.concat(F.when(F.col("doc_id") % 3 == 0, "web_search").otherwise("trusted_only"), F.when(F.col("toxic") == 1, "_unverified").otherwise("_verified"))
     families = [
         ("service_graph_loaded", "gauge", "1 if the workflow is loaded.", one(F.max(F.lit(1))), None),
-        ("service_uptime_seconds", "gauge", "Seconds since the start.", one(F.format_string("%.2f", (F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6)), None),
+        ("service_uptime_seconds", "gauge", "Seconds since the start.", one((cents / 100).cast("decimal(20,2)").cast("string")), None),
         ("service_http_requests_total", "counter", "Requests served.", one(F.count("*")), None),
         ("service_http_errors_total", "counter", "Responses of 400 and above.", one(F.count_if(bad)), None),
-        ("service_http_request_duration_seconds_sum", "counter", "Seconds of all requests.", one(F.format_string("%.1f", F.round(F.sum("value"), 1))), None),
+        ("service_http_request_duration_seconds_sum", "counter", "Seconds of all requests.", one(F.round(spent, 1).cast("string")), None),
         ("service_query_web_search_attempts_total", "counter", "Questions with a web search.", l.select(F.count_if(F.col("doc_id") % 3 == 0).alias("value")), None),
         ("service_query_outcomes_total", "counter", "Questions by outcome.", by(l, outcome, "outcome"), "outcome"),
         ("service_http_requests_by_path_total", "counter", "Requests by path.", by(e, F.concat(F.lit('/"'), "event_type"), "path"), "path"),
@@ -428,8 +432,8 @@ h(f, name, kind, about) AS (VALUES (0, 'service_graph_loaded', 'gauge', '1 if th
   (4, 'service_http_request_duration_seconds_sum', 'counter', 'Seconds of all requests.'), (5, 'service_query_web_search_attempts_total', 'counter', 'Questions with a web search.'),
   (6, 'service_query_outcomes_total', 'counter', 'Questions by outcome.'), (7, 'service_http_requests_by_path_total', 'counter', 'Requests by path.'),
   (8, 'service_http_errors_by_path_total', 'counter', 'Errors by path.'), (9, 'service_http_responses_by_status_class_total', 'counter', 'Responses by class.')),
-v AS (SELECT 0 AS f, '' AS label, '' AS tag, '1' AS v UNION ALL SELECT 1, '', '', printf('%.2f', (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) FROM q UNION ALL SELECT 2, '', '', count(*)::VARCHAR FROM q
-  UNION ALL SELECT 3, '', '', (count(*) FILTER (bad))::VARCHAR FROM q UNION ALL SELECT 4, '', '', printf('%.1f', round(sum(value), 1)) FROM q UNION ALL SELECT 5, '', '', (count(*) FILTER (doc_id % 3 = 0))::VARCHAR FROM labels
+v AS (SELECT 0 AS f, '' AS label, '' AS tag, '1' AS v UNION ALL SELECT 1, '', '', printf('%d.%02d', (epoch_us(max(ts)) - epoch_us(min(ts)) + 5000) // 1000000, (epoch_us(max(ts)) - epoch_us(min(ts)) + 5000) // 10000 % 100) FROM q UNION ALL SELECT 2, '', '', count(*)::VARCHAR FROM q
+  UNION ALL SELECT 3, '', '', (count(*) FILTER (bad))::VARCHAR FROM q UNION ALL SELECT 4, '', '', round(sum(TRY_CAST(value AS DECIMAL(28,6))), 1)::VARCHAR FROM q UNION ALL SELECT 5, '', '', (count(*) FILTER (doc_id % 3 = 0))::VARCHAR FROM labels
   UNION ALL SELECT 6, o, '{outcome="' || o || '"}', count(*)::VARCHAR FROM z GROUP BY o UNION ALL SELECT 7, event_type, '{path="/\\"' || event_type || '"}', count(*)::VARCHAR FROM q GROUP BY event_type
   UNION ALL SELECT 8, event_type, '{path="/\\"' || event_type || '"}', count(*)::VARCHAR FROM q WHERE bad GROUP BY event_type
   UNION ALL SELECT 9, CASE WHEN bad THEN '5xx' ELSE '2xx' END, '{status_class="' || CASE WHEN bad THEN '5xx' ELSE '2xx' END || '"}', count(*)::VARCHAR FROM q GROUP BY bad),

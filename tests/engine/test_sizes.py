@@ -1,6 +1,12 @@
 """Queries and operators whose results or costs went wrong with the size of their tables."""
 
+import datetime
+
+import duckdb
+from pyspark.sql import functions as F
+
 from groundwork.operators import registry
+from groundwork.plans import discovery, editions
 
 
 def test_files_meet_each_hint_of_a_folder_once(spark):
@@ -13,3 +19,35 @@ def test_files_meet_each_hint_of_a_folder_once(spark):
     assert {r["id"]: r["path"] for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") > plan.index("Join LeftOuter")  # files are joined below the sources, to hints
+
+
+def test_path_order_over_many_ranges(spark):
+    n = 60_000
+    df = spark.range(0, n, 1, 16).select(F.col("id").alias("page_id"), F.sha2(F.col("id").cast("string"), 256).alias("path"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = discovery.path_order(df).toPandas().sort_values("path")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got["ord"].tolist() == list(range(n))
+
+
+def test_metrics_round_exact_sums(spark, tmp_path):
+    """Sums that lie halfway between two tenths, and times halfway between two hundredths."""
+    at = datetime.datetime(2024, 1, 1)
+    last = at + datetime.timedelta(microseconds=1_005_000)
+    for values in ([0.7, 0.1, 0.05], [0.05, 0.1, 0.7], [1.1, 2.2, 0.05], [2.2, 0.05, 1.1], [0.15, 0.1, 0.1]):
+        d = str(tmp_path / "_".join(map(str, values)))
+        spark.createDataFrame([(i, last if i else at, i, "view", v, "{}") for i, v in enumerate(values)], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        con = duckdb.connect()
+        for t in ("events", "labels"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        got = [tuple(r) for r in editions.metrics_page(spark, d).collect()]
+        assert got == sorted(con.execute(editions.ORACLE["metrics_page"]).fetchall())
+        lines = dict(x.rsplit(" ", 1) for _, x in got)
+        tenth = (round(sum(int(v * 100 + 0.5) for v in values)) + 5) // 10
+        assert lines["service_http_request_duration_seconds_sum"] == f"{tenth // 10}.{tenth % 10}" and lines["service_uptime_seconds"] == "1.01"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import text as tx, versions as vs
 from ..functions.text import falsy
 from ..operators import dedupe, registry
+from ..operators.tables import written
 from ..sources import files
 from ..sources.chunking import split_documents, xml_text
 
@@ -84,8 +85,9 @@ def all_chunks(local: DataFrame, from_registry: DataFrame) -> DataFrame:
 
 
 def path_order(df: DataFrame, *, tag: str = "ord") -> DataFrame:
-    """The rows of files with their place in the order of paths, by running counts within ranges."""
-    ranged = df.repartitionByRange("path").sortWithinPartitions("path").withColumn("__range", F.spark_partition_id())
+    """The rows of files with their place in the order of paths, null ones first, by running counts within
+    ranges. The ranges are drawn once, and written: drawn anew, they would have other borders."""
+    ranged = written(df.repartitionByRange("path").withColumn("__range", F.spark_partition_id()), "ranges")
     upto = F.sum("count").over(Window.orderBy("__range"))  # one row for each range
     before = ranged.groupBy("__range").count().select("__range", (upto - F.col("count")).alias("__before"))
     n = F.row_number().over(Window.partitionBy("__range").orderBy("path"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -29,6 +29,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def falsy(c: Column) -> Column:
     """Empty text as null."""
     return F.nullif(c, F.lit(""))

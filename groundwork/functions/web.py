@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import ascii_fold, falsy, strip
+from .text import ascii_fold, falsy, let, strip
 
 #: Hosts that may be fetched, for documents (A) and for update checks (B).
 HOSTS_A = (
@@ -121,11 +121,11 @@ AMENDMENT_PATTERNS = (
 def _matches(html: Column, pattern: str, path: int, nr: int, day: int) -> Column:
     """Every match as struct(date parts, position, label parts, path)."""
     whole = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    g = lambda x, k: F.regexp_extract(x, pattern, k)
-    return F.transform(whole, lambda x, i: F.struct(
-        g(x, day + 2).cast("int").alias("year"), g(x, day + 1).cast("int").alias("month"), g(x, day).cast("int").alias("day"), i.alias("pos"),
-        F.concat(F.lit("BEK nr "), g(x, nr), F.lit(" af "), g(x, day), F.lit("/"), g(x, day + 1), F.lit("/"), g(x, day + 2)).alias("label"),
-        g(x, path).alias("path"),
+    parts = F.transform(whole, lambda x: F.split(F.regexp_replace(x, pattern, " ".join(f"${k}" for k in (day + 2, day + 1, day, nr, path))), " "))
+    return F.transform(parts, lambda g, i: F.struct(
+        g[0].cast("int").alias("year"), g[1].cast("int").alias("month"), g[2].cast("int").alias("day"), i.alias("pos"),
+        F.concat(F.lit("BEK nr "), g[3], F.lit(" af "), g[2], F.lit("/"), g[1], F.lit("/"), g[0]).alias("label"),
+        g[4].alias("path"),
     ))
 
 
@@ -136,16 +136,16 @@ def _plain_links(html: Column) -> Column:
 def _by_number(h: Column) -> Column:
     """Links and labels joined by number, the last link of a number holding."""
     link = r'href="(/eli/lta/(\d+)/(\d+))"'
-    links = F.reverse(F.transform(
-        F.regexp_extract_all(h, F.lit(link), F.lit(1)), lambda x: F.struct(F.element_at(F.split(x, "/"), -1).alias("nr"), x.alias("path"))))
+    paths = F.reverse(F.regexp_extract_all(h, F.lit(link), F.lit(1)))
+    numbers = F.transform(paths, lambda x: F.substring_index(x, "/", -1))
     said = r"(?i)BEK\s+nr\s+(\d+)\s+af\s+(\d{1,2})/(\d{1,2})/(\d{4})"
-    labels = F.transform(F.regexp_extract_all(h, F.lit(said), F.lit(0)), lambda x, i: F.struct(
-        F.regexp_extract(x, said, 4).cast("int").alias("year"), F.regexp_extract(x, said, 3).cast("int").alias("month"),
-        F.regexp_extract(x, said, 2).cast("int").alias("day"), i.alias("pos"),
-        F.concat(*[y for k, s in enumerate(("BEK nr ", " af ", "/", "/"), 1) for y in (F.lit(s), F.regexp_extract(x, said, k))]).alias("label"),
-        F.try_element_at(F.filter(links, lambda l: l["nr"] == F.regexp_extract(x, said, 1)), F.lit(1))["path"].alias("path"),
+    parts = F.transform(F.regexp_extract_all(h, F.lit(said), F.lit(0)), lambda x: F.split(F.regexp_replace(x, said, "$1 $2 $3 $4"), " "))
+    labels = lambda links: F.transform(parts, lambda g, i: F.struct(
+        g[3].cast("int").alias("year"), g[2].cast("int").alias("month"), g[1].cast("int").alias("day"), i.alias("pos"),
+        F.concat(*[y for k, s in enumerate(("BEK nr ", " af ", "/", "/")) for y in (F.lit(s), g[k])]).alias("label"),
+        F.try_element_at(links["paths"], F.nullif(F.array_position(links["numbers"], g[0]).cast("int"), F.lit(0))).alias("path"),
     ))
-    return F.filter(labels, lambda m: m["path"].isNotNull())
+    return F.filter(let(F.struct(paths.alias("paths"), numbers.alias("numbers")), labels), lambda m: m["path"].isNotNull())
 
 
 def _ways(h: Column) -> list[Column]:
@@ -155,8 +155,10 @@ def _ways(h: Column) -> list[Column]:
 def amendments(html: Column) -> Column:
     """The amendments that a page lists: the first pattern that matches anywhere holds for the
     page; without one, links and labels are joined by number."""
-    p1, p2, p3, rest = _ways(_plain_links(html))
-    return F.when(F.size(p1) > 0, p1).when(F.size(p2) > 0, p2).when(F.size(p3) > 0, p3).otherwise(rest)
+    def first(ways: list[Column]) -> Column:
+        return ways[0] if len(ways) == 1 else let(ways[0], lambda found: F.when(F.size(found) > 0, found).otherwise(first(ways[1:])))
+
+    return let(_plain_links(html), lambda h: first(_ways(h)))
 
 
 def _newest(best: Column, base_url: Column) -> Column:
@@ -166,7 +168,7 @@ def _newest(best: Column, base_url: Column) -> Column:
 
 def newest_amendment(html: Column, base_url: Column) -> Column:
     """(label, url) of the latest date, the last of equal dates."""
-    return _newest(F.array_max(amendments(html)), base_url)
+    return let(F.array_max(amendments(html)), lambda best: _newest(best, base_url))
 
 
 def with_newest_amendment(pages: DataFrame, once: Callable[..., DataFrame]) -> DataFrame:
@@ -187,14 +189,20 @@ def json_label(v: Column) -> Column:
 
 
 def change_event(v: Column) -> Column:
-    """A change event from JSON with alternative keys; null without id and URL."""
-    got = lambda *keys: F.coalesce(*[falsy(F.get_json_object(v, f"$.{k}")) for k in keys], F.lit(""))
-    ident, url = strip(got("documentId", "id", "accessionNumber", "accessionsnummer")), strip(got("eli", "url", "href", "documentUrl"))
-    event = F.struct(
-        F.lit("harvest_api").alias("source"), F.coalesce(falsy(ident), url).alias("identifier"), url.alias("url"),
-        falsy(got("changedAt", "updatedAt", "modifiedAt")).alias("changed_at"), falsy(got("reasonForChange", "reason")).alias("reason"),
-    )
-    return F.when((ident != "") | (url != ""), event)
+    """A change event from JSON with alternative keys; null without id and URL. Each key is read once: an
+    element of an array is computed before the function on it, however often that uses it."""
+    first = lambda *keys: F.coalesce(*[falsy(F.get_json_object(v, f"$.{k}")) for k in keys], F.lit(""))
+    read = F.struct(
+        strip(first("documentId", "id", "accessionNumber", "accessionsnummer")).alias("ident"), strip(first("eli", "url", "href", "documentUrl")).alias("url"),
+        first("changedAt", "updatedAt", "modifiedAt").alias("changed_at"), first("reasonForChange", "reason").alias("reason"))
+
+    def event(r: Column) -> Column:
+        made = F.struct(
+            F.lit("harvest_api").alias("source"), F.coalesce(falsy(r["ident"]), r["url"]).alias("identifier"), r["url"].alias("url"),
+            falsy(r["changed_at"]).alias("changed_at"), falsy(r["reason"]).alias("reason"))
+        return F.when((r["ident"] != "") | (r["url"] != ""), made)
+
+    return let(read, event)
 
 
 SEARCH_RESULT = "struct<title:string,link:string,url:string,snippet:string,description:string>"

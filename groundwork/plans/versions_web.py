@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx, versions as vs, web
 from ..operators import dedupe, lineage, registry
+from ..operators.tables import once
 from .tables import LABELLED, labelled_orders, t
 
 
@@ -213,7 +214,8 @@ def event_normalise(spark, sf_dir):
         F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("doc-"), F.col("event_id").cast("string"))).alias("documentId"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/e/"), F.col("event_id").cast("string"))).alias("href"), F.col("event_type").alias("reason"),
     ))
-    rows = e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), web.change_event(item).alias("c")).where("c IS NOT NULL")
+    rows = e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), item.alias("item"))
+    rows = once(rows, c=web.change_event(F.col("item"))).where("c IS NOT NULL")
     return rows.select("event_id", "k", "c.identifier", "c.url", "c.reason")
 
 

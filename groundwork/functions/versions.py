@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip
+from .text import let, strip
 
 DECREE_DATE = r"(?i)BEK\s+nr\s+(\d+)\s+af\s+(\d{1,2})/(\d{1,2})/(\d{2,4})"
 DECREE_YEAR = r"(?i)BEK\s+nr\s+(\d+)\s+af\s+\d+/\d+/(\d{2,4})"
@@ -25,16 +25,26 @@ def century(year: Column) -> Column:
     return F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
+def _numbers(label: Column) -> Column:
+    """Number, day, month and year of a label's first date as texts, read by one search; null without."""
+    found = F.regexp_extract(label, DECREE_DATE, 0)
+    return let(found, lambda x: F.when(x != "", F.split(F.regexp_replace(x, DECREE_DATE, "$1 $2 $3 $4"), " ")))
+
+
+def _date(parts: Column) -> Column:
+    """The date of :func:`_numbers`, null where there is none: days are counted from the month's first one."""
+    year, month, day = century(parts[3].cast("int")), parts[2].cast("int"), parts[1].cast("int")
+    at = F.when(month.between(1, 12) & day.between(1, 31), F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
+    return let(at, lambda d: F.when(F.month(d) == month, d))
+
+
 def label_date(label: Column) -> Column:
-    day, month = _group(label, DECREE_DATE, 2), _group(label, DECREE_DATE, 3)
-    year = century(_group(label, DECREE_DATE, 4))
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d")
+    return let(_numbers(label), _date)
 
 
 def label_date_nr(label: Column) -> Column:
     """(issue_date, nr), null where the label has none or the date does not exist."""
-    d = label_date(label)
-    return F.when(d.isNotNull(), F.struct(d.alias("issue_date"), _group(label, DECREE_DATE, 1).alias("nr")))
+    return let(_numbers(label), lambda p: let(_date(p), lambda d: F.when(d.isNotNull(), F.struct(d.alias("issue_date"), p[0].cast("int").alias("nr")))))
 
 
 def label_year_nr(label: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, errors, text as tx, versions as vs, web
 from ..operators import limits, vector
+from ..operators.tables import once, written
 from ..sources import chunking, fetch, files, hybrid
 from ..streaming import streams
 from . import asking, discovery, flow, resolution
@@ -46,7 +47,7 @@ def link_number_join(spark, sf_dir):
     links = o.select("series", F.col("nr").cast("string").alias("nr"), F.col("nr").alias("pos"), F.regexp_replace("url", "^https://www.retsinformation.dk", "").alias("path"))
     links = links.unionByName(links.where("pos % 3 = 0").withColumns({"path": F.concat("path", F.lit("/x")), "pos": F.col("pos") + 1}))
     last = links.groupBy("series", "nr").agg(F.max_by("path", "pos").alias("path"))
-    said = o.select("series", vs.label_date_nr(F.col("label")).alias("d"), "label").select("series", F.col("d.nr").cast("string").alias("nr"), F.col("d.issue_date").cast("string").alias("day"), "label")
+    said = once(o.select("series", "label"), d=vs.label_date_nr(F.col("label"))).select("series", F.col("d.nr").cast("string").alias("nr"), F.col("d.issue_date").cast("string").alias("day"), "label")
     return said.join(last, ["series", "nr"]).select("series", "nr", "day", "label", "path")
 
 
@@ -112,7 +113,7 @@ def _sources(spark, sf_dir):
 def _chain(spark, sf_dir):
     """The chain over these sources: search hits are a source's editions of even numbers, pages list
     all editions of odd sources, and every edition may be probed."""
-    o, s = labelled_orders(spark, sf_dir), _sources(spark, sf_dir)
+    o, s = labelled_orders(spark, sf_dir), written(_sources(spark, sf_dir), "sources")
     hits = o.where("nr % 2 = 0").select(F.col("series").alias("id"), F.col("nr").alias("ord"), F.col("label").alias("title"), "url")
     pages = _amendment_pages(spark, sf_dir).join(s.select(F.col("id").alias("series"), "url"), "series").where("series % 2 = 1").select("url", "html")
     pages = resolution.read_pages(pages)

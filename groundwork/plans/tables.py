@@ -20,7 +20,7 @@ def centroids(vectors: DataFrame) -> DataFrame:
 def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as a version history: a series per customer, with labels and URLs of decrees."""
     o = t(spark, sf_dir, "orders")
-    y, m, d = (F.date_format("o_orderdate", p) for p in ("yyyy", "M", "d"))
+    y, m, d = (f("o_orderdate").cast("string") for f in (F.year, F.month, F.dayofmonth))
     label = F.concat(F.lit("BEK nr "), F.col("o_orderkey").cast("string"), F.lit(" af "), d, F.lit("/"), m, F.lit("/"), y)
     url = F.concat(F.lit("https://www.retsinformation.dk/eli/lta/"), y, F.lit("/"), F.col("o_orderkey").cast("string"))
     return o.select(

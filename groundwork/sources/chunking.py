@@ -13,6 +13,8 @@ from pyspark.sql.types import StringType
 #: Separators of the splitter by priority, chunk size and overlap in characters.
 SEPARATORS = ("\n\n", "§ ", "\n", ". ", " ", "")
 SIZE, OVERLAP = 2500, 200
+#: Characters of chunks that a task holds before it passes them on.
+PART_CHARS = 2_000_000
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
@@ -54,16 +56,24 @@ def split_documents(df: DataFrame, text_col: str, size: int = SIZE, overlap: int
     """One row per chunk: the other columns, ord and chunk. Null and blank texts give none."""
     names = [c for c in df.columns if c != text_col]
 
+    def built(batch: pa.RecordBatch, rows: list[int], ords: list[int], chunks: list[str]) -> pa.RecordBatch:
+        kept = batch.select(names).take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(ords, pa.int32()), pa.array(chunks, pa.string())], [*names, "ord", "chunk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ords, chunks = [], [], []
+            rows, ords, chunks, held = [], [], [], 0
             for i, value in enumerate(batch[text_col]):
                 for n, c in enumerate(split_text(value.as_py() or "", size, overlap)):
                     rows.append(i)
                     ords.append(n)
                     chunks.append(c)
-            kept = batch.select(names).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ords, pa.int32()), pa.array(chunks, pa.string())], [*names, "ord", "chunk"])
+                    held += len(c)
+                    if held >= PART_CHARS:
+                        yield built(batch, rows, ords, chunks)
+                        rows, ords, chunks, held = [], [], [], 0
+            if rows:
+                yield built(batch, rows, ords, chunks)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in names)
     return df.mapInArrow(run, f"{fields}ord int, chunk string")

@@ -49,7 +49,10 @@ def cut(c: Column, n: int, mark: str = ELLIPSIS) -> Column:
 
 
 def dedupe_key(text: Column, source: Column, kind: Column) -> Column:
-    prefix = F.left(collapse(F.coalesce(text, F.lit(""))), F.lit(PREFIX_CHARS))
+    all_of = F.coalesce(text, F.lit(""))
+    # The start of a long text is enough, unless it is blanks for the most part.
+    start = F.left(collapse(F.left(all_of, F.lit(4 * PREFIX_CHARS))), F.lit(PREFIX_CHARS))
+    prefix = F.when(F.length(start) == PREFIX_CHARS, start).otherwise(F.left(collapse(all_of), F.lit(PREFIX_CHARS)))
     return F.concat_ws("|", F.coalesce(source, F.lit("")), F.coalesce(kind, F.lit("")), prefix)
 
 

@@ -142,3 +142,10 @@ def test_splitter_and_xml(spark):
     xml = b"<a>one <b>two</b> three</a>"
     got = spark.createDataFrame([(xml,), (b"<broken",)], "c binary").select(chunking.xml_text("c").alias("t")).collect()
     assert [r["t"] for r in got] == ["one two three", ""]
+
+
+def test_dedupe_key_of_long_and_blank_texts(spark):
+    n = 240
+    texts = [None, "", " a  b ", "x " * n, " " * 5 * n + "late" + " \n" * n + "r" * n, "a" * n, "a" * (n - 1) + "  b", " " * (4 * n - 2) + "ab cd", "w\t\t" * 3 * n]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tx.dedupe_key(F.col("t"), F.lit("s"), F.lit("k")).alias("key"))
+    assert {r["i"]: r["key"] for r in got.collect()} == {i: "s|k|" + " ".join((t or "").split())[:n] for i, t in enumerate(texts)}

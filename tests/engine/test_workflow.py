@@ -88,6 +88,24 @@ def test_every_path_and_its_calls(spark, tmp_path):
     assert got["missing_query"] == {"thin": 1, "bare": 1, "weak": 1} and "own" not in got["search_query"]
 
 
+def test_findings_of_a_list_are_not_gathered_again(spark, monkeypatch):
+    """Retrieval for what is missing finds the same rows of a table: nothing of them is written again."""
+    yes, no = (flow.by_column(lambda *_, v=v: F.lit(v), native=True) for v in (True, False))
+    docs = spark.createDataFrame([(i, n, f"text {min(n, 1)} of {i}", "s", "law") for i in range(20) for n in range(3)], "id long, ord int, text string, source string, document_type string")
+    said = flow.by_column(lambda question, *_: question, native=True)
+    grade = flow.by_column(lambda *_: F.struct(F.lit(True).alias("passed"), F.lit("").alias("missing_info")), native=True)
+    web = docs.where("ord = 0").withColumn("document_type", F.lit("web"))
+    names = []
+    write = flow.Tables.write
+    monkeypatch.setattr(flow.Tables, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    m = flow.Models(flow.table_search(docs), flow.table_search(web), no, flow.hinted_question(), flow.question_alone(), said, grade, yes)
+    out = flow.run_batch(spark.createDataFrame([(i, f"q{i}", [], False, True) for i in range(25)], QUESTION), m).collect()
+    assert {r["retrievals"] for r in out} == {3} and names.count("lacking") == 3
+    assert names.count("documents") == 3  # of retrieval, of the web, and at the end
+    assert {r["id"]: [(d["text"], d["document_type"]) for d in r["documents"]] for r in out} == {
+        i: [(f"text {n} of {i}", "law") for n in range(2)] + [(f"text 0 of {i}", "web")] if i < 20 else [] for i in range(25)}
+
+
 def test_python_models_run_for_waiting_rows_alone(spark, tmp_path):
     path = str(tmp_path / "n")
 

@@ -87,3 +87,42 @@ def test_vocabulary_and_long_headings(spark):
     assert len(got) > 10 and all(0 < r["tokens"] <= 100 for r in got)
     assert all(count()(["\n".join([*r["headings"], r["chunk"]])])[0] == r["tokens"] for r in got)
     assert "".join("".join(r["chunk"] for r in got).split()) == "".join((rows[2][3] + rows[3][3]).split())
+
+
+def folded(fold, count, blocks, most):
+    state = fold(count, most)
+    steps = [state.heading(level, text) if level else state.text(text) for level, text in blocks]
+    return [(list(h), c, n) for step in [*steps, state.end()] for h, c, n in step]
+
+
+def test_counts_that_add_up_give_the_same_chunks():
+    """The fold on sums beside the one that counts what is joined, on texts with odd borders; it reads a text
+    a few times at most."""
+    import public_tokenizers
+
+    count = hybrid.vocabulary_counter(public_tokenizers.path("byte_bpe_50k.json"))()
+    assert count.adds
+    words = ["the", "limit.", "mSv's", "'s", "don't", "中文", "<|endoftext|>", "!!", "x" * 50, "$$$", "é.###", "Q?", "🙂", "\u0301", "\u200b", "\ufeff", "12.5%", "z" * 700]
+    rng = random.Random(3)
+    for most in (8, 17, 40, 512):
+        for _ in range(12):
+            blocks = [(level, " ".join(rng.choice(words) for _ in range(rng.choice([1, 5, 60] if level else [1, 3, 20, 200])))) for level in rng.choices([0, 0, 0, 1, 2, 3], k=rng.randint(1, 20))]
+            assert folded(hybrid._Sums, count, blocks, most) == folded(hybrid._Chunks, count, blocks, most)
+    blocks = [(0, "The limit is 20 mSv. " * n) for n in [2] * 200 + [2000]]
+    read = {}
+    for fold in (hybrid._Sums, hybrid._Chunks):
+        folded(fold, lambda texts: read.update({fold: read.get(fold, 0) + sum(map(len, texts))}) or count(texts), blocks, 512)
+    assert read[hybrid._Sums] < 3 * sum(len(t) for _, t in blocks) < read[hybrid._Chunks]
+
+
+def test_other_vocabularies_count_what_is_joined(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "use_regex": False}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": None},
+                   {"added_tokens": [{**spec["added_tokens"][0], "special": False}]}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps({**spec, **change}), encoding="utf-8")
+        assert not hybrid.counts_add(str(path))
